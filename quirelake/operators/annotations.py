@@ -109,8 +109,9 @@ def _decide(log: DataFrame) -> DataFrame:
     add, undo = F.col("op") == "add", F.col("op") == "undo"
     step = F.when(undo, -1).when(add & ~F.col("removed"), 1).otherwise(0)
     depth = running_sum(log, K, "seq", step, "depth")
-    # Depth at which an add lands, or would land; for an undo, the depth it takes from.
-    own = F.when(undo | F.col("removed"), F.col("depth") + 1).otherwise(F.col("depth"))
+    # Depth an add leaves behind and depth an undo finds: the undo that takes an add is the next
+    # one to find the depth of the add, and for a removed add, the one that would reach below it.
+    own = F.when(undo, F.col("depth") + 1).otherwise(F.col("depth"))
     levelled = depth.withColumn("level", own)
     paired = next_marked(levelled, [*K, "level"], "seq", undo, "undo_seq")
     removed = F.coalesce(

@@ -52,6 +52,8 @@ def _apply_events():
                 if at is not None:
                     drop(at)
         state.update((last, [s[0] for s in stack], [s[1] for s in stack], [s[2] for s in stack]))
+        if not out:
+            return
         yield pd.DataFrame(
             {
                 "doc_id": pd.Series([r[0] for r in out], dtype="int64"),
