@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirelake.plans.scan import spread_scan
 from quirelake.schemas import RGBA, K
 from quirelake.sources import layout
 
@@ -25,7 +26,7 @@ class Inputs:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents")
+        return spread_scan(self.table("documents"), "doc_id")
 
     @cached_property
     def events(self) -> DataFrame:

@@ -30,7 +30,11 @@ def is_blank(s: Column) -> Column:
 
 def utf16_length(s: Column) -> Column:
     """Length in UTF-16 units, which differs from ``length`` outside the BMP."""
-    return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int")
+    n = F.length(s)
+    # ASCII needs no encoding to be counted.
+    return F.when(F.octet_length(s) == n, n).otherwise(
+        F.shiftright(F.octet_length(F.encode(s, "UTF-16BE")), 1)
+    )
 
 
 def normalise_font(name: Column) -> Column:

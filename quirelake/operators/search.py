@@ -60,22 +60,16 @@ def _terms(queries: DataFrame) -> list[Term] | None:
     return None if len(rows) > MAX_LITERAL_QUERIES else [Term(r.query_id, r.q, r.n) for r in rows]
 
 
-def _chunked(words: DataFrame, reach: int, behind: int = 0) -> DataFrame:
+def _chunked(words: DataFrame, reach: int) -> DataFrame:
     """Add ``chunk`` and ``own``; each chunk also gets the first ``reach`` words of the next one.
 
     That look-ahead is all a chunk needs of its neighbours, so a page of any size is searched by
-    as many tasks as it has chunks. ``behind`` adds the last words of the previous chunk.
+    as many tasks as it has chunks.
     """
-    bits = max(CHUNK_BITS, (max(reach, behind) + 1).bit_length())
-    home = F.shiftright("word_idx", bits)
-    offset = F.col("word_idx") - F.shiftleft(home, bits)
-    copies = F.array_compact(
-        F.array(
-            home,
-            F.when((offset < reach) & (home > 0), home - 1),
-            F.when(offset >= (1 << bits) - behind, home + 1) if behind else F.lit(None).cast("int"),
-        )
-    )
+    bits = max(CHUNK_BITS, (reach + 1).bit_length())
+    home = F.shiftright("at", bits)
+    shared = (F.col("at") - F.shiftleft(home, bits) < reach) & (home > 0)
+    copies = F.when(shared, F.array(home, home - 1)).otherwise(F.array(home))
     return words.withColumn("chunk", F.explode(copies)).withColumn("own", F.col("chunk") == home)
 
 
@@ -98,58 +92,55 @@ def _begins(tokens: list[str], word: Column, after) -> Column:
 
 
 def _hit_columns(words: DataFrame, terms: list[Term], dense: bool) -> DataFrame:
-    """Own words of all chunks with, per term, ``hit_n``: the last word of its run, or null.
+    """Own words of all chunks with, per term, ``hit_n``: the end of its run, or null.
 
-    One shuffle and one sort: all windows share their partitioning and order.
+    ``hit_n`` holds the last word ``j`` and the bounds of the words of the match behind its
+    first, null when there are none. One shuffle and one sort: all windows share their
+    partitioning and order.
     """
     reach = max(t.reach for t in terms)
     depth = max(len(t.tokens) for t in terms) - 1
-    base = _dense(words, dense).select(
-        *K, "word_idx", F.col("pos").alias("at"), "text", *_BOX
-    )
-    base = _chunked(base.withColumn("word_idx", F.col("at")), reach).select(
+    base = _chunked(_dense(words, dense).withColumnRenamed("pos", "at"), reach).select(
         *K, "chunk", "own", "at", F.lower("text").alias("low"), (utf16_length(F.col("text")) + 1).alias("len"), *_BOX
     )
     # Descending, so that what lies ahead on the page lies behind in the frame, and frames only grow.
     order = Window.partitionBy(*K, "chunk").orderBy(F.desc("at"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = order.rowsBetween(-reach, 0)
-    rows = base.withColumn("rest", F.sum("len").over(so_far))
-    for m in range(1, depth + 1):
-        rows = rows.withColumn(f"low_{m}", F.lag("low", m).over(order))
-    for k in sorted({len(t.tokens) - 1 for t in terms}):
-        # Characters from the last word of a match to the end of the chunk.
-        rows = rows.withColumn(f"rest_{k}", F.lag("rest", k).over(order) if k else F.col("rest"))
-    rows = rows.withColumn("boxes", F.collect_list(F.struct(*_BOX)).over(ahead))
-    nexts = []
+    ahead = {
+        f"{c}_{m}": F.lag(c, m).over(order) for m in range(1, depth + 1) for c in ("low", "len", *_BOX)
+    }
+    # Characters from each word to the end of the chunk.
+    rows = base.withColumns({"rest": F.sum("len").over(so_far), **ahead})
+
+    def behind(c: str, k: int) -> list[Column]:
+        return [F.col(f"{c}_{m}") for m in range(1, k + 1)]
+
+    nexts = {}
     for n, t in enumerate(terms):
         k = len(t.tokens) - 1
         begins = _begins(t.tokens, F.col("low"), lambda m: F.col(f"low_{m}"))
-        match = F.when(begins, F.struct((F.col("at") + k).alias("j"), F.col(f"rest_{k}").alias("rest")))
-        nexts.append(F.last(match, ignorenulls=True).over(so_far).alias(f"next_{n}"))
-    kept = rows.select(*K, "own", "at", "rest", "boxes", *nexts).where("own")
+        # What is left at the last word of the match.
+        rest = F.col("rest") - sum([F.col("len"), *behind("len", k - 1)], F.lit(0)) if k else F.col("rest")
+        tail = [_edge(c, behind(c, k)).alias(c) for c in _BOX]
+        match = F.struct((F.col("at") + k).alias("j"), rest.alias("rest"), *tail)
+        nexts[f"next_{n}"] = F.last(F.when(begins, match), ignorenulls=True).over(so_far)
+    kept = rows.withColumns(nexts).where("own")
     hits = []
     for n, t in enumerate(terms):
-        j, rest = F.col(f"next_{n}.j"), F.col(f"next_{n}.rest")
+        end = F.col(f"next_{n}")
         # Length of the run without its last word; the run may grow while that is short enough.
-        within = (j == F.col("at")) | (F.col("rest") - rest - 1 < t.n + LOOK_AHEAD)
-        hits.append(F.when(within, j).alias(f"hit_{n}"))
-    return kept.select(*K, "at", "boxes", *hits)
-
-
-def _union_box(boxes: Column, n: Column) -> list[Column]:
-    """Bounds of the last ``n`` boxes."""
-    run = F.slice(boxes, -n, n)
+        within = (end["j"] == F.col("at")) | (F.col("rest") - end["rest"] - 1 < t.n + LOOK_AHEAD)
+        hits.append(F.when(within, end).alias(f"hit_{n}"))
+    return kept.select(*K, "chunk", "at", *_BOX, *hits)
 
-    def side(name: str) -> Column:
-        return F.transform(run, lambda b: b[name])
 
-    return [
-        F.array_min(side("left_pt")).alias("left_pt"),
-        F.array_min(side("bottom_pt")).alias("bottom_pt"),
-        F.array_max(side("right_pt")).alias("right_pt"),
-        F.array_max(side("top_pt")).alias("top_pt"),
-    ]
+def _edge(side: str, values: list[Column]) -> Column:
+    """Outermost of some values of one side of a box; nulls do not count."""
+    if not values:
+        return F.lit(None).cast("double")
+    if len(values) == 1:
+        return values[0]
+    return F.least(*values) if side in ("left_pt", "bottom_pt") else F.greatest(*values)
 
 
 def phrase_search(words: DataFrame, queries: DataFrame, dense: bool = False) -> DataFrame:
@@ -168,15 +159,30 @@ def phrase_search(words: DataFrame, queries: DataFrame, dense: bool = False) ->
     found = F.array_compact(
         F.array(
             *[
-                F.when(F.col(f"hit_{n}").isNotNull(), F.struct(F.lit(t.query_id).alias("query_id"), F.col(f"hit_{n}").alias("j")))
+                F.when(
+                    F.col(f"hit_{n}").isNotNull(),
+                    F.struct(F.lit(t.query_id).alias("query_id"), F.col(f"hit_{n}").alias("end")),
+                )
                 for n, t in enumerate(terms)
             ]
         )
     )
-    hits = wide.where(F.size(found) > 0).select(*K, "at", "boxes", F.explode(found).alias("h"))
-    return hits.select(
-        "h.query_id", *K, F.col("at").alias("i"), "h.j",
-        *_union_box(F.col("boxes"), F.col("h.j") - F.col("at") + 1),
+    any_hit = F.coalesce(*[F.col(f"hit_{n}.j") for n in range(len(terms))]).isNotNull()
+    hits = wide.where(any_hit).select(*K, "chunk", "at", *_BOX, F.explode(found).alias("h"))
+    # All words from a start word to the match are start words of the same match, so bounds grow
+    # from start to start. Chunks keep together what one shuffle has brought together.
+    grown = (
+        Window.partitionBy(*K, "chunk", "query_id", "j")
+        .orderBy(F.desc("i"))
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    flat = hits.select(
+        "h.query_id", *K, "chunk", F.col("at").alias("i"), "h.end.j",
+        *[_edge(c, [F.col(c), F.col(f"h.end.{c}")]).alias(c) for c in _BOX],
+    )
+    return flat.select(
+        "query_id", *K, "i", "j",
+        *[(F.min if c in ("left_pt", "bottom_pt") else F.max)(c).over(grown).alias(c) for c in _BOX],
     )
 
 
@@ -201,7 +207,7 @@ def search_counts(words: DataFrame, pages: DataFrame, queries: DataFrame, dense:
         counts = _no_hits(words).select("query_id", *K, F.lit(0).cast("long").alias("n_hits"))
     else:
         wide = _hit_columns(words, terms, dense)
-        per_page = wide.groupBy(*K).agg(*[F.count(f"hit_{n}").alias(f"n_{n}") for n in range(len(terms))])
+        per_page = wide.groupBy(*K).agg(*[F.count(f"hit_{n}.j").alias(f"n_{n}") for n in range(len(terms))])
         rows = F.array(
             *[
                 F.struct(F.lit(t.query_id).alias("query_id"), F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias("n_hits"))

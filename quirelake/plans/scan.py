@@ -1,0 +1,18 @@
+"""Scans with too few splits for what follows them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+#: Partitions per core, so that uneven ones even out.
+PER_CORE = 4
+
+
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute the rows of a scan that has fewer splits than the cluster has cores.
+
+    A small file of one row group would otherwise be worked on by one core through every narrow
+    step. A scan of any size beyond that has splits enough and is left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(PER_CORE * cores, key) if df.rdd.getNumPartitions() < cores else df

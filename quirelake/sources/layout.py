@@ -17,7 +17,9 @@ FONTS = (
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(text, "[ \n]+"), lambda t: t != "")
+    """Words of a text; trimming first leaves no empty token, unless there is nothing else."""
+    trimmed = F.btrim(text, F.lit(" \n"))
+    return F.when(trimmed != "", F.split(trimmed, "[ \n]+"))
 
 
 def layout_words(documents: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def layout_pages(documents: DataFrame) -> DataFrame:
     n = F.size(_tokens(F.col("text")))
     return (
         documents.select("doc_id", n.alias("n"))
-        .where("n > 0")
+        .where("n > 0")  # null counts as -1 or as null, by session setting
         .select(
             "doc_id",
             F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / WORDS_PER_PAGE).cast("int"))).alias("page_idx"),
