@@ -92,7 +92,7 @@ def _begins(tokens: list[str], word: Column, after) -> Column:
 
 
 def _hit_columns(words: DataFrame, terms: list[Term], dense: bool) -> DataFrame:
-    """Own words of all chunks with, per term, ``hit_n``: the end of its run, or null.
+    """Words of all chunks with, per term, ``hit_n``: the end of its run, or null.
 
     ``hit_n`` holds the last word ``j`` and the bounds of the words of the match behind its
     first, null when there are none. One shuffle and one sort: all windows share their
@@ -124,14 +124,14 @@ def _hit_columns(words: DataFrame, terms: list[Term], dense: bool) -> DataFrame:
         tail = [_edge(c, behind(c, k)).alias(c) for c in _BOX]
         match = F.struct((F.col("at") + k).alias("j"), rest.alias("rest"), *tail)
         nexts[f"next_{n}"] = F.last(F.when(begins, match), ignorenulls=True).over(so_far)
-    kept = rows.withColumns(nexts).where("own")
+    rows = rows.withColumns(nexts)
     hits = []
     for n, t in enumerate(terms):
         end = F.col(f"next_{n}")
         # Length of the run without its last word; the run may grow while that is short enough.
         within = (end["j"] == F.col("at")) | (F.col("rest") - end["rest"] - 1 < t.n + LOOK_AHEAD)
         hits.append(F.when(within, end).alias(f"hit_{n}"))
-    return kept.select(*K, "chunk", "at", *_BOX, *hits)
+    return rows.select(*K, "chunk", "own", "at", *_BOX, *hits)
 
 
 def _edge(side: str, values: list[Column]) -> Column:
@@ -168,22 +168,21 @@ def phrase_search(words: DataFrame, queries: DataFrame, dense: bool = False) ->
         )
     )
     any_hit = F.coalesce(*[F.col(f"hit_{n}.j") for n in range(len(terms))]).isNotNull()
-    hits = wide.where(any_hit).select(*K, "chunk", "at", *_BOX, F.explode(found).alias("h"))
+    hits = wide.where(any_hit).select(*K, "chunk", "own", "at", *_BOX, F.explode(found).alias("h"))
     # All words from a start word to the match are start words of the same match, so bounds grow
-    # from start to start. Chunks keep together what one shuffle has brought together.
+    # from start to start; those of the look-ahead lend their bounds and are dropped after.
+    # Chunks keep together what one shuffle has brought together.
     grown = (
         Window.partitionBy(*K, "chunk", "query_id", "j")
         .orderBy(F.desc("i"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     flat = hits.select(
-        "h.query_id", *K, "chunk", F.col("at").alias("i"), "h.end.j",
+        "h.query_id", *K, "chunk", "own", F.col("at").alias("i"), "h.end.j",
         *[_edge(c, [F.col(c), F.col(f"h.end.{c}")]).alias(c) for c in _BOX],
     )
-    return flat.select(
-        "query_id", *K, "i", "j",
-        *[(F.min if c in ("left_pt", "bottom_pt") else F.max)(c).over(grown).alias(c) for c in _BOX],
-    )
+    bounds = {c: (F.min if c in ("left_pt", "bottom_pt") else F.max)(c).over(grown) for c in _BOX}
+    return flat.withColumns(bounds).where("own").select("query_id", *K, "i", "j", *_BOX)
 
 
 def _no_hits(words: DataFrame) -> DataFrame:
@@ -207,7 +206,7 @@ def search_counts(words: DataFrame, pages: DataFrame, queries: DataFrame, dense:
         counts = _no_hits(words).select("query_id", *K, F.lit(0).cast("long").alias("n_hits"))
     else:
         wide = _hit_columns(words, terms, dense)
-        per_page = wide.groupBy(*K).agg(*[F.count(f"hit_{n}.j").alias(f"n_{n}") for n in range(len(terms))])
+        per_page = wide.where("own").groupBy(*K).agg(*[F.count(f"hit_{n}.j").alias(f"n_{n}") for n in range(len(terms))])
         rows = F.array(
             *[
                 F.struct(F.lit(t.query_id).alias("query_id"), F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias("n_hits"))
@@ -330,5 +329,5 @@ def _search_by_join(words: DataFrame, queries: DataFrame, dense: bool) -> DataFr
 def _every_query_on_every_page(pages: DataFrame, queries: DataFrame, blocks: int = 256) -> DataFrame:
     """One row per page and query, which is what zero counts ask for; an equi-join on blocks."""
     ids = queries.select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    spread = pages.select(*K, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    spread = pages.select(*K, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     return spread.join(ids, "block").drop("block")

@@ -29,7 +29,7 @@ def read_corpus(spark: SparkSession, path: str) -> Corpus:
     """Open the corpus below ``path`` (``pages`` and ``words`` folders of parquet)."""
 
     def table(name: str, schema) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}")
+        return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}").select(*schema.names)
 
     return Corpus(
         pages=table("pages", schemas.PAGES),

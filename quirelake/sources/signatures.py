@@ -6,12 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quirelake.schemas import SIGNATURE_JSON, SIGNATURES
 
-_CORRUPT = "_corrupt"
-
 
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -28,15 +25,9 @@ def read_signatures(spark: SparkSession, path: str, lines: bool = False) -> Data
     fs, p = _filesystem(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([], SIGNATURES)
-    schema = T.StructType([*SIGNATURE_JSON.fields, T.StructField(_CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("multiLine", not lines)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .json(path)
-        .where(F.col(_CORRUPT).isNull())
-    )
+    # What cannot be parsed comes back as a row of nulls.
+    rows = spark.read.schema(SIGNATURE_JSON).option("multiLine", not lines).json(path)
+    raw = rows.dropna("all")
     point = lambda q: F.struct(q["X"].alias("x"), q["Y"].alias("y"))
     return raw.select(
         F.col("Id").alias("id"),

@@ -1,0 +1,25 @@
+"""Every registered query against its SQL on the smallest corpus."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import SMALL
+from oracle_check import compare, connect
+
+import __spark_entry__ as entry
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SMALL)
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_query(spark, con, name):
+    assert compare(entry.queries()[name](spark, SMALL), con, entry.oracle_sql()[name]) == ""
+
+
+def test_entry(spark):
+    rows = entry.entry(spark)
+    assert rows.columns == ["query_id", "doc_id", "page_idx", "n_hits", "status"]
+    assert rows.count() > 0

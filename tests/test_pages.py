@@ -1,0 +1,92 @@
+"""Page algebra against edits of plain lists."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from quirelake.operators import pages as P
+from quirelake.schemas import PAGES
+
+
+def make(spark, sizes):
+    rows = [(d, p, 612.0, 792.0) for d, n in sizes.items() for p in range(n)]
+    return spark.createDataFrame(rows, PAGES)
+
+
+def order_of(df):
+    """Source pages of each document, in their new order."""
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, {})[r.page_idx] = (r.source_doc_id, r.source_page_idx)
+    for d, ps in out.items():
+        assert sorted(ps) == list(range(len(ps)))
+    return {d: [ps[i] for i in range(len(ps))] for d, ps in out.items()}
+
+
+def test_every_move_and_reorder_of_short_documents(spark):
+    cases, sizes = {}, {}
+    for n in range(1, 7):
+        for src in range(n):
+            for dst in range(n):
+                cases[len(cases)] = (n, src, dst)
+    sizes = {c: n for c, (n, _, _) in cases.items()}
+    pages = make(spark, sizes)
+    moves = spark.createDataFrame([(c, s, t) for c, (_, s, t) in cases.items()], "doc_id long, from_idx int, to_idx int")
+    got = order_of(P.reorder_page(pages, moves))
+    for c, (n, src, dst) in cases.items():
+        want = list(range(n))
+        if src != dst:
+            want.remove(src)
+            want.insert(dst - 1 if dst > src else dst, src)
+        assert [p for _, p in got[c]] == want
+    at = moves.selectExpr("doc_id", "from_idx as page_idx")
+    up, down = order_of(P.move_page(pages, at, "up")), order_of(P.move_page(pages, at, "down"))
+    for c, (n, src, _) in cases.items():
+        want = list(range(n))
+        if src > 0:
+            want[src - 1], want[src] = want[src], want[src - 1]
+        assert [p for _, p in up[c]] == want
+        want = list(range(n))
+        if src < n - 1:
+            want[src + 1], want[src] = want[src], want[src + 1]
+        assert [p for _, p in down[c]] == want
+    with pytest.raises(ValueError):
+        P.move_page(pages, at, "left")
+
+
+def test_moves_outside_the_document_do_nothing(spark):
+    pages = make(spark, {1: 2, 2: 2})
+    moves = spark.createDataFrame([(1, 0, 5), (2, -1, 0)], "doc_id long, from_idx int, to_idx int")
+    assert order_of(P.reorder_page(pages, moves)) == {1: [(1, 0), (1, 1)], 2: [(2, 0), (2, 1)]}
+
+
+def test_extract_and_delete(spark):
+    pages = make(spark, {1: 5, 2: 1})
+    selection = spark.createDataFrame([(1, 4), (1, 1), (2, 0)], "doc_id long, page_idx int")
+    assert order_of(P.extract_pages(pages, selection)) == {1: [(1, 1), (1, 4)], 2: [(2, 0)]}
+    # A document may end up empty.
+    assert order_of(P.delete_pages(pages, selection)) == {1: [(1, 0), (1, 2), (1, 3)]}
+
+
+def test_merge_and_page_map(spark):
+    pages = make(spark, {1: 2, 2: 1, 3: 3, 4: 1})
+    order = spark.createDataFrame([(3, 3, 0), (1, 3, 1), (2, 3, 70_000), (4, 4, 0)], "doc_id long, target_id long, ord long")
+    merged = P.merge_documents(pages, order)
+    assert order_of(merged) == {3: [(3, 0), (3, 1), (3, 2), (1, 0), (1, 1), (2, 0)], 4: [(4, 0)]}
+    assert {r.doc_id: r.n_pages for r in P.merged_page_counts(pages, order).collect()} == {3: 6, 4: 1}
+    words = pages.select("doc_id", "page_idx", F.concat_ws("-", "doc_id", "page_idx").alias("text"))
+    moved = {(r.doc_id, r.page_idx): r.text for r in P.apply_page_map(words, merged).collect()}
+    assert moved[3, 5] == "2-0" and moved[3, 3] == "1-0" and len(moved) == 7
+
+
+def test_raster_dims(spark):
+    rows = [(1, 0, 612.0, 792.0), (1, 1, 100.3, 900.0), (2, 0, 0.1, 0.0)]
+    got = P.raster_dims(spark.createDataFrame(rows, PAGES)).collect()
+    assert {tuple(r) for r in got} == {(1, 1275, 1875), (2, 1, 1)}
+
+
+def test_restructured_documents_lose_annotations(spark):
+    annotations = spark.createDataFrame([(1, 0, 1), (2, 0, 2)], "doc_id long, page_idx int, seq long")
+    changed = spark.createDataFrame([(1,), (1,)], "doc_id long")
+    assert [r.seq for r in P.invalidate_annotations(annotations, changed).collect()] == [2]
