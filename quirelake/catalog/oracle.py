@@ -398,7 +398,7 @@ SELECT doc_id, page_idx, word_idx, row_number() OVER (PARTITION BY doc_id, page_
 FROM words""",
     "left_to_right": _with(_WORDS, _lines("words", "doc_id, page_idx")) + """
 SELECT doc_id, page_idx, word_idx, line_no,
-  CAST(row_number() OVER (PARTITION BY doc_id, page_idx, line_no ORDER BY left_pt, word_idx) - 1 AS INTEGER) AS line_pos FROM lined""",
+  row_number() OVER (PARTITION BY doc_id, page_idx, line_no ORDER BY left_pt, word_idx) - 1 AS line_pos FROM lined""",
     "phrase_search": _with(_WORDS, _RUNS, _HITS) + "SELECT * FROM hits",
     "search_counts": _with(_WORDS, _RUNS) + """
 SELECT query_id, doc_id, page_idx, n_hits, CASE WHEN n_hits > 0 THEN n_hits || ' found' ELSE 'No matches' END AS status FROM (

@@ -109,25 +109,30 @@ def page_text(words: DataFrame) -> DataFrame:
     return whole.where(~is_blank(F.col("text")))
 
 
-def reading_order(words: DataFrame, keys: list[str] = K) -> DataFrame:
-    """Add ``read_pos``, the 0-based place in reading order, to the words of each group.
+def _position(words: DataFrame, keys: list[str], level: str, down: bool, ties: list[str], out: str) -> DataFrame:
+    """Add the 0-based place of each word by ``level``, then by ``ties``, within its group.
 
-    Words above are counted per distinct top, so only words at the same height are ranked
-    against each other.
+    Words of the levels before are counted per distinct level, so only words of one level are
+    ranked against each other, however many a group holds.
     """
-    above = Window.partitionBy(*keys).orderBy(F.desc("top_pt")).rowsBetween(Window.unboundedPreceding, -1)
-    heights = words.groupBy(*keys, "top_pt").agg(F.count("*").alias("n"))
-    offsets = heights.select(*keys, "top_pt", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
-    level = Window.partitionBy(*keys, "top_pt").orderBy("left_pt", "word_idx")
-    ranked = words.withColumn("rank", F.row_number().over(level))
+    first = F.desc(level) if down else F.asc(level)
+    before = Window.partitionBy(*keys).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    counts = words.groupBy(*keys, level).agg(F.count("*").alias("n"))
+    offsets = counts.select(*keys, level, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    same = Window.partitionBy(*keys, level).orderBy(*ties)
+    ranked = words.withColumn("rank", F.row_number().over(same))
     return (
-        ranked.join(offsets, [*keys, "top_pt"])
-        .withColumn("read_pos", F.col("above") + F.col("rank") - 1)
-        .drop("above", "rank")
+        ranked.join(offsets, [*keys, level])
+        .withColumn(out, F.col("before") + F.col("rank") - 1)
+        .drop("before", "rank")
     )
 
 
+def reading_order(words: DataFrame, keys: list[str] = K) -> DataFrame:
+    """Add ``read_pos``, the place in reading order: top down, then from the left."""
+    return _position(words, keys, "top_pt", True, ["left_pt", "word_idx"], "read_pos")
+
+
 def left_to_right(lined: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``line_pos``, the 0-based place from the left, to the words of each line."""
-    across = Window.partitionBy(*keys).orderBy("left_pt", "word_idx")
-    return lined.withColumn("line_pos", F.row_number().over(across) - 1)
+    """Add ``line_pos``, the place from the left in each line, whatever the height."""
+    return _position(lined, keys, "left_pt", False, ["word_idx"], "line_pos")

@@ -91,23 +91,24 @@ def _begins(tokens: list[str], word: Column, after) -> Column:
     return cond & F.startswith(after(len(tokens) - 1), F.lit(last))
 
 
-def _hit_columns(words: DataFrame, terms: list[Term], dense: bool) -> DataFrame:
+def _hit_columns(words: DataFrame, terms: list[Term], dense: bool, bounds: bool) -> DataFrame:
     """Words of all chunks with, per term, ``hit_n``: the end of its run, or null.
 
-    ``hit_n`` holds the last word ``j`` and the bounds of the words of the match behind its
-    first, null when there are none. One shuffle and one sort: all windows share their
+    ``hit_n`` holds the last word ``j`` and, if asked for, the bounds of the words of the match
+    behind its first, null when there are none. One shuffle and one sort: all windows share their
     partitioning and order.
     """
     reach = max(t.reach for t in terms)
     depth = max(len(t.tokens) for t in terms) - 1
+    box = _BOX if bounds else ()
     base = _chunked(_dense(words, dense).withColumnRenamed("pos", "at"), reach).select(
-        *K, "chunk", "own", "at", F.lower("text").alias("low"), (utf16_length(F.col("text")) + 1).alias("len"), *_BOX
+        *K, "chunk", "own", "at", F.lower("text").alias("low"), (utf16_length(F.col("text")) + 1).alias("len"), *box
     )
     # Descending, so that what lies ahead on the page lies behind in the frame, and frames only grow.
     order = Window.partitionBy(*K, "chunk").orderBy(F.desc("at"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     ahead = {
-        f"{c}_{m}": F.lag(c, m).over(order) for m in range(1, depth + 1) for c in ("low", "len", *_BOX)
+        f"{c}_{m}": F.lag(c, m).over(order) for m in range(1, depth + 1) for c in ("low", "len", *box)
     }
     # Characters from each word to the end of the chunk.
     rows = base.withColumns({"rest": F.sum("len").over(so_far), **ahead})
@@ -121,7 +122,7 @@ def _hit_columns(words: DataFrame, terms: list[Term], dense: bool) -> DataFrame:
         begins = _begins(t.tokens, F.col("low"), lambda m: F.col(f"low_{m}"))
         # What is left at the last word of the match.
         rest = F.col("rest") - sum([F.col("len"), *behind("len", k - 1)], F.lit(0)) if k else F.col("rest")
-        tail = [_edge(c, behind(c, k)).alias(c) for c in _BOX]
+        tail = [_edge(c, behind(c, k)).alias(c) for c in box]
         match = F.struct((F.col("at") + k).alias("j"), rest.alias("rest"), *tail)
         nexts[f"next_{n}"] = F.last(F.when(begins, match), ignorenulls=True).over(so_far)
     rows = rows.withColumns(nexts)
@@ -131,7 +132,7 @@ def _hit_columns(words: DataFrame, terms: list[Term], dense: bool) -> DataFrame:
         # Length of the run without its last word; the run may grow while that is short enough.
         within = (end["j"] == F.col("at")) | (F.col("rest") - end["rest"] - 1 < t.n + LOOK_AHEAD)
         hits.append(F.when(within, end).alias(f"hit_{n}"))
-    return rows.select(*K, "chunk", "own", "at", *_BOX, *hits)
+    return rows.select(*K, "chunk", "own", "at", *box, *hits)
 
 
 def _edge(side: str, values: list[Column]) -> Column:
@@ -155,7 +156,7 @@ def phrase_search(words: DataFrame, queries: DataFrame, dense: bool = False) ->
         return _search_by_join(words, queries, dense)
     if not terms:
         return _no_hits(words)
-    wide = _hit_columns(words, terms, dense)
+    wide = _hit_columns(words, terms, dense, bounds=True)
     found = F.array_compact(
         F.array(
             *[
@@ -205,7 +206,7 @@ def search_counts(words: DataFrame, pages: DataFrame, queries: DataFrame, dense:
     elif not terms:
         counts = _no_hits(words).select("query_id", *K, F.lit(0).cast("long").alias("n_hits"))
     else:
-        wide = _hit_columns(words, terms, dense)
+        wide = _hit_columns(words, terms, dense, bounds=False)
         per_page = wide.where("own").groupBy(*K).agg(*[F.count(f"hit_{n}.j").alias(f"n_{n}") for n in range(len(terms))])
         rows = F.array(
             *[

@@ -191,10 +191,10 @@ def _canvas_y() -> tuple[Column, Column, Column]:
     return sy, upper, upper + (F.col("top_pt") - F.col("bottom_pt")) * sy
 
 
-def _words_on_heights(heights: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs of a click height and a word whose line it is on, each pair once.
+def _on_heights(heights: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs of a click height and a word (or anything with a top and a bottom) it is level with.
 
-    Both sides span bands: the first band they share is the one in which they meet.
+    Both sides span bands: the first band they share is the one in which they meet, once.
     """
     y_pt = (F.col("render_h") - F.col("click_y")) * F.col("height_pt") / F.col("render_h")
     # A point of slack keeps rounding out of the band; the exact test follows.
@@ -246,7 +246,7 @@ def _per_click(clicks: DataFrame, lines: DataFrame) -> DataFrame:
 
 def line_at_point(clicks: DataFrame, words: DataFrame, pages: DataFrame, dims: DataFrame) -> DataFrame:
     """The line of words at the height of each click; clicks between lines drop out."""
-    matched = _words_on_heights(_click_heights(clicks, pages, dims), words)
+    matched = _on_heights(_click_heights(clicks, pages, dims), words)
     return _per_click(clicks, _edit_context(matched, [*K, "click_y"]))
 
 
@@ -257,14 +257,14 @@ def nearest_line(clicks: DataFrame, words: DataFrame, pages: DataFrame, dims: Da
     """
     heights = _click_heights(clicks, pages, dims)
     keys = [*K, "click_y"]
-    lost = heights.join(_words_on_heights(heights, words).select(*keys), keys, "left_anti")
+    # Vertical extents are few compared with words, and all that the first two steps need.
+    extents = words.groupBy(*K, "top_pt", "bottom_pt").agg(F.min("word_idx").alias("word_idx"))
+    level = _on_heights(heights, extents).select(*keys).distinct()
+    lost = heights.join(level, keys, "left_anti")
     _, upper, lower = _canvas_y()
     scales = page_scales(pages, dims)
     mids = (
-        words.select(*K, "word_idx", "top_pt", "bottom_pt")
-        .groupBy(*K, "top_pt", "bottom_pt")
-        .agg(F.min("word_idx").alias("word_idx"))
-        .join(scales, K)
+        extents.join(scales, K)
         .groupBy(*K, ((upper + lower) / 2).alias("mid"))
         .agg(F.min("word_idx").alias("word_idx"))
     )
