@@ -479,7 +479,7 @@ def search_stream(t: Inputs) -> DataFrame:
     root = new_path(t.spark, "search-stream")
     fields = [f.name for f in WORDS.fields if f.name not in (*K, "word_idx")]
     arrived = t.words.groupBy(*K).agg(
-        F.array_sort(F.collect_list(F.struct("word_idx", *fields))).alias("ws")
+        F.sort_array(F.collect_list(F.struct("word_idx", *fields))).alias("ws")
     )
     words = F.transform("ws", lambda w: F.struct(*[w[f].alias(f) for f in fields]))
     arrived.select(*K, words.alias("words")).write.parquet(f"{root}/pages")

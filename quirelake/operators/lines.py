@@ -20,8 +20,8 @@ def reading_key() -> Column:
 
 def join_text(key: Column, text: Column, sep: str) -> Column:
     """Aggregate: the texts of a group in the order of ``key``."""
-    ordered = F.array_sort(F.collect_list(F.struct(key.alias("k"), text.alias("t"))))
-    return F.array_join(F.transform(ordered, lambda s: s["t"]), sep)
+    ordered = F.sort_array(F.collect_list(F.struct(key.alias("k"), text.alias("t"))))
+    return F.array_join(ordered["t"], sep)
 
 
 def _anchors(tops: Column, tolerance: float) -> Column:

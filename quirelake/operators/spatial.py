@@ -224,7 +224,7 @@ def _edit_context(matched: DataFrame, keys: list[str]) -> DataFrame:
         upper.alias("t"), lower.alias("b"),
     )
     line = cols.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("l", "word_idx", "text"))).alias("ws"),
+        F.sort_array(F.collect_list(F.struct("l", "word_idx", "text"))).alias("ws"),
         F.min_by(F.struct("font_size", "font_name"), F.struct("l", "word_idx")).alias("first"),
         F.first("sy").alias("sy"),
         F.min("l").alias("x"), F.min("t").alias("y"), F.max("r").alias("r"), F.max("b").alias("b"),
