@@ -88,7 +88,8 @@ def annotation_state(events: DataFrame) -> DataFrame:
     )
     log = cut_lineage(log)
     settled = None
-    while True:
+    # Each round settles the latest open deletion of every page at least.
+    for _ in range(log.where("removed").count() + 1):
         decided = cut_lineage(_decide(log))
         moved = decided.where("flipped").select(*K).distinct()
         # A page whose deletions all stand as assumed is finished; the others go on.
@@ -97,6 +98,8 @@ def annotation_state(events: DataFrame) -> DataFrame:
         if moved.isEmpty():
             break
         log = decided.join(moved, K, "left_semi").drop("flipped", "undo_seq")
+    else:
+        raise ValueError("seq is not unique in a document")
     alive = (F.col("op") == "add") & ~F.col("removed") & F.col("undo_seq").isNull()
     return settled.where(alive).select(*K, "seq", "annot_id")
 

@@ -11,22 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells per axis between the two outer ones.
 CELLS = 16
 
 
-def cell(v: Column, size: float) -> Column:
-    """Cell number of a coordinate along one axis, from 0 to ``CELLS - 1``."""
-    return F.least(F.greatest(F.floor(v / size), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+def cell(v: Column, size: float | Column, cells: int | Column = CELLS) -> Column:
+    """Cell number of a coordinate along one axis: -1 below zero, up to ``cells`` beyond the grid."""
+    last = F.lit(cells) if isinstance(cells, int) else cells
+    return F.least(F.greatest(F.floor(v / size), F.lit(-1)), last).cast("int")
 
 
-def spread_span(df: DataFrame, lo: Column, hi: Column, size: float, out: str) -> DataFrame:
+def spread_span(
+    df: DataFrame, lo: Column, hi: Column, size: float | Column, out: str, cells: int | Column = CELLS
+) -> DataFrame:
     """One row per cell that the span ``[lo, hi]`` touches; spans with ``hi < lo`` drop out."""
-    return df.where(lo <= hi).withColumn(out, F.explode(F.sequence(cell(lo, size), cell(hi, size))))
+    touched = F.sequence(cell(lo, size, cells), cell(hi, size, cells))
+    return df.where(lo <= hi).withColumn(out, F.explode(touched))
 
 
 def spread_box(
-    df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float,
-    out_x: str = "cell_x", out_y: str = "cell_y",
+    df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float | Column,
+    cells: int | Column = CELLS,
 ) -> DataFrame:
-    """One row per cell that the box touches."""
-    return spread_span(spread_span(df, x0, x1, size, out_x), y0, y1, size, out_y)
+    """One row per cell that the box touches, as ``cell_x`` and ``cell_y``."""
+    return spread_span(spread_span(df, x0, x1, size, "cell_x", cells), y0, y1, size, "cell_y", cells)

@@ -89,7 +89,10 @@ def test_hit_rules_by_kind(spark):
     assert tuple(got[6])[5:] == (500.0, 500.0, 40.0, 4.0)
 
 
-def test_random_hits_across_cells(spark):
+@pytest.mark.parametrize("crowded", [False, True])
+def test_random_hits_across_cells(spark, monkeypatch, crowded):
+    if crowded:
+        monkeypatch.setattr(S, "CROWDED_PAGE", 10)
     rng = random.Random(9)
     rows, rects = [], []
     for seq in range(200):
@@ -100,7 +103,7 @@ def test_random_hits_across_cells(spark):
         else:
             rows.append({"seq": seq, "kind": "ink", "points": [r[:2], (r[0] + r[2], r[1] + r[3])]})
     points = [(rng.randint(-600, 4500), rng.randint(-600, 4500)) for _ in range(400)]
-    points += [(r[0] + 10, r[1] + 10) for r in rects]
+    points += [(r[0] + 10, r[1] + 10) for r in rects] + [(128 * n, 32 * n) for n in range(40)]
     want = {}
     for n, (px, py) in enumerate(points):
         for seq, (x, y, w, h) in enumerate(rects):
