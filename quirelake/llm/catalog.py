@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import chat, decontaminate, language, packing, pages, quality, secrets, simhash, urls
+from quirelake.llm import audio, chat, decontaminate, language, packing, pages, quality, secrets, simhash, urls
 from quirelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": lambda spark, sf: decontaminate.report(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op2_extract": lambda spark, sf: pages.extract(table(spark, sf, "pages")),
     "op3_pack": lambda spark, sf: packing.pack(table(spark, sf, "documents")),
+    "op4_audio": lambda spark, sf: audio.report(table(spark, sf, "embeddings")),
     "op5_simhash": lambda spark, sf: simhash.report(table(spark, sf, "documents")),
     "op6_chat": lambda spark, sf: chat.report(chat.with_forgery(table(spark, sf, "conversations"))),
     "op7_quality": lambda spark, sf: quality.scored(table(spark, sf, "documents"), table(spark, sf, "labels")),
