@@ -5,15 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.plans.scan import spread_scan
+from quirelake.plans.blocks import dense_position
 from quirelake.schemas import RGBA, K
 from quirelake.sources import layout
 
 #: Queries of the search examples: one too short to search as typed, one blank, one without hits.
 QUERIES = [(0, "the"), (1, "er"), (2, "of the"), (3, "hat th"), (4, "a"), (5, "   "), (6, "zzqx")]
+#: Those worth running as they are typed; the gate, as a query of its own, is held against the same rule.
+LIVE = [(i, q) for i, q in QUERIES if len(q) > 1 and q.strip()]
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class Inputs:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return spread_scan(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -48,6 +50,19 @@ class Inputs:
     def queries(self) -> DataFrame:
         return self.spark.createDataFrame(QUERIES, "query_id int, q string")
 
+    @cached_property
+    def many_queries(self) -> DataFrame:
+        """The benchmark texts cut into phrases of three words, those of an item under one id."""
+        words = F.split(F.col("text"), "[ \\n]+")
+        at = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))
+        phrase = F.transform(at, lambda i: F.array_join(F.slice(words, i, 3), " "))
+        rows = self.table("benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.explode(phrase).alias("q"))
+        return rows.where("query_id % 7 <> 3").unionByName(rows.where("query_id % 7 = 3").withColumn("q", F.lit(None).cast("string")))
+
+    def every_page(self, queries: list[tuple[int, str]]) -> DataFrame:
+        """A request for each of some queries on each page."""
+        return self.pages.select(*K, F.explode(F.array(*[F.lit(i) for i, _ in queries])).alias("query_id"))
+
     def _placed(self, pages: int) -> DataFrame:
         """One box per event, on one of the first pages of a document."""
         return self.events.selectExpr(
@@ -118,17 +133,14 @@ class Inputs:
 
     @cached_property
     def annot_events(self) -> DataFrame:
-        """Event log; a deletion aims at the third event before it in the same document.
-
-        The look back is taken inside blocks of 65,536 event ids, so that a busy document is
-        not sorted as one.
-        """
+        """Event log; a deletion aims at the third event before it in the same document."""
         op = (
             "case when event_id % 97 = 0 then 'reload' when event_id % 31 = 0 then 'clear'"
             " when event_id % 5 = 0 then 'undo' when event_id % 7 = 0 then 'delete' else 'add' end"
         )
-        recent = Window.partitionBy("user_id", F.shiftright("event_id", 16)).orderBy("event_id")
-        events = self.events.withColumn("back", F.lag("event_id", 3).over(recent))
+        ranked = dense_position(self.events, ["user_id"], "event_id", "n")
+        earlier = ranked.select("user_id", (F.col("n") + 3).alias("n"), F.col("event_id").alias("back"))
+        events = ranked.join(earlier, ["user_id", "n"], "left")
         return events.selectExpr(
             "user_id as doc_id", "event_id as seq", "cast(event_id % 3 as int) as page_idx", f"{op} as op",
             f"case {op} when 'add' then event_id when 'delete' then back end as annot_id",

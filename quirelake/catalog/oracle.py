@@ -6,7 +6,7 @@ way: runs grown word by word, anchors by recursion, the event log folded step by
 
 from __future__ import annotations
 
-from quirelake.catalog.inputs import QUERIES
+from quirelake.catalog.inputs import LIVE, QUERIES
 
 # --- inputs ----------------------------------------------------------------------------------
 
@@ -32,7 +32,7 @@ tok AS (
   SELECT doc_id, count(*) AS n FROM doc_pages GROUP BY doc_id
 )"""
 
-_QUERIES = "queries(query_id, q) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in QUERIES if len(q) > 1 and q.strip()) + ")"
+_QUERIES = "queries(query_id, q) AS (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in LIVE) + ")"
 
 
 def _placed(pages: int) -> str:
@@ -90,7 +90,7 @@ log AS (
     CASE op WHEN 'add' THEN event_id WHEN 'delete' THEN back END AS annot_id
   FROM (
     SELECT event_id, user_id,
-      lag(event_id, 3) OVER (PARTITION BY user_id, event_id // 65536 ORDER BY event_id) AS back,
+      lag(event_id, 3) OVER (PARTITION BY user_id ORDER BY event_id) AS back,
       CASE WHEN event_id % 97 = 0 THEN 'reload' WHEN event_id % 31 = 0 THEN 'clear'
         WHEN event_id % 5 = 0 THEN 'undo' WHEN event_id % 7 = 0 THEN 'delete' ELSE 'add' END AS op
     FROM events
@@ -127,6 +127,53 @@ hits AS (
   GROUP BY ALL
 )"""
 
+# The same for the phrases of the benchmark texts; only pages that hold a phrase are grown on.
+_MANY_RUNS = """
+phrases AS (
+  SELECT row_number() OVER () AS phrase, query_id, lower(q) AS q FROM (
+    SELECT CAST(item_id AS INTEGER) AS query_id, array_to_string(ws[i:i + 2], ' ') AS q
+    FROM (SELECT item_id, string_split_regex(text, '[ \\n]+') AS ws FROM benchmark),
+      unnest(range(1, greatest(len(ws) - 2, 1) + 1, 3)) AS u(i)
+    WHERE item_id % 7 <> 3) WHERE trim(q) <> ''
+), page_strings AS (
+  SELECT doc_id, page_idx, lower(string_agg(text, ' ' ORDER BY word_idx)) AS s FROM words GROUP BY doc_id, page_idx
+), holding AS (
+  SELECT phrase, query_id, q, doc_id, page_idx, s FROM page_strings, phrases WHERE contains(s, q)
+), starts AS (
+  SELECT doc_id, page_idx, word_idx AS i,
+    CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, page_idx ORDER BY word_idx
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + 1 AS start_at
+  FROM words
+), cuts AS (
+  SELECT phrase, query_id, q, doc_id, page_idx, i, substr(substr(s, start_at), 1, instr(substr(s, start_at), q) - 1 + length(q)) AS m
+  FROM holding JOIN starts USING (doc_id, page_idx)
+  WHERE instr(substr(s, start_at), q) > 0
+), runs AS (
+  SELECT phrase, query_id, doc_id, page_idx, i, CAST(i + len(string_split(m, ' ')) - 1 AS INTEGER) AS j
+  FROM cuts
+  WHERE len(string_split(m, ' ')) = 1
+    OR length(array_to_string(list_slice(string_split(m, ' '), 1, len(string_split(m, ' ')) - 1), ' ')) < length(q) + 20
+)"""
+
+_HITS_OF_ROWS = """
+hits AS (
+  SELECT query_id, doc_id, page_idx, i, j, left_pt, bottom_pt, right_pt, top_pt FROM (
+    SELECT r.phrase, r.query_id, r.doc_id, r.page_idx, r.i, r.j, min(left_pt) AS left_pt, min(bottom_pt) AS bottom_pt,
+      max(right_pt) AS right_pt, max(top_pt) AS top_pt
+    FROM runs r JOIN words w ON w.doc_id = r.doc_id AND w.page_idx = r.page_idx AND w.word_idx BETWEEN r.i AND r.j
+    GROUP BY ALL)
+)"""
+
+# Words not under an edit, numbered anew.
+_SHOWN = """
+shown AS (
+  SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY word_idx) - 1 AS INTEGER) AS word_idx)
+  FROM words v WHERE NOT EXISTS (
+    SELECT 1 FROM ann a WHERE a.kind = 'text_edit' AND a.doc_id = v.doc_id AND a.page_idx = v.page_idx
+      AND (left_pt + right_pt) / 2 BETWEEN (x - 2) / 2 AND (x + w + 2) / 2
+      AND (bottom_pt + top_pt) / 2 BETWEEN 792 - (y + h + 2) / 2 AND 792 - (y - 2) / 2)
+)"""
+
 _IN_REGION = """
 inside AS (
   SELECT p.event_id AS region_id, w.* FROM placed p JOIN words w USING (doc_id, page_idx)
@@ -298,8 +345,11 @@ FROM doc_pages m JOIN (
 SQL: dict[str, str] = {
     "layout_text": _W + "SELECT * FROM words",
     "corpus_roundtrip": _W + "SELECT doc_id, page_idx, word_idx, text, left_pt, top_pt, height_pt FROM words JOIN doc_pages USING (doc_id, page_idx)",
+    "read_documents": _W + "SELECT doc_id, page_idx, word_idx, text FROM words WHERE doc_id % 97 = 5",
     "burned_corpus": _WA + f"SELECT kind, count(*) AS n, round(sum(x1), 3) AS sum_x1 FROM ({_flatten('ann')}) GROUP BY kind",
     "pdf_inventory": """
+SELECT 'source=' || source AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source""",
+    "select_files": """
 SELECT path, n_chars AS length FROM (
   SELECT source || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.pdf.bak' ELSE '.txt' END AS path, n_chars
   FROM documents) WHERE path ILIKE '%.pdf'""",
@@ -314,6 +364,10 @@ SELECT 's' || event_id AS id, 'Signature ' || event_id AS name, 400.0::DOUBLE AS
   '[[{"x":0.0,"y":0.0},{"x":10.0,"y":5.0},{"x":20.0,"y":0.0}],[' ||
   CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '{"x":0.0,"y":10.0}' ELSE '{"x":0.0,"y":10.0},{"x":5.0,"y":11.0}' END || ']]' AS strokes
 FROM events WHERE event_type = 'error'""",
+    "signature_array_roundtrip": """
+SELECT CAST(event_id % 8 AS BIGINT) AS shard, 's' || event_id AS id, 400.0::DOUBLE AS canvas_w,
+  CAST(100 + event_id % 100 AS DOUBLE) AS canvas_h, CAST(3 + event_id % 3 AS INTEGER) AS n_points
+FROM events WHERE event_type = 'error' AND event_id % 8 <> 5""",
     "page_to_canvas": _W + """
 SELECT doc_id, page_idx, word_idx, left_pt * 2 AS x, 1584 - top_pt * 2 AS y, (right_pt - left_pt) * 2 AS w,
   (top_pt - bottom_pt) * 2 AS h FROM words""",
@@ -399,6 +453,13 @@ FROM words""",
     "left_to_right": _with(_WORDS, _lines("words", "doc_id, page_idx")) + """
 SELECT doc_id, page_idx, word_idx, line_no,
   row_number() OVER (PARTITION BY doc_id, page_idx, line_no ORDER BY left_pt, word_idx) - 1 AS line_pos FROM lined""",
+    "phrase_search_joined": _with(_WORDS, _RUNS, _HITS) + "SELECT * FROM hits",
+    "phrase_search_many": _with(_WORDS, _MANY_RUNS, _HITS_OF_ROWS) + "SELECT * FROM hits",
+    "search_counts_many": _with(_WORDS, _MANY_RUNS) + """
+SELECT query_id, doc_id, page_idx, count(*) AS n_hits, count(*) || ' found' AS status FROM runs
+GROUP BY query_id, doc_id, page_idx""",
+    "phrase_search_gaps": _with(_WORDS, _ANN, _SHOWN, _RUNS.replace("FROM words", "FROM shown")) + """
+SELECT query_id, doc_id, page_idx, i, j FROM runs""",
     "phrase_search": _with(_WORDS, _RUNS, _HITS) + "SELECT * FROM hits",
     "search_counts": _with(_WORDS, _RUNS) + """
 SELECT query_id, doc_id, page_idx, n_hits, CASE WHEN n_hits > 0 THEN n_hits || ' found' ELSE 'No matches' END AS status FROM (
@@ -455,5 +516,5 @@ FROM ink GROUP BY doc_id, page_idx, seq""",
     "draw_signature": _WA + _draw_signature(),
     "flatten_annotations": _with(_WORDS, _ANN, _ACCEPTED) + _flatten("accepted"),
     "annotation_state_stream": _STATE_SQL,
-    "search_stream": _with(_WORDS, _RUNS) + "SELECT query_id, doc_id, page_idx, i, j FROM runs",
+    "search_stream": _with(_WORDS, _RUNS, _HITS) + "SELECT * FROM hits",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.catalog.inputs import Inputs
+from quirelake.catalog.inputs import LIVE, Inputs
 from quirelake.functions import geometry as geo
 from quirelake.functions import text as txt
 from quirelake.operators import annotations as ann
@@ -17,7 +17,7 @@ from quirelake.operators import lines, pages, search, spatial
 from quirelake.plans.lineage import new_path
 from quirelake.schemas import ANNOT_EVENTS, K, WORDS
 from quirelake.sources import corpus as src
-from quirelake.sources.signatures import read_signatures, write_signatures
+from quirelake.sources.signatures import as_json, read_signatures, write_signatures
 from quirelake.streaming import annotation_state as ann_stream
 from quirelake.streaming import search as page_stream
 
@@ -75,8 +75,27 @@ def burned_corpus(t: Inputs) -> DataFrame:
     return ops.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 3).alias("sum_x1"))
 
 
+@query
+def read_documents(t: Inputs) -> DataFrame:
+    """Some documents of a written corpus, read from the folders that hold them."""
+    path = new_path(t.spark, "corpus")
+    src.write_corpus(src.Corpus(t.pages, t.words, t.annotations, t.dims), path)
+    wanted = t.documents.where("doc_id % 97 = 5").select("doc_id")
+    return src.read_corpus(t.spark, path, wanted).words.select(*K, "word_idx", "text")
+
+
 @query
 def pdf_inventory(t: Inputs) -> DataFrame:
+    """Bytes below each folder of texts that Spark has written, from the listing alone."""
+    path = new_path(t.spark, "inventory")
+    t.documents.select("source", "text").write.partitionBy("source").text(path)
+    files = src.pdf_inventory(t.spark, path, extension=".TXT")
+    folder = F.element_at(F.split("path", "/"), -2)
+    return files.groupBy(folder.alias("folder")).agg(F.sum("length").alias("n_bytes"))
+
+
+@query
+def select_files(t: Inputs) -> DataFrame:
     path = (
         "concat(source, '/', doc_id, case doc_id % 4 when 0 then '.pdf' when 1 then '.PDF'"
         " when 2 then '.pdf.bak' else '.txt' end) as path"
@@ -110,6 +129,23 @@ def signature_roundtrip(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def signature_array_roundtrip(t: Inputs) -> DataFrame:
+    """Lists of signatures as one JSON array per file; those of one folder are cut short and count as empty."""
+    path = new_path(t.spark, "signature-arrays")
+    shard = F.expr("cast(substring(id, 2) as long) % 8").alias("shard")
+    lists = t.signatures.groupBy(shard).agg(F.collect_list(as_json(F.struct("*"))).alias("rows"))
+    text = F.concat(F.lit("[\n"), F.array_join("rows", ",\n"), F.lit("]"))
+    cut = F.when(F.col("shard") == 5, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    # A folder for each list, and one file in it.
+    lists.select("shard", cut.alias("value")).write.option("lineSep", "\n\n").partitionBy("shard").text(path)
+    saved = read_signatures(t.spark, path)
+    return saved.select(
+        F.expr("cast(substring(id, 2) as long) % 8").alias("shard"), "id", "canvas_w", "canvas_h",
+        F.expr("cast(aggregate(strokes, 0, (n, s) -> n + size(s)) as int)").alias("n_points"),
+    )
+
+
 # --- column functions ------------------------------------------------------------------------
 
 
@@ -290,17 +326,41 @@ def left_to_right(t: Inputs) -> DataFrame:
 
 @query
 def phrase_search(t: Inputs) -> DataFrame:
-    return search.phrase_search(t.words, flt.search_gate(t.queries), dense=True)
+    return search.phrase_search(t.words, LIVE, dense=True)
 
 
 @query
 def search_counts(t: Inputs) -> DataFrame:
-    return search.search_counts(t.words, t.pages, flt.search_gate(t.queries), dense=True)
+    return search.search_counts(t.words, LIVE, t.every_page(LIVE), dense=True)
+
+
+@query
+def phrase_search_joined(t: Inputs) -> DataFrame:
+    """The same queries as a table: the same hits."""
+    return search.phrase_search(t.words, flt.search_gate(t.queries), dense=True)
+
+
+@query
+def phrase_search_many(t: Inputs) -> DataFrame:
+    return search.phrase_search(t.words, t.many_queries, dense=True)
+
+
+@query
+def search_counts_many(t: Inputs) -> DataFrame:
+    return search.search_counts(t.words, t.many_queries, dense=True)
+
+
+@query
+def phrase_search_gaps(t: Inputs) -> DataFrame:
+    """Words that edits have whited out do not count."""
+    edits = t.annotations.where("kind = 'text_edit'")
+    shown = spatial.visible_words(t.words, edits, t.pages, t.dims)
+    return search.phrase_search(shown, LIVE).select("query_id", *K, "i", "j")
 
 
 @query
 def search_boxes(t: Inputs) -> DataFrame:
-    hits = search.phrase_search(t.words, flt.search_gate(t.queries), dense=True)
+    hits = search.phrase_search(t.words, LIVE, dense=True)
     return search.search_boxes(hits, t.pages, t.dims)
 
 
@@ -485,7 +545,7 @@ def search_stream(t: Inputs) -> DataFrame:
     arrived.select(*K, words.alias("words")).write.parquet(f"{root}/pages")
     stream = t.spark.readStream.schema(page_stream.ARRIVING_PAGES).parquet(f"{root}/pages")
     run = page_stream.search_stream(
-        stream, flt.search_gate(t.queries), f"{root}/hits", f"{root}/state", availableNow=True
+        stream, LIVE, f"{root}/hits", f"{root}/state", availableNow=True
     )
     run.awaitTermination()
-    return t.spark.read.parquet(f"{root}/hits").select("query_id", *K, "i", "j")
+    return t.spark.read.parquet(f"{root}/hits").drop("batch")

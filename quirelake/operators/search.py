@@ -9,6 +9,12 @@ A match of a query with ``k`` spaces always spans ``k + 1`` words, so whether on
 word is a test on that word and its ``k`` successors (ends with, equals, starts with), and the
 shortest run from a start word ends with the next match that begins at or after it. That takes
 no text windows and no comparison of all runs with all queries.
+
+Queries come in one of two forms, with the same hits. A Python list is a handful that somebody typed: its
+queries become literals, and words are shuffled and sorted once (64 terms carry 64 columns, so keep lists
+short). A table ``queries(query_id, q)`` of any size is matched by equi-joins. In both, null and blank queries are
+dropped, every other row is searched on its own, and rows that share a ``query_id`` each report their hits
+under it.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.geometry import highlight_box, page_to_canvas
-from quirelake.functions.text import hit_status, utf16_length
+from quirelake.functions.text import hit_status, is_blank, utf16_length
 from quirelake.operators.spatial import page_scales
 from quirelake.plans.blocks import dense_position, running_sum
 from quirelake.schemas import K
@@ -28,9 +34,6 @@ from quirelake.schemas import K
 LOOK_AHEAD = 20
 #: Pages are searched in chunks of 2 ** CHUNK_BITS words.
 CHUNK_BITS = 12
-#: Up to this many queries become literals of one plan; more are matched by a join.
-MAX_LITERAL_QUERIES = 64
-
 _BOX = ("left_pt", "bottom_pt", "right_pt", "top_pt")
 
 
@@ -50,14 +53,19 @@ class Term:
         return self.n + LOOK_AHEAD + 1
 
 
-def _terms(queries: DataFrame) -> list[Term] | None:
-    """The queries as literals, or None when there are too many for that."""
-    rows = (
-        queries.select(F.col("query_id"), F.lower("q").alias("q"), utf16_length(F.col("q")).alias("n"))
-        .limit(MAX_LITERAL_QUERIES + 1)
-        .collect()
-    )
-    return None if len(rows) > MAX_LITERAL_QUERIES else [Term(r.query_id, r.q, r.n) for r in rows]
+#: A short list of (query_id, q), or a table of them.
+Queries = list[tuple[int, str | None]] | DataFrame
+
+
+def _terms(queries: list[tuple[int, str | None]]) -> list[Term]:
+    """The queries of a list; blank ones are dropped."""
+    return [Term(i, q.lower(), len(q.encode("utf-16-le")) // 2) for i, q in queries if q and q.strip()]
+
+
+def _term_rows(queries: DataFrame) -> DataFrame:
+    """query_id, q in lower case and length ``n`` of a table of queries; null and blank ones are dropped."""
+    kept = queries.where(~is_blank(F.col("q")))
+    return kept.select("query_id", F.lower("q").alias("q"), utf16_length(F.col("q")).alias("n"))
 
 
 def _chunked(words: DataFrame, reach: int) -> DataFrame:
@@ -144,16 +152,17 @@ def _edge(side: str, values: list[Column]) -> Column:
     return F.least(*values) if side in ("left_pt", "bottom_pt") else F.greatest(*values)
 
 
-def phrase_search(words: DataFrame, queries: DataFrame, dense: bool = False) -> DataFrame:
+def phrase_search(words: DataFrame, queries: Queries, dense: bool = False) -> DataFrame:
     """Hits ``query_id, doc_id, page_idx, i, j`` with the bounds of words ``i`` to ``j``.
 
-    ``queries(query_id, q)`` are taken as they come; gate them with ``search_gate`` first.
-    ``dense=True`` says that ``word_idx`` has no gaps; otherwise words are numbered anew, and
-    ``i`` and ``j`` are those numbers.
+    Queries are taken as they come; gate them with ``search_gate`` first. ``dense=True`` says that ``word_idx`` has
+    no gaps; otherwise words are numbered anew, and ``i`` and ``j`` are those numbers.
     """
+    if isinstance(queries, DataFrame):
+        rows = _term_rows(queries)
+        hits = _search_by_join(words, rows.select("q", "n").distinct(), dense)
+        return rows.join(hits, ["q", "n"]).select("query_id", *K, "i", "j", *_BOX)
     terms = _terms(queries)
-    if terms is None:
-        return _search_by_join(words, queries, dense)
     if not terms:
         return _no_hits(words)
     wide = _hit_columns(words, terms, dense, bounds=True)
@@ -192,29 +201,38 @@ def _no_hits(words: DataFrame) -> DataFrame:
     )
 
 
-def search_counts(words: DataFrame, pages: DataFrame, queries: DataFrame, dense: bool = False) -> DataFrame:
-    """Hits per query and page, pages without hits included, with the status text.
+def search_counts(
+    words: DataFrame, queries: Queries, requests: DataFrame | None = None, dense: bool = False
+) -> DataFrame:
+    """Hits per ``query_id`` and page, with the status text.
 
-    With literal queries a page's counts are one pre-aggregated row; hits are never shuffled.
+    Pages without hits are left out, unless ``requests(query_id, doc_id, page_idx)`` says what to report: then
+    exactly those rows come back, with zeros. From a list of queries a page's counts are one pre-aggregated row;
+    hits are never shuffled.
     """
-    terms = _terms(queries)
-    if terms is None:
-        per_hit = _search_by_join(words, queries, dense).groupBy("query_id", *K).agg(F.count("*").alias("n"))
-        grid = _every_query_on_every_page(pages, queries)
-        counts = grid.join(per_hit, ["query_id", *K], "left")
-        counts = counts.withColumn("n_hits", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
-    elif not terms:
-        counts = _no_hits(words).select("query_id", *K, F.lit(0).cast("long").alias("n_hits"))
-    else:
+    if isinstance(queries, DataFrame):
+        rows = _term_rows(queries)
+        per_term = _search_by_join(words, rows.select("q", "n").distinct(), dense, bounds=False)
+        per_term = per_term.groupBy("q", "n", *K).agg(F.count("*").alias("hits"))
+        counts = rows.join(per_term, ["q", "n"]).groupBy("query_id", *K).agg(F.sum("hits").alias("n_hits"))
+    elif terms := _terms(queries):
         wide = _hit_columns(words, terms, dense, bounds=False)
         per_page = wide.where("own").groupBy(*K).agg(*[F.count(f"hit_{n}.j").alias(f"n_{n}") for n in range(len(terms))])
+        of: dict[int, list[str]] = {}
+        for n, t in enumerate(terms):
+            of.setdefault(t.query_id, []).append(f"n_{n}")
         rows = F.array(
             *[
-                F.struct(F.lit(t.query_id).alias("query_id"), F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias("n_hits"))
-                for n, t in enumerate(terms)
+                F.struct(F.lit(i).alias("query_id"), sum([F.col(c) for c in cs], F.lit(0).cast("long")).alias("n_hits"))
+                for i, cs in of.items()
             ]
         )
-        counts = pages.select(*K).join(per_page, K, "left").select(*K, F.inline(rows))
+        counts = per_page.select(*K, F.inline(rows)).where("n_hits > 0")
+    else:
+        counts = _no_hits(words).select("query_id", *K, F.lit(0).cast("long").alias("n_hits"))
+    if requests is not None:
+        asked = requests.select("query_id", *K).join(counts, ["query_id", *K], "left")
+        counts = asked.withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
     return counts.select("query_id", *K, "n_hits", hit_status(F.col("n_hits")).alias("status"))
 
 
@@ -244,22 +262,19 @@ def _token_match(token: Column, m: Column, k: Column, word: Column) -> Column:
     )
 
 
-def _search_by_join(words: DataFrame, queries: DataFrame, dense: bool) -> DataFrame:
-    """``phrase_search`` for any number of queries: equi-joins only, none on the page alone.
+def _search_by_join(words: DataFrame, terms: DataFrame, dense: bool, bounds: bool = True) -> DataFrame:
+    """Hits ``q, n, doc_id, page_idx, i, j`` of any number of distinct ``terms(q, n)``; with ``bounds``, boxes too.
 
-    The longest token of a query is looked up in the vocabulary by its first characters, the
-    vocabulary in the words, the other tokens at their places; start words within reach follow
-    by position.
+    Equi-joins only, none on the page alone. The longest token of a term is looked up in the vocabulary by its
+    first characters, the vocabulary in the words, the other tokens at their places; start words within reach
+    follow by position. The first characters are a join key with the exact test behind it and drop nothing.
     """
     tokens = F.split("q", " ")
-    q = queries.select(
-        "query_id", F.lower("q").alias("q"), utf16_length(F.col("q")).alias("n")
-    ).withColumn("tokens", tokens)
     longest = F.array_max(
         F.transform("tokens", lambda t, m: F.struct(F.length(t).alias("len"), (-m).alias("neg"), t.alias("token")))
     )
-    q = q.withColumn("pick", longest).select(
-        "query_id", "n", "tokens", (F.size("tokens") - 1).alias("k"),
+    q = terms.withColumn("tokens", tokens).withColumn("pick", longest).select(
+        "q", "n", "tokens", (F.size("tokens") - 1).alias("k"),
         (-F.col("pick.neg")).alias("m"), F.col("pick.token").alias("token"),
     )
     gram = 3
@@ -282,18 +297,18 @@ def _search_by_join(words: DataFrame, queries: DataFrame, dense: bool) -> DataFr
         vocabulary.select("low", F.explode(grams).alias("gram"))
         .join(q, "gram")
         .where(_token_match(F.col("token"), F.col("m"), F.col("k"), F.col("low")))
-        .select("low", "query_id", "n", "tokens", "k", "m")
+        .select("low", "q", "n", "tokens", "k", "m")
     )
     spots = base.select(*K, "pos", "low").join(known, "low").withColumn("a", F.col("pos") - F.col("m"))
-    spots = spots.where("a >= 0").select("query_id", *K, "a", "n", "k", "m", "tokens")
-    single = spots.where("k = 0").select("query_id", *K, "a", "n", "k")
+    spots = spots.where("a >= 0").select("q", "n", *K, "a", "k", "m", "tokens")
+    single = spots.where("k = 0").select("q", "n", *K, "a", "k")
     others = (
         spots.where("k > 0")
-        .select("query_id", *K, "a", "n", "k", F.posexplode("tokens").alias("t", "token"))
+        .select("q", "n", *K, "a", "k", F.posexplode("tokens").alias("t", "token"))
         .withColumn("pos", F.col("a") + F.col("t"))
         .join(base.select(*K, "pos", "low"), [*K, "pos"])
         .where(_token_match(F.col("token"), F.col("t"), F.col("k"), F.col("low")))
-        .groupBy("query_id", *K, "a", "n", "k")
+        .groupBy("q", "n", *K, "a", "k")
         .agg(F.count("*").alias("fit"))
         .where("fit = k + 1")
         .drop("fit")
@@ -301,34 +316,29 @@ def _search_by_join(words: DataFrame, queries: DataFrame, dense: bool) -> DataFr
     matches = single.unionByName(others).withColumn("j", F.col("a") + F.col("k"))
 
     # Start words after the previous match; across blocks the minimum below removes repeats.
-    block = Window.partitionBy("query_id", *K, F.shiftright("a", CHUNK_BITS)).orderBy("a")
+    block = Window.partitionBy("q", "n", *K, F.shiftright("a", CHUNK_BITS)).orderBy("a")
     first = F.greatest(
         F.coalesce(F.lag("a").over(block) + 1, F.lit(0)), F.col("a") - F.col("n") - LOOK_AHEAD - 1
     )
     starts = matches.withColumn("first", first).select(
-        "query_id", *K, "n", "j", F.explode(F.sequence("first", "a")).alias("i")
+        "q", "n", *K, "j", F.explode(F.sequence("first", "a")).alias("i")
     )
     lengths = running_sum(base.select(*K, "pos", "len"), K, "pos", F.col("len"), "cum")
     lengths = lengths.select(*K, "pos", (F.col("cum") - F.col("len")).alias("before"))
     at_i = lengths.select(*K, F.col("pos").alias("i"), F.col("before").alias("before_i"))
     at_j = lengths.select(*K, F.col("pos").alias("j"), F.col("before").alias("before_j"))
-    nearest = starts.groupBy("query_id", *K, "i", "n").agg(F.min("j").alias("j"))
+    nearest = starts.groupBy("q", "n", *K, "i").agg(F.min("j").alias("j"))
     run = nearest.join(at_i, [*K, "i"]).join(at_j, [*K, "j"])
     grown = F.col("before_j") - F.col("before_i") - 1
-    hits = run.where((F.col("i") == F.col("j")) | (grown < F.col("n") + LOOK_AHEAD))
+    hits = run.where((F.col("i") == F.col("j")) | (grown < F.col("n") + LOOK_AHEAD)).select("q", "n", *K, "i", "j")
+    if not bounds:
+        return hits
     boxed = (
-        hits.select("query_id", *K, "i", "j", F.explode(F.sequence("i", "j")).alias("pos"))
+        hits.select("*", F.explode(F.sequence("i", "j")).alias("pos"))
         .join(base.select(*K, "pos", *_BOX), [*K, "pos"])
-        .groupBy("query_id", *K, "i", "j")
+        .groupBy("q", "n", *K, "i", "j")
     )
     return boxed.agg(
         F.min("left_pt").alias("left_pt"), F.min("bottom_pt").alias("bottom_pt"),
         F.max("right_pt").alias("right_pt"), F.max("top_pt").alias("top_pt"),
     )
-
-
-def _every_query_on_every_page(pages: DataFrame, queries: DataFrame, blocks: int = 256) -> DataFrame:
-    """One row per page and query, which is what zero counts ask for; an equi-join on blocks."""
-    ids = queries.select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    spread = pages.select(*K, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    return spread.join(ids, "block").drop("block")

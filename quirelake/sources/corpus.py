@@ -25,11 +25,28 @@ class Corpus:
     render_dims: DataFrame
 
 
-def read_corpus(spark: SparkSession, path: str) -> Corpus:
-    """Open the corpus below ``path`` (``pages`` and ``words`` folders of parquet)."""
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+
+def read_corpus(
+    spark: SparkSession, path: str, doc_ids: DataFrame | None = None, buckets: int = DOC_BUCKETS
+) -> Corpus:
+    """Open the corpus below ``path`` (``pages`` and ``words`` folders of parquet).
+
+    With ``doc_ids(doc_id)`` only those documents are read: the folders of their buckets (as many as the corpus
+    was written with), and in these the files' own statistics of ``doc_id``.
+    """
+    folders = None
+    if doc_ids is not None:
+        doc_ids = doc_ids.select("doc_id").distinct()
+        folders = [r[0] for r in doc_ids.select(_bucket(buckets)).distinct().collect()]
 
     def table(name: str, schema) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}").select(*schema.names)
+        rows = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}")
+        if folders is not None:
+            rows = rows.where(F.col("doc_bucket").isin(folders)).join(doc_ids, "doc_id", "left_semi")
+        return rows.select(*schema.names)
 
     return Corpus(
         pages=table("pages", schemas.PAGES),
@@ -40,14 +57,14 @@ def read_corpus(spark: SparkSession, path: str) -> Corpus:
 
 
 def _write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
-    """One folder per bucket of documents.
+    """One folder per bucket of documents, rows of a file in order.
 
     The rebalance hint gathers a bucket into few files and splits a bucket that is too large
     for one task, as it is when a single document holds much of the data.
     """
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    rows = df.withColumn("doc_bucket", bucket).hint("rebalance", "doc_bucket")
-    rows.write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
+    rows = df.withColumn("doc_bucket", _bucket(buckets)).hint("rebalance", "doc_bucket")
+    order = [c for c in ("doc_bucket", "doc_id", "page_idx", "word_idx", "seq", "prim_idx") if c in rows.columns]
+    rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
 
 
 def write_corpus(corpus: Corpus, path: str, burned: bool = False, buckets: int = DOC_BUCKETS) -> None:

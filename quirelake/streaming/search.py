@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quirelake.operators.search import phrase_search
+from quirelake.operators.search import Queries, phrase_search
 from quirelake.schemas import K, WORDS
 
 _WORD_FIELDS = [f for f in WORDS.fields if f.name not in ("doc_id", "page_idx", "word_idx")]
@@ -29,7 +29,7 @@ def arriving_words(pages: DataFrame) -> DataFrame:
 
 
 def search_stream(
-    pages: DataFrame, queries: DataFrame, sink: str, checkpoint: str, **trigger
+    pages: DataFrame, queries: Queries, sink: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Search each newly arrived page once and append the hits to ``sink``.
 

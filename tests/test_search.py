@@ -62,43 +62,56 @@ def expected(pages):
     return out
 
 
+def as_given(spark, queries, table):
+    return spark.createDataFrame(queries, "query_id int, q string") if table else queries
+
+
 @pytest.mark.parametrize("gaps", [False, True])
-@pytest.mark.parametrize("many", [False, True])
-def test_hits_equal_grown_runs(spark, monkeypatch, gaps, many):
-    # Chunks of 64 words, so that pages span several; no literals for the join path.
+@pytest.mark.parametrize("table", [False, True])
+def test_hits_equal_grown_runs(spark, monkeypatch, gaps, table):
+    # Chunks of 64 words, so that pages span several.
     monkeypatch.setattr(search, "CHUNK_BITS", 6)
-    if many:
-        monkeypatch.setattr(search, "MAX_LITERAL_QUERIES", 3)
     pages = make_pages(7, [1, 2, 3, 5, 63, 64, 65, 200, 300] + [12] * 20, gaps)
     words = spark.createDataFrame([r for p in pages for r in p], WORDS)
-    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, q string")
+    queries = as_given(spark, [*enumerate(QUERIES), (99, None), (98, " "), (97, "")], table)
     rows = search.phrase_search(words, queries, dense=not gaps).collect()
     got = {tuple(r) for r in rows}
     assert len(rows) == len(got)
     assert got == expected(pages)
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_counts_include_pages_without_hits(spark, monkeypatch, many):
-    if many:
-        monkeypatch.setattr(search, "MAX_LITERAL_QUERIES", 0)
+@pytest.mark.parametrize("table", [False, True])
+def test_each_row_of_queries_counts_under_its_id(spark, table):
+    words = spark.createDataFrame(
+        [(1, 0, n, t, 0.0, 0.0, 1.0, 1.0, 10.0, "A") for n, t in enumerate(["foo", "bar", "baz"])], WORDS
+    )
+    queries = as_given(spark, [(0, "foo"), (0, "baz"), (1, "bar"), (1, "BAR"), (2, None), (3, "zz")], table)
+    hits = search.phrase_search(words, queries, dense=True).collect()
+    assert sorted((r.query_id, r.i, r.j) for r in hits) == [
+        (0, 0, 0), (0, 0, 2), (0, 1, 2), (0, 2, 2), (1, 0, 1), (1, 0, 1), (1, 1, 1), (1, 1, 1)]
+    counts = search.search_counts(words, queries, dense=True).collect()
+    assert sorted((r.query_id, r.n_hits) for r in counts) == [(0, 4), (1, 4)]
+
+
+@pytest.mark.parametrize("table", [False, True])
+def test_counts_report_what_is_requested(spark, table):
     words = spark.createDataFrame(
         [(1, 0, n, t, 0.0, 0.0, 1.0, 1.0, 10.0, "A") for n, t in enumerate(["foo", "bar", "baz"])], WORDS
     )
-    pages = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, page_idx int")
-    queries = spark.createDataFrame([(0, "bar"), (1, "zz")], "query_id int, q string")
-    got = search.search_counts(words, pages, queries, dense=True).collect()
+    asked = spark.createDataFrame([(q, 1, p) for q in (0, 1) for p in (0, 1)], "query_id int, doc_id long, page_idx int")
+    queries = as_given(spark, [(0, "bar"), (1, "zz"), (2, "foo")], table)
+    got = search.search_counts(words, queries, asked, dense=True).collect()
     assert {(r.query_id, r.page_idx, r.n_hits, r.status) for r in got} == {
         (0, 0, 2, "2 found"), (0, 1, 0, "No matches"), (1, 0, 0, "No matches"), (1, 1, 0, "No matches"),
     }
 
 
-def test_no_query_no_hits(spark):
+@pytest.mark.parametrize("table", [False, True])
+def test_no_query_no_hits(spark, table):
     words = spark.createDataFrame([(1, 0, 0, "foo", 0.0, 0.0, 1.0, 1.0, 10.0, "A")], WORDS)
-    pages = spark.createDataFrame([(1, 0)], "doc_id long, page_idx int")
-    none = spark.createDataFrame([], "query_id int, q string")
+    none = as_given(spark, [], table)
     assert search.phrase_search(words, none).count() == 0
-    assert search.search_counts(words, pages, none).count() == 0
+    assert search.search_counts(words, none).count() == 0
 
 
 def test_gate(spark):
@@ -116,8 +129,7 @@ def test_a_crowded_page_is_split(spark):
         "1L as doc_id", "0 as page_idx", "cast(id as int) as word_idx", "if(id % 1000 = 0, 'needle', 'hay') as text",
         "0D as left_pt", "0D as bottom_pt", "1D as right_pt", "1D as top_pt",
     )
-    queries = spark.createDataFrame([(0, "needle")], "query_id int, q string")
-    hits = search.phrase_search(words, queries, dense=True)
+    hits = search.phrase_search(words, [(0, "needle")], dense=True)
     assert hits.where("i = j").count() == 50
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:

@@ -25,6 +25,40 @@ def test_saved_signatures(spark, tmp_path):
     assert read_signatures(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_a_list_that_is_not_altogether_right_is_empty(spark, tmp_path):
+    good = [{"Id": "s1", "Name": "n", "Strokes": [[{"X": 0, "Y": 0.5}]], "CanvasWidth": 4, "CanvasHeight": None}, {"Id": "s2", "More": 1}]
+    path = tmp_path / "list.json"
+
+    def read(text):
+        path.write_text(text)
+        return sorted(r.id for r in read_signatures(spark, str(path)).collect())
+
+    assert read(json.dumps(good)) == ["s1", "s2"] and read("[]") == []
+    change = lambda **kw: json.dumps([good[1], {**good[0], **kw}])
+    for text in (
+        change(CanvasWidth="wide"), change(Strokes=[[{"X": "a", "Y": 0}]]), change(Id=7), change(Strokes={}), change(CanvasWidth=True),
+        json.dumps(good) + " more", json.dumps(good) + "[]", json.dumps(good[0]), "", "null", "[1]", "[NaN]", json.dumps(good)[:-1],
+    ):
+        assert read(text) == [], text
+
+
+def test_a_broken_line_empties_its_file(spark, tmp_path):
+    (tmp_path / "a").write_text('{"Id": "s1"}\n{"Id": "s2", \n')
+    (tmp_path / "b").write_text('{"Id": "s3"}\n')
+    assert [r.id for r in read_signatures(spark, str(tmp_path), lines=True).collect()] == ["s3"]
+
+
+def test_a_lost_writer_leaves_a_list(spark, tmp_path):
+    path = tmp_path / "list"
+    one = spark.createDataFrame([("a", "A", [[(1.0, 2.0)]], 4.0, 5.0)], SIGNATURES)
+    write_signatures(one, str(path))
+    path.rename(tmp_path / "list.old")  # lost between the two moves
+    assert [r.id for r in read_signatures(spark, str(path), lines=True).collect()] == ["a"]
+    write_signatures(one.withColumn("id", C.F.lit("b")), str(path))
+    assert [r.id for r in read_signatures(spark, str(path), lines=True).collect()] == ["b"]
+    assert not (tmp_path / "list.old").exists()
+
+
 def test_signature_list_is_replaced_whole(spark, tmp_path):
     path = str(tmp_path / "list")
     one = spark.createDataFrame([("a", "A", [[(1.0, 2.0)]], 4.0, 5.0)], SIGNATURES)
