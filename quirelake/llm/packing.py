@@ -20,8 +20,11 @@ from __future__ import annotations
 
 import functools
 import re
+import string
+import sys
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +38,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 #: Limits of a sequence: tokens, pieces, loss-bearing tokens. All tokens of a plain document bear loss.
 TOKENS, SEGMENTS, LOSS = 2048, 512, 2048
 #: Pieces that wait at once, and entries a token cache may hold.
-WAITING, CACHED = 1024, 300_000
+WAITING, CACHED = 1024, 600_000
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 
@@ -60,11 +63,11 @@ class TokenCache:
         self.of_chunk: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]  # "<|": perhaps a special token
         chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
         self._learn(set().union(*chunks))
         of = self.of_chunk
-        out = [b"".join([of[c] for c in cs]) for cs in chunks]
+        out = [b"".join(map(of.__getitem__, cs)) for cs in chunks]
         for at in (k for k, p in enumerate(plain) if not p):
             out[at] = _le(self.full.encode(texts[at], add_special_tokens=False).ids)
         return out
@@ -74,16 +77,31 @@ class TokenCache:
             self.of_chunk.clear()
         if len(self.of_word) > CACHED:
             self.of_word.clear()
-        parts = {c: _SPLIT.findall(c) for c in chunks if c not in self.of_chunk}
-        new = [*{w for ws in parts.values() for w in ws}.difference(self.of_word)]
-        for w, e in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        new = chunks.difference(self.of_chunk)
+        words: set[str] = set()
+        for c in new:
+            words.update(_parts(c))
+        listed = list(words.difference(self.of_word))
+        for w, e in zip(listed, self.words.encode_batch_fast(listed, add_special_tokens=False), strict=True):
             self.of_word[w] = _le(e.ids)
-        for c, ws in parts.items():
-            self.of_chunk[c] = b"".join([self.of_word[w] for w in ws])
+        of = self.of_word
+        for c in new:
+            self.of_chunk[c] = b"".join([of[w] for w in _parts(c)])
+
+
+def _parts(chunk: str) -> Iterable[str]:
+    """A chunk as the vocabulary splits it; letters with marks behind them, the usual case, need no expression."""
+    if chunk.isalpha():
+        return (chunk,)
+    word = chunk.rstrip(string.punctuation)
+    return (word, chunk[len(word) :]) if word.isalpha() else _SPLIT.findall(chunk)
 
 
 def _le(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @functools.lru_cache(maxsize=2)
