@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import random
+import re
+from html import unescape
+
+from conftest import SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quirelake.llm import pages as p
+from quirelake.llm.common import table
+
+PAGES = "page_id long, url string, html string"
+
+
+def length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30), st.sampled_from([1, 40, 1 << 26]))
+def test_alignment_is_longest(a, b, bits):
+    old, p.ALIGNED_BITS = p.ALIGNED_BITS, bits
+    try:
+        pairs = p.common(a, b)
+    finally:
+        p.ALIGNED_BITS = old
+    assert all(a[i] == b[j] for i, j in pairs) and len(pairs) == length(a, b)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:], strict=False))
+
+
+def text_of(html):
+    return "\n".join(t for t, _ in p.lines_of(html))
+
+
+def test_blocks_and_references():
+    assert text_of("<p>a <b>b</b>\n c<br>d<p>e&amp;f &eacute; &#8217;&am; &quo") == "a b c d\ne&f é ’&am; &quo"
+    assert text_of("x<!-- <p>no</p> -->y<!-- open <p>gone") == "xy"
+    assert text_of("<script>if (a</b) '<p>'</script>s<style>p{}</style>t<SCRIPT>never ends <p>x") == "st"
+    assert text_of("1 < 2 &lt;b&gt; <> </> </ x> <a title='>'>q</a>") == "1 < 2 <b> <> q"
+    assert text_of("") == text_of(None) == text_of("<<<>") .replace("<", "").replace(">", "") == ""
+
+
+def test_furniture_goes():
+    for part in ("<nav>x</nav>", "<header>x</header>", "<footer>x<div>y</div></footer>", "<aside>x</aside>", "<form>x<input></form>",
+                 '<div class="ad">x<div>y</div>z</div>', "<section id=comments><p>x<article>y</article></section>", '<p class="cookie-notice">x</p>',
+                 '<div role="navigation">x</div>', "<div hidden>x</div>", "<p style='display: none'>x</p>", "<title>x</title>", "<ul class='menu main'><li>x<li>y</ul>"):
+        assert text_of(f"<body><div>a</div>{part}<div>b</div>") == "a\nb", part
+    assert text_of('<div class="address headline loading">kept</div>') == "kept"
+    assert text_of("<head><title>t</title><meta x><body>b") == "b" and text_of("<head><p>b") == "b"
+
+
+def test_article_is_marked():
+    lines = p.lines_of("<nav>n</nav><p>out</p><article><header><h1>T</h1></header><p>in<div class=sidebar>s</div><p>two</article><p>after")
+    assert lines == [("out", False), ("T", True), ("in", True), ("two", True), ("after", False)]
+
+
+def test_shared_lines_of_neighbours_go(spark):
+    page = lambda n, body: (n, f"http://h.x/a/{n}", f"<div>Site name</div><p>{body}</p><p>Imprint</p>")
+    rows = [page(1, "one"), page(2, "two"), page(3, "three"), (4, "http://other.x/", "<div>Site name</div>"), (5, None, "<p>Imprint"), (6, None, "<p>Imprint"), (7, "http://h.x/b", None)]
+    got = {r.page_id: r for r in p.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i].text for i in range(1, 8)] == ["one", "two", "three", "Site name", "Imprint", "Imprint", ""]
+    assert got[2].n_shared == 2 and got[7].n_chars == 0
+
+
+def test_articles_keep_what_they_share(spark):
+    page = "<p>menu</p><article><p>copy</p></article>"
+    rows = [(i, f"http://h.x/{i}", page) for i in range(3)]
+    assert {r.text for r in p.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"copy"}
+
+
+def test_ranges_do_not_change_results(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), f"http://{rng.choice('abc')}.x/{rng.randrange(30):02}", "".join(f"<p>{rng.randrange(8)}" for _ in range(rng.randrange(9)))) for _ in range(150)]
+    results = []
+    for parts in ("1", "7", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(map(tuple, p.extract(spark.createDataFrame(rows, PAGES)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1] == results[2] and len(results[0]) == 150
+
+
+def test_whole_table(spark):
+    pages = table(spark, SMALL, "pages")
+    got = {r.page_id: r for r in p.extract(pages.withColumn("host", pages.url)).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = (unescape(re.sub(r"</?b>", "", b.replace("<br>", " "))) for b in re.split(r"</?(?:p|h1)>", article))
+        want = "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+    assert p.extract(pages.limit(0)).count() == 0
+
+
+def test_very_long_page():
+    assert len(p.lines_of("<p>x" * 50_000)) == 50_000
+    assert len(p.common(list(range(20_000)), list(range(1, 20_001)))) == 19_999

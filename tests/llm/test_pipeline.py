@@ -1,0 +1,50 @@
+from __future__ import annotations
+
+import pytest
+from conftest import SMALL
+
+import corpus_pipeline as pipe
+from quirelake.llm import decontaminate, language, secrets
+from quirelake.llm.common import table
+from llm.test_decontaminate import plain as hits
+from llm.test_packing import PATH, verify
+from llm.test_simhash import plain_components, plain_fingerprint
+from tokenizers import Tokenizer
+
+
+@pytest.fixture(scope="module")
+def kept(spark):
+    """Texts by id after the first four stages, worked out plainly (the classifier itself is the operator's)."""
+    docs = table(spark, SMALL, "documents")
+    judge = language.Classifier(language.learn(docs))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    texts = {i: t for i, t in sorted(texts.items()) if not judge(t)[2]}
+    ids = list(texts)
+    comp = plain_components([plain_fingerprint(texts[i]) for i in ids])
+    texts = {i: texts[i] for i, c in zip(ids, comp, strict=True) if ids[c] == i}
+    items = [(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
+    tables = decontaminate.searchers(decontaminate.patterns(items))
+    return {i: secrets.redact(t) for i, t in texts.items() if not any(True for w in tables for _ in w.search(decontaminate.words(t)))}
+
+
+def test_run_equals_plain_version(spark, kept):
+    rows = pipe.run(spark, SMALL).collect()
+    t = Tokenizer.from_file(PATH)
+    found, padding = verify(rows, {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in kept.items()}.__getitem__)
+    assert found.keys() == kept.keys() and padding == 0
+
+
+def test_search_used_above_is_exact(spark, kept):
+    items = [(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()][:8]
+    assert all(n == 0 for _, n, _ in hits(list(kept.values())[:25], items))
+
+
+def test_stages_take_effect_and_keep_columns(spark, docs):
+    frame = docs("12345", None, "", "the and of the thing in a house with token = abcdefgh and more", extra="rejected")
+    assert [n for n, _ in pipe.STAGES] == ["language", "near_dedup", "decontaminate", "secrets", "pack"]
+    for name, stage in pipe.STAGES[:-1]:
+        assert stage(spark, frame, SMALL).columns == frame.columns, name
+        assert stage(spark, frame.limit(0), SMALL).count() == 0, name
+    clean = pipe.redact(spark, frame, SMALL).where("doc_id = 3").first()
+    assert "[SECRET]" in clean.text and clean.n_chars == len(clean.text)
+    assert pipe.pack(spark, frame, SMALL).select("doc_id").distinct().count() == 4
