@@ -13,17 +13,13 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.geometry import canvas_to_page, contains, points_bounds, rect
 from quirelake.functions.text import edit_font_size, normalise_font
-from quirelake.plans.grid import cell, spread_box, spread_span
+from quirelake.plans.grid import cell, level_cell, spread_box, spread_levels, spread_span
 from quirelake.schemas import K
 
-#: Cell sizes: points for words, pixels for annotations.
+#: Cell sizes: points for words, pixels for the smallest annotations. The second is a power of two, so that cell
+#: borders are exact on every level.
 WORD_CELL_PT = 96.0
-ANNOT_CELL_PX = 128
-ANNOT_CELLS = 24
-#: Pages with more annotations than this get cells finer by the factor below. Both sizes are
-#: powers of two, so that cell borders are exact.
-CROWDED_PAGE = 10_000
-CROWDED_FACTOR = 4
+ANNOT_CELL_PX = 128.0
 #: Vertical reach of a click around a line, and of one line around the nearest word, in pixels.
 LINE_REACH_PX = 3
 NEAREST_LINE_PX = 5
@@ -131,31 +127,10 @@ def _hit_bounds() -> Column:
     )
 
 
-def _sized(df: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Add the cell size and the number of cells per axis of each row's page."""
-    fine = F.col("is_crowded").isNotNull()
-    return (
-        df.join(crowded, K, "left")
-        .withColumn("size", F.when(fine, ANNOT_CELL_PX // CROWDED_FACTOR).otherwise(ANNOT_CELL_PX))
-        .withColumn("cells", F.when(fine, ANNOT_CELLS * CROWDED_FACTOR).otherwise(ANNOT_CELLS))
-        .drop("is_crowded")
-    )
-
-
-def hit_test(clicks: DataFrame, annotations: DataFrame) -> DataFrame:
-    """The topmost annotation under each click, with its bounds.
-
-    Of the rects that cover a cell altogether only the topmost can ever be hit there. They reduce
-    to one row per cell, and whatever lies below it in the cell is dropped before clicks come in,
-    so a stack of annotations costs a click no more than those above the topmost full cover.
-    """
-    b, size, cells = F.col("bounds"), F.col("size"), F.col("cells")
-    cell_keys = [*K, "cell_x", "cell_y"]
-    crowded = (
-        annotations.groupBy(*K).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED_PAGE)
-        .select(*K, F.lit(True).alias("is_crowded"))
-    )
+def _hit_targets(annotations: DataFrame) -> DataFrame:
+    """Annotations with their bounds, on the cells of their level."""
     ink = F.col("kind") == "ink"
+    b = F.col("bounds")
     # Ink reaches beyond its bounds, so it is looked up in a wider box.
     reach = F.when(ink, F.lit(float(INK_REACH_PX))).otherwise(0.0)
     # Exploding an array of one keeps the optimizer from copying the bounds into every later use.
@@ -163,39 +138,33 @@ def hit_test(clicks: DataFrame, annotations: DataFrame) -> DataFrame:
         *K, "seq", "kind", F.when(ink, F.col("points")).alias("points"),
         F.explode(F.array(_hit_bounds())).alias("bounds"),
     )
-    targets = spread_box(
-        _sized(targets, crowded),
-        b["x"] - reach, b["y"] - reach, b["x"] + b["w"] + reach, b["y"] + b["h"] + reach, size, cells,
+    return spread_levels(
+        targets, b["x"] - reach, b["y"] - reach, b["x"] + b["w"] + reach, b["y"] + b["h"] + reach, ANNOT_CELL_PX
     )
 
-    def spans(at: str, lo: Column, hi: Column) -> Column:
-        inner = F.col(at).between(0, cells - 1)
-        return inner & (lo <= F.col(at) * size) & (hi >= (F.col(at) + 1) * size)
 
-    full = ~ink & spans("cell_x", b["x"], b["x"] + b["w"]) & spans("cell_y", b["y"], b["y"] + b["h"])
-    marked = targets.withColumn("full", full).drop("size", "cells")
-    covers = (
-        marked.where("full")
-        .groupBy(*cell_keys)
-        .agg(F.max_by(F.struct("seq", "kind", "points", "bounds"), "seq").alias("cover"))
-    )
-    above = (
-        marked.where(~F.col("full"))
-        .join(covers.select(*cell_keys, F.col("cover.seq").alias("cover_seq")), cell_keys, "left")
-        .where(F.col("cover_seq").isNull() | (F.col("seq") > F.col("cover_seq")))
-        .select(*cell_keys, "seq", "kind", "points", "bounds")
-    )
-    targets = above.unionByName(covers.select(*cell_keys, "cover.*"))
-    celled = _sized(clicks.select("click_id", *K, "x", "y"), crowded).select(
-        "click_id", *K, "x", "y",
-        cell(F.col("x"), size, cells).alias("cell_x"), cell(F.col("y"), size, cells).alias("cell_y"),
+def hit_test(clicks: DataFrame, annotations: DataFrame) -> DataFrame:
+    """The topmost annotation under each click, with its bounds.
+
+    An annotation lies on the cells of the level that fits its size, at most four of them; a click looks into one
+    cell of each level its page has. Only annotations of a click's cells are tested, and pairs reduce to the
+    topmost where they arise.
+    """
+    targets = _hit_targets(annotations)
+    cell_keys = [*K, "level", "cell_x", "cell_y"]
+    levels = targets.groupBy(*K).agg(F.collect_set("level").alias("levels"))
+    x, y, b = F.col("x"), F.col("y"), F.col("bounds")
+    celled = (
+        clicks.select("click_id", *K, "x", "y").join(levels, K)
+        .select("click_id", *K, "x", "y", F.explode("levels").alias("level"))
+        .withColumn("cell_x", level_cell(x, "level", ANNOT_CELL_PX))
+        .withColumn("cell_y", level_cell(y, "level", ANNOT_CELL_PX))
     )
-    x, y = F.col("x"), F.col("y")
     near = F.exists(
         "points",
         lambda p: F.sqrt((p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)) < INK_REACH_PX,
     )
-    hit = F.when(ink, near).otherwise(contains(b["x"], b["y"], b["w"], b["h"], x, y))
+    hit = F.when(F.col("kind") == "ink", near).otherwise(contains(b["x"], b["y"], b["w"], b["h"], x, y))
     pairs = celled.join(targets, cell_keys).where(hit)
     # Pre-aggregated where the pairs arise: they are never shuffled one by one.
     top = pairs.groupBy("click_id", *K).agg(

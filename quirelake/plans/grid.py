@@ -35,3 +35,22 @@ def spread_box(
 ) -> DataFrame:
     """One row per cell that the box touches, as ``cell_x`` and ``cell_y``."""
     return spread_span(spread_span(df, x0, x1, size, "cell_x", cells), y0, y1, size, "cell_y", cells)
+
+
+def spread_levels(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
+    """One row per cell that the box touches, as ``level``, ``cell_x`` and ``cell_y``: four at most.
+
+    Cells of a level are twice as wide as those of the level below, from ``size`` up, and a box goes to the
+    lowest level whose cells are at least as wide and high as itself. Boxes with ``x1 < x0`` or ``y1 < y0``
+    drop out.
+    """
+    extent = F.greatest(x1 - x0, y1 - y0)
+    level = F.greatest(F.ceil(F.log2(extent / size) - 1e-9), F.lit(0)).cast("int")
+    placed = df.where((x0 <= x1) & (y0 <= y1)).withColumn("level", F.coalesce(level, F.lit(0)))
+    touched = lambda lo, hi: F.sequence(level_cell(lo, "level", size), level_cell(hi, "level", size))
+    return placed.withColumn("cell_x", F.explode(touched(x0, x1))).withColumn("cell_y", F.explode(touched(y0, y1)))
+
+
+def level_cell(v: Column, level: str, size: float) -> Column:
+    """Cell number of a coordinate along one axis of a level."""
+    return F.floor(v / (F.lit(float(size)) * F.pow(F.lit(2.0), F.col(level)))).cast("long")

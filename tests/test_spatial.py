@@ -89,10 +89,30 @@ def test_hit_rules_by_kind(spark):
     assert tuple(got[6])[5:] == (500.0, 500.0, 40.0, 4.0)
 
 
-@pytest.mark.parametrize("crowded", [False, True])
-def test_random_hits_across_cells(spark, monkeypatch, crowded):
-    if crowded:
-        monkeypatch.setattr(S, "CROWDED_PAGE", 10)
+@pytest.mark.parametrize("n", [10_000, 12_000])
+@pytest.mark.parametrize("size", [0.0, 128.0, 1500.0, 1e7])
+def test_an_annotation_lies_on_four_cells_at_most(spark, n, size):
+    rng = random.Random(n)
+    rows = [(float(rng.randint(-900, 9000)), float(rng.randint(-900, 9000))) for _ in range(n)]
+    frame = spark.createDataFrame(rows, "x double, y double").selectExpr(
+        "1L as doc_id", "0 as page_idx", "1L as seq", "'highlight' as kind", "cast(null as array<struct<x:double,y:double>>) as points",
+        f"named_struct('x', x, 'y', y, 'w', {size}D, 'h', {size / 2}D) as rect", "cast(null as struct<x:double,y:double>) as pos",
+        "0D as measured_w", "0D as measured_h", "0D as src_w", "0D as src_h", "0D as scale",
+    )
+    assert n <= S._hit_targets(frame).count() <= 4 * n
+
+
+def test_hit_test_shuffles(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = annots(spark, [{"seq": 1, "kind": "highlight", "rect": (0.0, 0.0, 10.0, 10.0)}])
+        plan = S.hit_test(clicks(spark, [(1, 1)]), df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 6
+
+
+def test_random_hits_across_cells(spark):
     rng = random.Random(9)
     rows, rects = [], []
     for seq in range(200):
