@@ -522,15 +522,11 @@ def annotation_state_stream(t: Inputs) -> DataFrame:
     for n in range(4):
         part = t.annot_events.where(F.col("seq").between(n * quarter, (n + 1) * quarter - 1))
         part.write.mode("append").parquet(f"{root}/events")
-        changes = ann_stream.annotation_state_stream(
-            t.spark.readStream.schema(ANNOT_EVENTS).parquet(f"{root}/events")
-        )
-        run = (
-            changes.writeStream.format("parquet").option("path", f"{root}/changes")
-            .option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+        run = ann_stream.annotation_state_stream(
+            t.spark.readStream.schema(ANNOT_EVENTS).parquet(f"{root}/events"), f"{root}/out", f"{root}/state", availableNow=True
         )
         run.awaitTermination()
-    return ann_stream.live_annotations(t.spark.read.parquet(f"{root}/changes"))
+    return ann_stream.live_annotations(t.spark, f"{root}/out")
 
 
 @query

@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's view of ``path``: its file system and the path itself."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -9,15 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelake.plans.lineage import filesystem
 from quirelake.schemas import SIGNATURE_JSON, SIGNATURES
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def _aside(path: str) -> str:
     """Where the old list waits while a new one is moved in."""
     return f"{path.rstrip('/')}.old"
@@ -79,10 +74,10 @@ def read_signatures(spark: SparkSession, path: str, lines: bool = False) -> Data
     behind the array, it counts as empty. ``lines=True`` reads the splittable form that ``write_signatures``
     leaves, one signature per line, by the same rule per file.
     """
-    fs, p = _filesystem(spark, path)
+    fs, p = filesystem(spark, path)
     if not fs.exists(p):
         path = _aside(path)  # a writer was lost between its two moves
-        if not fs.exists(_filesystem(spark, path)[1]):
+        if not fs.exists(filesystem(spark, path)[1]):
             return spark.createDataFrame([], SIGNATURES)
     if lines:
         broken = "_broken"
@@ -104,16 +99,16 @@ def write_signatures(signatures: DataFrame, path: str) -> None:
     the writer is lost, a reader finds one list or the other.
     """
     spark = signatures.sparkSession
-    fs, target = _filesystem(spark, path)
+    fs, target = filesystem(spark, path)
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     signatures.select(as_json(F.struct("*")).alias("value")).write.text(staged)
-    aside = _filesystem(spark, _aside(path))[1]
+    aside = filesystem(spark, _aside(path))[1]
     if fs.exists(target):
         if fs.exists(aside):
             fs.delete(aside, True)
         if not fs.rename(target, aside):
             raise OSError(f"could not move {path} aside")
-    if not fs.rename(_filesystem(spark, staged)[1], target):
+    if not fs.rename(filesystem(spark, staged)[1], target):
         raise OSError(f"could not move {staged} to {path}")
     if fs.exists(aside):
         fs.delete(aside, True)

@@ -1,92 +1,80 @@
-"""The annotation stack as a stream: event log in, log of what appears and disappears out."""
+"""The annotation stack as a stream: event log in, the live annotations and what changed out.
+
+Every micro-batch is worked on by the batch operator: what is alive counts as additions before the new events, so no
+event is folded by hand, nothing runs in Python, and the work splits by page as it does in a batch.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-CHANGES = "doc_id long, seq long, page_idx int, annot_id long, change string"
-_STATE = "last_seq long, pages array<int>, ids array<long>, seqs array<long>"
-
-
-def _apply_events():
-    """The state function, as a closure so that it is shipped to workers by value."""
-
-    def apply(key, frames, state):
-        import pandas as pd
-
-        last, pages, ids, seqs = state.get if state.exists else (-(2**63), [], [], [])
-        stack = list(zip(pages, ids, seqs))  # live annotations, oldest first
-        out = []
-
-        def drop(at):
-            page, annot, _ = stack.pop(at)
-            out.append((key[0], seq, page, annot, "removed"))
-
-        events = pd.concat(list(frames))
-        # A null id would turn a plain integer column into floats.
-        events = events.astype({"annot_id": "Int64"}).sort_values("seq", kind="stable")
-        for seq, page, op, annot in events[["seq", "page_idx", "op", "annot_id"]].itertuples(index=False):
-            seq, page = int(seq), int(page)
-            if seq <= last:
-                out.append((key[0], seq, page, None if pd.isna(annot) else int(annot), "late"))
-                continue
-            last = seq
-            if op == "add":
-                stack.append((page, int(annot), seq))
-                out.append((key[0], seq, page, int(annot), "added"))
-            elif op == "reload":
-                for at in range(len(stack) - 1, -1, -1):
-                    drop(at)
-            elif op == "clear":
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] == page:
-                        drop(at)
-            elif op == "undo":
-                at = next((a for a in range(len(stack) - 1, -1, -1) if stack[a][0] == page), None)
-                if at is not None:
-                    drop(at)
-            elif op == "delete" and not pd.isna(annot):
-                at = next((a for a, s in enumerate(stack) if s[1] == annot), None)
-                if at is not None:
-                    drop(at)
-        state.update((last, [s[0] for s in stack], [s[1] for s in stack], [s[2] for s in stack]))
-        if not out:
-            return
-        yield pd.DataFrame(
-            {
-                "doc_id": pd.Series([r[0] for r in out], dtype="int64"),
-                "seq": pd.Series([r[1] for r in out], dtype="int64"),
-                "page_idx": pd.Series([r[2] for r in out], dtype="int32"),
-                "annot_id": pd.Series([r[3] for r in out], dtype="Int64"),
-                "change": pd.Series([r[4] for r in out], dtype="object"),
-            }
-        )
-
-    return apply
-
-
-def annotation_state_stream(events: DataFrame) -> DataFrame:
-    """Fold a stream of annotation events into a log of ``added``, ``removed`` and ``late`` rows.
-
-    State is per document, since a reload spans its pages, and holds what is alive, not the log.
-    Events are applied in ``seq`` order inside a micro-batch; one at or below the last applied
-    ``seq`` of its document comes too late, is not applied and is reported as such.
-    """
-    return events.groupBy("doc_id").applyInPandasWithState(
-        _apply_events(), CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+from pyspark.sql.streaming import StreamingQuery
+
+from quirelake.operators.annotations import annotation_state
+from quirelake.plans.lineage import cut_lineage, filesystem
+from quirelake.schemas import K
+
+LIVE = "doc_id long, page_idx int, seq long, annot_id long"
+LAST = "doc_id long, last_seq long"
+
+
+def _at(root: str, table: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/{table}/batch={batch_id}"
+
+
+def _read(spark: SparkSession, root: str, table: str, schema: str, batch_id: int) -> DataFrame:
+    path = _at(root, table, batch_id)
+    fs, p = filesystem(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(p) else spark.createDataFrame([], schema)
 
 
-def live_annotations(changes: DataFrame) -> DataFrame:
-    """What the change log leaves alive; equals ``operators.annotations.annotation_state``."""
-    sign = F.when(F.col("change") == "added", 1).when(F.col("change") == "removed", -1)
-    added = F.when(F.col("change") == "added", F.col("seq"))
-    return (
-        changes.where(F.col("change") != "late")
-        .groupBy("doc_id", "page_idx", "annot_id")
-        .agg(F.max(added).alias("seq"), F.sum(sign).alias("alive"))
-        .where("alive > 0")
-        .select("doc_id", "page_idx", "seq", "annot_id")
+def _apply(batch: DataFrame, batch_id: int, root: str) -> None:
+    """State after a batch from the state before it; a batch that is replayed writes the same once more."""
+    spark = batch.sparkSession
+    events = cut_lineage(batch.select("doc_id", "seq", "page_idx", "op", "annot_id"))
+    live = _read(spark, root, "live", LIVE, batch_id - 1)
+    last = _read(spark, root, "last", LAST, batch_id - 1)
+
+    placed = events.join(last, "doc_id", "left")
+    in_time = F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))
+    fresh = placed.where(in_time).drop("last_seq")
+    late = placed.where(~in_time)
+    touched = fresh.select("doc_id").distinct()
+
+    before = live.join(touched, "doc_id", "left_semi")
+    log = before.withColumn("op", F.lit("add")).unionByName(fresh.select("doc_id", "seq", "page_idx", "op", "annot_id"))
+    after = cut_lineage(annotation_state(log))
+    row = ["doc_id", "page_idx", "seq", "annot_id"]
+    changes = (
+        after.join(before, ["doc_id", "seq"], "left_anti").select(*row, F.lit("added").alias("change"))
+        .unionByName(before.join(after, ["doc_id", "seq"], "left_anti").select(*row, F.lit("removed").alias("change")))
+        .unionByName(late.select(*row, F.lit("late").alias("change")))
     )
+    changes.write.mode("overwrite").parquet(_at(root, "changes", batch_id))
+    untouched = live.join(touched, "doc_id", "left_anti")
+    untouched.select(*row).unionByName(after.select(*row)).write.mode("overwrite").parquet(_at(root, "live", batch_id))
+    seen = fresh.groupBy("doc_id").agg(F.max("seq").alias("last_seq"))
+    seen = seen.unionByName(last.join(touched, "doc_id", "left_anti"))
+    seen.write.mode("overwrite").parquet(_at(root, "last", batch_id))
+    for table in ("live", "last"):  # a replay needs the state before this batch, nothing needs older ones
+        fs, old = filesystem(spark, _at(root, table, batch_id - 2))
+        fs.delete(old, True)
+
+
+def annotation_state_stream(events: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Fold a stream of annotation events; below ``root`` it keeps ``live``, ``last`` and ``changes`` per batch.
+
+    Events are applied in ``seq`` order inside a micro-batch; one at or below the last applied ``seq`` of its
+    document comes too late, is not applied and is reported as ``late``. Changes are those of a batch as a whole:
+    what was ``added`` and is still there, and what was there and is ``removed``.
+    """
+    writer = events.writeStream.foreachBatch(lambda batch, batch_id: _apply(batch, batch_id, root))
+    writer = writer.option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def live_annotations(spark: SparkSession, root: str) -> DataFrame:
+    """What is alive after the last batch; equals ``operators.annotations.annotation_state`` of all in-time events."""
+    fs, folder = filesystem(spark, f"{root.rstrip('/')}/last")
+    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return _read(spark, root, "live", LIVE, max(done, default=-1)).select(*K, "seq", "annot_id")

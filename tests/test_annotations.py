@@ -6,7 +6,7 @@ import random
 
 from quirelake.operators.annotations import annotation_state, has_annotations, ink_bounds, undo_last, z_order
 from quirelake.schemas import ANNOT_EVENTS, ANNOTATIONS
-from quirelake.streaming.annotation_state import annotation_state_stream, live_annotations
+from quirelake.streaming.annotation_state import _apply, annotation_state_stream, live_annotations
 
 
 def fold(events):
@@ -61,27 +61,36 @@ def test_stream_ends_in_the_state_of_the_batch(spark, tmp_path):
     logs = make_logs(4, 40)
     events = [e for log in logs for e in log]
     last = max(e[1] for e in events)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, ANNOT_EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(ANNOT_EVENTS).parquet(f"{tmp_path}/in")
+        annotation_state_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state", availableNow=True).awaitTermination()
+        return {tuple(r) for r in live_annotations(spark, f"{tmp_path}/out").collect()}
+
+    before = set()
     for part in range(3):
         lo, hi = last * part // 3, last * (part + 1) // 3
-        piece = [e for e in events if lo < e[1] <= hi]
-        spark.createDataFrame(piece, ANNOT_EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        run = (
-            annotation_state_stream(spark.readStream.schema(ANNOT_EVENTS).parquet(f"{tmp_path}/in"))
-            .writeStream.format("parquet").option("path", f"{tmp_path}/out")
-            .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-        )
-        run.awaitTermination()
-    changes = spark.read.parquet(f"{tmp_path}/out")
-    assert {tuple(r) for r in live_annotations(changes).collect()} == set().union(*map(fold, logs))
+        live = arrive([e for e in events if lo < e[1] <= hi])
+        changes = spark.read.parquet(f"{tmp_path}/out/changes/batch={part}").collect()
+        of = lambda kind: {(r.doc_id, r.page_idx, r.seq, r.annot_id) for r in changes if r.change == kind}  # noqa: B023, E731
+        assert of("added") == live - before and of("removed") == before - live and not of("late")
+        before = live
+    want = set().union(*map(fold, logs))
+    assert live == want
     # The same events again come too late, every one of them.
-    spark.createDataFrame(events, ANNOT_EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    run = (
-        annotation_state_stream(spark.readStream.schema(ANNOT_EVENTS).parquet(f"{tmp_path}/in"))
-        .writeStream.format("parquet").option("path", f"{tmp_path}/out")
-        .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").where("change = 'late'").count() == len(events)
+    assert arrive(events) == want
+    assert spark.read.parquet(f"{tmp_path}/out/changes/batch=3").where("change = 'late'").count() == len(events)
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    first = spark.createDataFrame([(1, 1, 0, "add", 1), (1, 2, 0, "add", 2)], ANNOT_EVENTS)
+    second = spark.createDataFrame([(1, 3, 0, "undo", None), (2, 3, 0, "add", 9), (1, 2, 0, "add", 7)], ANNOT_EVENTS)
+    for batch, number in ((first, 0), (second, 1), (second, 1)):
+        _apply(batch, number, str(tmp_path))
+        live = {tuple(r) for r in live_annotations(spark, str(tmp_path)).collect()}
+    assert live == {(1, 0, 1, 1), (2, 0, 3, 9)}
+    assert live_annotations(spark, f"{tmp_path}/none").count() == 0
 
 
 def annots(spark, rows):
