@@ -46,6 +46,22 @@ class Inputs:
     def dims(self) -> DataFrame:
         return layout.layout_dims(self.pages)
 
+    @cached_property
+    def scaled_pages(self) -> DataFrame:
+        """The pages at other sizes, which differ by document and page."""
+        return self.pages.select(
+            *K, (612.0 * (1 + F.col("doc_id") % 2)).alias("width_pt"), (792.0 * (1 + F.col("page_idx") % 2)).alias("height_pt")
+        )
+
+    @cached_property
+    def scaled_dims(self) -> DataFrame:
+        """Rendered sizes with different powers of two across and down; one page in five is not rendered."""
+        wide = F.pow(F.lit(2.0), F.col("doc_id") % 3)
+        high = F.pow(F.lit(2.0), (F.col("doc_id") + F.col("page_idx")) % 2 + 1)
+        return self.scaled_pages.where((F.col("doc_id") + F.col("page_idx")) % 5 != 0).select(
+            *K, (F.col("width_pt") * wide).cast("int").alias("render_w"), (F.col("height_pt") * high).cast("int").alias("render_h")
+        )
+
     @cached_property
     def queries(self) -> DataFrame:
         return self.spark.createDataFrame(QUERIES, "query_id int, q string")

@@ -236,6 +236,14 @@ SELECT click_id, doc_id, page_idx, string_agg(text, ' ' ORDER BY l, word_idx) AS
 FROM {source} GROUP BY click_id, doc_id, page_idx"""
 
 
+# Pages of other sizes: fx and fy are pixels per point.
+_SCALED = """
+scaled AS (
+  SELECT doc_id, page_idx, 792.0::DOUBLE * (1 + page_idx % 2) AS height, power(2.0::DOUBLE, doc_id % 3) AS fx,
+    power(2.0::DOUBLE, (doc_id + page_idx) % 2 + 1) AS fy
+  FROM doc_pages WHERE (doc_id + page_idx) % 5 <> 0
+)"""
+
 _MAP = "m.doc_id AS source_doc_id, m.page_idx AS source_page_idx"
 
 # --- drawing: one select per kind, all with the same columns ---------------------------------
@@ -515,6 +523,39 @@ FROM ink GROUP BY doc_id, page_idx, seq""",
     "draw_text_edit": _WA + _draw_text_edit("ann"),
     "draw_signature": _WA + _draw_signature(),
     "flatten_annotations": _with(_WORDS, _ANN, _ACCEPTED) + _flatten("accepted"),
+    "scaled_page_to_canvas": _with(_WORDS, _SCALED) + """
+SELECT doc_id, page_idx, word_idx, left_pt * fx AS x, (height - top_pt) * fy AS y, (right_pt - left_pt) * fx AS w,
+  (top_pt - bottom_pt) * fy AS h FROM words JOIN scaled USING (doc_id, page_idx)""",
+    "scaled_words_in_region": _with(_WORDS, _SCALED, _PLACED) + """
+SELECT p.event_id AS region_id, doc_id, page_idx, w.word_idx, w.text
+FROM placed p JOIN scaled s USING (doc_id, page_idx) JOIN words w USING (doc_id, page_idx)
+WHERE (w.left_pt + w.right_pt) / 2 BETWEEN p.x / fx AND (p.x + p.w) / fx
+  AND (w.bottom_pt + w.top_pt) / 2 BETWEEN height - (p.y + p.h) / fy AND height - p.y / fy""",
+    "scaled_line_at_point": _with(_WORDS, _SCALED, _PLACED) + """
+, canvas AS (
+  SELECT doc_id, page_idx, word_idx, text, left_pt * fx AS l, right_pt * fx AS r, (height - top_pt) * fy AS t, (height - bottom_pt) * fy AS b
+  FROM words JOIN scaled USING (doc_id, page_idx))
+SELECT c.event_id AS click_id, doc_id, page_idx, string_agg(text, ' ' ORDER BY l, word_idx) AS text,
+  min(l) AS x, min(t) AS y, max(r) - min(l) AS w, max(b) - min(t) AS h
+FROM placed c JOIN canvas v USING (doc_id, page_idx) WHERE c.y BETWEEN v.t - 3 AND v.b + 3 GROUP BY ALL""",
+    "scaled_search_boxes": _with(_WORDS, _SCALED, _RUNS, _HITS) + """
+SELECT query_id, doc_id, page_idx, i, j, left_pt * fx AS x, (height - top_pt) * fy AS y,
+  greatest((right_pt - left_pt) * fx, 4) AS w, greatest((top_pt - bottom_pt) * fy, 4) AS h
+FROM hits JOIN scaled USING (doc_id, page_idx) WHERE query_id >= 2""",
+    "scaled_with_dims": _with(_WORDS, _SCALED, _ANN) + """
+SELECT doc_id, page_idx, seq, 1 / fx AS sx, 1 / fy AS sy FROM ann JOIN scaled USING (doc_id, page_idx)""",
+    "scaled_burnable": _with(_WORDS, _SCALED, _ANN) + """
+SELECT doc_id, page_idx, seq, kind FROM ann SEMI JOIN scaled USING (doc_id, page_idx)""",
+    "scaled_draw_highlight": _with(_WORDS, _SCALED, _ANN) + """
+SELECT doc_id, page_idx, seq, round(x / fx, 6) AS x1, round(y / fy, 6) AS y1, round(rw / fx, 6) AS w, round(rh / fy, 6) AS h
+FROM ann JOIN scaled USING (doc_id, page_idx) WHERE kind = 'highlight'""",
+    "scaled_draw_ink": _with(_WORDS, _SCALED, _ANN) + """
+SELECT doc_id, page_idx, seq, CAST(k AS INTEGER) AS prim_idx, round(px / fx, 6) AS x1, round(py / fy, 6) AS y1, round(qx / fx, 6) AS x2,
+  round(qy / fy, 6) AS y2, round(stroke_width / fx, 6) AS pen_width
+FROM (
+  SELECT i.*, a.stroke_width, lead(px) OVER (PARTITION BY i.seq ORDER BY k) AS qx, lead(py) OVER (PARTITION BY i.seq ORDER BY k) AS qy
+  FROM ink i JOIN ann a USING (seq))
+JOIN scaled USING (doc_id, page_idx) WHERE qx IS NOT NULL""",
     "annotation_state_stream": _STATE_SQL,
     "search_stream": _with(_WORDS, _RUNS, _HITS) + "SELECT * FROM hits",
 }

@@ -510,6 +510,55 @@ def flatten_annotations(t: Inputs) -> DataFrame:
     return _flat(draw.flatten_annotations(accepted, t.pages, t.dims))
 
 
+# --- pages of other sizes: scales differ across, down, by document and by page ------------------
+
+
+@query
+def scaled_page_to_canvas(t: Inputs) -> DataFrame:
+    placed = t.words.join(spatial.page_scales(t.scaled_pages, t.scaled_dims), K)
+    r = geo.page_to_canvas(*_cols(BOX + SIZES))
+    return placed.withColumn("r", r).select(*K, "word_idx", *_fields("r"))
+
+
+@query
+def scaled_words_in_region(t: Inputs) -> DataFrame:
+    found = spatial.words_in_region(t.regions, t.words, t.scaled_pages, t.scaled_dims)
+    return found.select("region_id", *K, "word_idx", "text")
+
+
+@query
+def scaled_line_at_point(t: Inputs) -> DataFrame:
+    found = spatial.line_at_point(t.clicks, t.words, t.scaled_pages, t.scaled_dims)
+    return found.select("click_id", *K, "text", "x", "y", "w", "h")
+
+
+@query
+def scaled_search_boxes(t: Inputs) -> DataFrame:
+    hits = search.phrase_search(t.words, LIVE[2:], dense=True)
+    return search.search_boxes(hits, t.scaled_pages, t.scaled_dims)
+
+
+@query
+def scaled_with_dims(t: Inputs) -> DataFrame:
+    return spatial.with_dims(t.annotations, t.scaled_pages, t.scaled_dims).select(*K, "seq", "sx", "sy")
+
+
+@query
+def scaled_burnable(t: Inputs) -> DataFrame:
+    return flt.burnable(t.annotations, t.scaled_pages, t.scaled_dims).select(*K, "seq", "kind")
+
+
+@query
+def scaled_draw_highlight(t: Inputs) -> DataFrame:
+    return _flat(draw.draw_highlight(t.annotations, t.scaled_pages, t.scaled_dims)).select(*K, "seq", "x1", "y1", "w", "h")
+
+
+@query
+def scaled_draw_ink(t: Inputs) -> DataFrame:
+    lines = _flat(draw.draw_ink(t.annotations, t.scaled_pages, t.scaled_dims))
+    return lines.select(*K, "seq", "prim_idx", "x1", "y1", "x2", "y2", "pen_width")
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
