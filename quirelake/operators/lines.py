@@ -11,6 +11,46 @@ from quirelake.schemas import K
 
 #: A word belongs to a line when its top is at most this far from the line's first word's.
 LINE_TOLERANCE_PT = 3.0
+#: Levels of a group are ordered within strips of this height (or width), and the strips among themselves.
+STRIP_PT = 4.0
+_STRIP = "__strip"
+
+
+def _strips(keys: list[str], level: str, down: bool):
+    """Windows over the strips of a group, and over the levels of a strip."""
+    order = F.desc if down else F.asc
+    return Window.partitionBy(*keys).orderBy(order(_STRIP)), Window.partitionBy(*keys, _STRIP).orderBy(order(level))
+
+
+def _in_strips(rows: DataFrame, level: str) -> DataFrame:
+    return rows.withColumn(_STRIP, F.floor(F.col(level) / STRIP_PT))
+
+
+def _running(rows: DataFrame, keys: list[str], level: str, down: bool, value: str, out: str) -> DataFrame:
+    """Inclusive running sum over the distinct levels of each group.
+
+    Only the levels of a strip are sorted together, and the totals of a group's strips, so a group with any number
+    of levels spreads over tasks.
+    """
+    among, within = _strips(keys, level, down)
+    rows = _in_strips(rows, level)
+    carry = (
+        rows.groupBy(*keys, _STRIP).agg(F.sum(value).alias("__total"))
+        .select(*keys, _STRIP, F.sum("__total").over(among.rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    )
+    local = rows.withColumn(out, F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    summed = local.join(carry, [*keys, _STRIP])
+    return summed.withColumn(out, F.col(out) + F.coalesce("__carry", F.lit(0))).drop(_STRIP, "__carry")
+
+
+def _gap_above(tops: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``gap``, the distance of each distinct top to the next one above; null for the highest."""
+    among, within = _strips(keys, "top_pt", True)
+    tops = _in_strips(tops, "top_pt")
+    lowest = tops.groupBy(*keys, _STRIP).agg(F.min("top_pt").alias("__low"))
+    above = lowest.select(*keys, _STRIP, F.lag("__low").over(among).alias("__above"))
+    inside = tops.withColumn("__next", F.lag("top_pt").over(within)).join(above, [*keys, _STRIP])
+    return inside.withColumn("gap", F.coalesce("__next", "__above") - F.col("top_pt")).drop("__next", "__above", _STRIP)
 
 
 def reading_key() -> Column:
@@ -48,25 +88,18 @@ def group_lines(words: DataFrame, keys: list[str] = K, tolerance: float = LINE_T
     the fold runs over each gapless run of distinct tops on its own; the words come back by an
     equi-join on the top, which spreads one crowded group over many tasks.
     """
-    ordered = Window.partitionBy(*keys).orderBy(F.desc("top_pt"))
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.lag("top_pt").over(ordered) - F.col("top_pt")
-    tops = (
-        words.select(*keys, "top_pt")
-        .distinct()
-        .withColumn("gap", F.coalesce((gap > tolerance).cast("long"), F.lit(0)))
-        .withColumn("run", F.sum("gap").over(so_far))
-    )
-    runs = tops.groupBy(*keys, "run").agg(
+    tops = _gap_above(words.select(*keys, "top_pt").distinct(), keys)
+    tops = tops.withColumn("breaks", F.coalesce((F.col("gap") > tolerance).cast("long"), F.lit(0)))
+    runs = _running(tops, keys, "top_pt", True, "breaks", "run").groupBy(*keys, "run").agg(
         F.sort_array(F.collect_list("top_pt"), asc=False).alias("tops")
     )
-    numbered = (
+    starts = (
         runs.withColumn("starts", _anchors(F.col("tops"), tolerance))
         .select(*keys, "starts", F.explode("tops").alias("top_pt"))
-        .select(*keys, "top_pt", F.array_contains("starts", F.col("top_pt")).cast("int").alias("is_start"))
-        .withColumn("line_no", (F.sum("is_start").over(so_far) - 1).cast("int"))
-        .drop("is_start")
+        .select(*keys, "top_pt", F.array_contains("starts", F.col("top_pt")).cast("long").alias("is_start"))
     )
+    numbered = _running(starts, keys, "top_pt", True, "is_start", "line_no")
+    numbered = numbered.select(*keys, "top_pt", (F.col("line_no") - 1).cast("int").alias("line_no"))
     return words.join(numbered, [*keys, "top_pt"])
 
 
@@ -115,10 +148,9 @@ def _position(words: DataFrame, keys: list[str], level: str, down: bool, ties: l
     Words of the levels before are counted per distinct level, so only words of one level are
     ranked against each other, however many a group holds.
     """
-    first = F.desc(level) if down else F.asc(level)
-    before = Window.partitionBy(*keys).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
     counts = words.groupBy(*keys, level).agg(F.count("*").alias("n"))
-    offsets = counts.select(*keys, level, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    upto = _running(counts, keys, level, down, "n", "upto")
+    offsets = upto.select(*keys, level, (F.col("upto") - F.col("n")).alias("before"))
     same = Window.partitionBy(*keys, level).orderBy(*ties)
     ranked = words.withColumn("rank", F.row_number().over(same))
     return (

@@ -85,3 +85,19 @@ def test_line_bounds(spark):
     df = words_of(spark, [(100.0, 50.0), (98.0, 10.0)])
     b = lines.line_bounds(lines.group_lines(df)).first()
     assert (b.left_pt, b.bottom_pt, b.right_pt, b.top_pt, b.width_pt, b.height_pt) == (10, 88, 55, 100, 45, 12)
+
+
+def test_a_page_of_many_levels(spark):
+    """Every word at a height of its own: levels are sorted strip by strip, and lines still follow their anchors."""
+    n = 20_000
+    df = spark.range(n).selectExpr(
+        "1L as doc_id", "0 as page_idx", "cast(id as int) as word_idx", "'w' as text", "0D as left_pt", "0D as bottom_pt", "1D as right_pt",
+        f"cast((id * 7919) % {n} as double) / 64 as top_pt", "1D as font_size", "'A' as font_name",
+    )
+    rows = sorted(lines.reading_order(lines.group_lines(df)).select("top_pt", "line_no", "read_pos").collect(), reverse=True)
+    assert [r.read_pos for r in rows] == list(range(n))
+    anchor, line = None, -1
+    for r in rows:
+        if anchor is None or anchor - r.top_pt > 3:
+            anchor, line = r.top_pt, line + 1
+        assert r.line_no == line
