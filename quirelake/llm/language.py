@@ -53,15 +53,22 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).where(
         F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i"))
     )
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), F.col("i"), F.col("t"))
-    counts = rows.groupBy("l").count()
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    ranked = sorted(counts, key=lambda name: (-counts[name], name))
+    if not ranked:
+        return []
+    # Only hashes small enough to be among the first SAMPLE of their language, with room to spare, are ranked: what is
+    # dealt out by language stays the same size however large and many the inputs' parts are.
+    spare = F.create_map(*[F.lit(x) for name in ranked for x in (name, min(1.0, 4 * SAMPLE / counts[name]))])
+    place = F.pmod(F.xxhash64("i"), F.lit(1 << 30))
+    order = Window.partitionBy("l").orderBy(place, F.col("i"), F.col("t"))
     sample = (
-        rows.select("l", "i", F.substring("t", 1, SAMPLE_CHARS).alias("t"))
+        rows.where(place < spare[F.col("l")] * (1 << 30))
+        .select("l", "i", F.substring("t", 1, SAMPLE_CHARS).alias("t"))
         .withColumn("r", F.row_number().over(order))
         .where(F.col("r") <= SAMPLE)
         .orderBy("l", "r")
     )
-    ranked = [r["l"] for r in sorted(counts.collect(), key=lambda r: (-r["count"], r["l"]))]
     parts: dict[str, list[bytes]] = {name: [] for name in ranked}
     for r in sample.collect():
         parts[r["l"]].append(letters(r["t"]))
