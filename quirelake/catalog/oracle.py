@@ -354,7 +354,7 @@ SQL: dict[str, str] = {
     "layout_text": _W + "SELECT * FROM words",
     "corpus_roundtrip": _W + "SELECT doc_id, page_idx, word_idx, text, left_pt, top_pt, height_pt FROM words JOIN doc_pages USING (doc_id, page_idx)",
     "read_documents": _W + "SELECT doc_id, page_idx, word_idx, text FROM words WHERE doc_id % 97 = 5",
-    "burned_corpus": _WA + f"SELECT kind, count(*) AS n, round(sum(x1), 3) AS sum_x1 FROM ({_flatten('ann')}) GROUP BY kind",
+    "burned_corpus": _WA + _flatten("ann"),
     "pdf_inventory": """
 SELECT 'source=' || source AS folder, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS n_bytes FROM documents GROUP BY source""",
     "select_files": """
@@ -403,7 +403,8 @@ SELECT doc_id, page_idx, word_idx, greatest(10, CASE WHEN word_idx % 3 > 0 THEN
     "accept_strokes": """
 SELECT 's' || event_id AS id,
   CAST((event_id % 2)  + CASE WHEN event_id % 2 = 1 AND event_id % 3 = 2 THEN 1 ELSE 0 END AS INTEGER) AS n_strokes,
-  CAST(CASE WHEN event_id % 3 = 2 THEN 5 ELSE 3 END AS INTEGER) AS n_points
+  '[[{"x":0.0,"y":0.0},{"x":10.0,"y":5.0},{"x":20.0,"y":0.0}]' ||
+  CASE WHEN event_id % 3 = 2 THEN ',[{"x":0.0,"y":10.0},{"x":5.0,"y":11.0}]' ELSE '' END || ']' AS strokes
 FROM events WHERE event_type = 'error' AND event_id % 2 = 1""",
     "accept_text_edits": _with(_ANN) + f"""
 SELECT doc_id, page_idx, seq, {_TRIM.format('content')} AS content, original FROM ann
@@ -434,10 +435,11 @@ QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY seq DESC) = 1""".repla
     "line_at_point": _with(_WORDS, _PLACED, _CANVAS, _DIRECT) + _context("direct"),
     "nearest_line": _with(_WORDS, _PLACED, _CANVAS, _DIRECT, _NEAREST) + _context("near"),
     "edit_target": _with(_WORDS, _PLACED, _CANVAS, _DIRECT, _NEAREST)
-    + f"SELECT click_id, text FROM ({_context('direct')} UNION ALL {_context('near')})",
+    + f"SELECT * FROM ({_context('direct')} UNION ALL {_context('near')})",
     "place_signatures": _with(_PLACED) + """
 SELECT p.doc_id, p.page_idx, p.event_id AS seq, 'signature' AS kind, x, y, 0.5::DOUBLE AS scale, 400.0::DOUBLE AS src_w,
-  CAST(100 + e.event_id % 100 AS DOUBLE) AS src_h, CAST(3 + e.event_id % 3 AS INTEGER) AS n_points
+  CAST(100 + e.event_id % 100 AS DOUBLE) AS src_h, '[[{"x":0.0,"y":0.0},{"x":10.0,"y":5.0},{"x":20.0,"y":0.0}],[' ||
+  CASE e.event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '{"x":0.0,"y":10.0}' ELSE '{"x":0.0,"y":10.0},{"x":5.0,"y":11.0}' END || ']]' AS strokes
 FROM placed p JOIN events e ON e.event_id = p.event_id * 7 // 10 AND e.event_type = 'error'""",
     "with_dims": _WA + "SELECT doc_id, page_idx, seq, 0.5::DOUBLE AS sx, 0.5::DOUBLE AS sy FROM ann SEMI JOIN doc_pages USING (doc_id, page_idx)",
     "visible_words": _with(_WORDS, _ANN) + """

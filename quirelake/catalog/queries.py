@@ -72,7 +72,7 @@ def burned_corpus(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "burned")
     src.write_corpus(src.Corpus(t.pages, t.words, t.annotations, t.dims), path, burned=True)
     ops = t.spark.read.parquet(f"{path}/draw_ops")
-    return ops.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 3).alias("sum_x1"))
+    return _flat(ops)
 
 
 @query
@@ -215,7 +215,7 @@ def accept_strokes(t: Inputs) -> DataFrame:
     # Every other signature starts with a dot, so that some have nothing but dots.
     dot = "transform(strokes, s -> case when cast(substring(id, 2) as bigint) % 2 = 0 then slice(s, 1, 1) else s end)"
     kept = flt.accept_strokes(t.signatures.withColumn("strokes", F.expr(dot)))
-    return kept.select("id", F.size("strokes").alias("n_strokes"), F.size(F.flatten("strokes")).alias("n_points"))
+    return kept.select("id", F.size("strokes").alias("n_strokes"), F.to_json("strokes").alias("strokes"))
 
 
 @query
@@ -264,7 +264,7 @@ def nearest_line(t: Inputs) -> DataFrame:
 
 @query
 def edit_target(t: Inputs) -> DataFrame:
-    return spatial.edit_target(t.clicks, t.words, t.pages, t.dims).select("click_id", "text")
+    return spatial.edit_target(t.clicks, t.words, t.pages, t.dims)
 
 
 @query
@@ -273,7 +273,7 @@ def place_signatures(t: Inputs) -> DataFrame:
         *K, "click_id as seq", "concat('s', click_id * 7 div 10) as signature_id", "x", "y"
     )
     placed = spatial.place_signatures(placements, t.signatures)
-    return placed.select(*K, "seq", "kind", *_fields("pos", "xy"), "scale", "src_w", "src_h", F.size(F.flatten("strokes")).alias("n_points"))
+    return placed.select(*K, "seq", "kind", *_fields("pos", "xy"), "scale", "src_w", "src_h", F.to_json("strokes").alias("strokes"))
 
 
 @query
