@@ -30,6 +30,9 @@ TEXT_PAD_PX = 8
 #: A white box covers this much around the edited line on each side.
 WHITE_BOX_PAD_PX = 2
 PLACED_SCALE = 0.5
+#: Click heights and middles of a page are ordered within strips of this height.
+STRIP_PT = 4.0
+_SCALE = ("width_pt", "height_pt", "render_w", "render_h")
 
 
 def page_scales(pages: DataFrame, dims: DataFrame) -> DataFrame:
@@ -278,61 +281,64 @@ def nearest_line(clicks: DataFrame, words: DataFrame, pages: DataFrame, dims: Da
     extents = words.groupBy(*K, "top_pt", "bottom_pt").agg(F.min("word_idx").alias("word_idx"))
     level = _on_heights(heights, extents).select(*keys).distinct()
     lost = heights.join(level, keys, "left_anti")
-    _, upper, lower = _canvas_y()
-    scales = page_scales(pages, dims)
-    mids = (
-        extents.join(scales, K)
-        .groupBy(*K, ((upper + lower) / 2).alias("mid"))
-        .agg(F.min("word_idx").alias("word_idx"))
+    mids = extents.groupBy(*K, ((F.col("top_pt") + F.col("bottom_pt")) / 2).alias("mid_pt")).agg(
+        F.min("word_idx").alias("word_idx")
     )
-    near = _nearest_mid(lost.select(*keys), mids)
+    near = _nearest_mid(lost, mids)
     # Words of the line around each chosen middle, once per middle and not once per click.
-    chosen = near.select(*K, "near_mid").distinct().join(scales, K)
-    mid_pt = (F.col("render_h") - F.col("near_mid")) * F.col("height_pt") / F.col("render_h")
+    chosen = near.select(*K, "near_pt", *_SCALE).distinct()
     slack = NEAREST_LINE_PX * F.col("height_pt") / F.col("render_h") + 1
-    chosen = spread_span(chosen, mid_pt - slack, mid_pt + slack, WORD_CELL_PT, "band")
+    chosen = spread_span(chosen, F.col("near_pt") - slack, F.col("near_pt") + slack, WORD_CELL_PT, "band")
     banded = words.withColumn("band", cell((F.col("top_pt") + F.col("bottom_pt")) / 2, WORD_CELL_PT))
+    _, upper, lower = _canvas_y()
     around = banded.join(chosen, [*K, "band"]).where(
-        F.abs((upper + lower) / 2 - F.col("near_mid")) < NEAREST_LINE_PX
+        F.abs((upper + lower) / 2 - _mid_px(F.col("near_pt"))) < NEAREST_LINE_PX
     )
-    lines = _edit_context(around, [*K, "near_mid"])
-    return _per_click(clicks, near.join(lines, [*K, "near_mid"]).drop("near_mid"))
+    lines = _edit_context(around, [*K, "near_pt"])
+    return _per_click(clicks, near.select(*keys, "near_pt").join(lines, [*K, "near_pt"]).drop("near_pt"))
+
+
+def _mid_px(mid_pt: Column) -> Column:
+    return F.col("render_h") - mid_pt * F.col("render_h") / F.col("height_pt")
 
 
 def _nearest_mid(heights: DataFrame, mids: DataFrame) -> DataFrame:
-    """For each height the nearest word middle; of two as near, that of the earlier word.
+    """``heights`` with ``near_pt``, the nearest word middle; of two as near, that of the earlier word.
 
-    An as-of lookup in both directions over the union of distinct heights and distinct
-    middles: no pairs arise.
+    An as-of lookup in both directions over the union of distinct heights and distinct middles: no pairs arise. Rows
+    are ordered inside strips of a page; what lies in other strips comes from the order of the strips.
     """
     here = F.col("click_y")
-    stacked = mids.select(
-        *K, F.col("mid").alias("at"), F.struct("mid", "word_idx").alias("m"), F.lit(None).cast("double").alias("click_y")
-    ).unionByName(
-        heights.select(
-            *K, here.alias("at"), F.lit(None).cast("struct<mid:double,word_idx:int>").alias("m"), "click_y"
-        )
+    middle = F.struct("mid_pt", "word_idx")
+    y_pt = (F.col("render_h") - here) * F.col("height_pt") / F.col("render_h")
+    stacked = mids.select(*K, F.col("mid_pt").alias("at"), middle.alias("m")).unionByName(
+        heights.select(*K, y_pt.alias("at"), "click_y", *_SCALE), allowMissingColumns=True
+    )
+    stacked = stacked.withColumn("strip", F.floor(F.col("at") / STRIP_PT))
+    ends = stacked.groupBy(*K, "strip").agg(F.min("m").alias("low"), F.max("m").alias("high"))
+
+    def beside(value: str, order: Column) -> Column:
+        w = Window.partitionBy(*K).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(value, ignorenulls=True).over(w)
+
+    strips = ends.select(
+        *K, "strip", beside("high", F.asc("strip")).alias("under"), beside("low", F.desc("strip")).alias("over")
     )
-    def nearest(order: Column) -> Column:
+
+    def inside(order: Column) -> Column:
         # Growing frames only: the value behind in one order is the value ahead in the other.
-        w = Window.partitionBy(*K).orderBy(order, F.col("click_y").asc_nulls_first())
+        w = Window.partitionBy(*K, "strip").orderBy(order, here.asc_nulls_first())
         return F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
-    both = stacked.withColumn("above", nearest(F.col("at").asc())).withColumn("below", nearest(F.col("at").desc()))
+    both = stacked.withColumn("below", inside(F.col("at").asc())).withColumn("above", inside(F.col("at").desc()))
+    both = both.where(here.isNotNull()).join(strips, [*K, "strip"])
 
-    def rank(side: str) -> Column:
-        m = F.col(side)
-        return F.when(
-            m.isNotNull(),
-            F.struct(F.abs(m["mid"] - here).alias("d"), m["word_idx"].alias("i"), m["mid"].alias("mid")),
-        )
+    def rank(m: Column) -> Column:
+        d = F.abs(_mid_px(m["mid_pt"]) - here)
+        return F.when(m.isNotNull(), F.struct(d.alias("d"), m["word_idx"].alias("i"), m["mid_pt"].alias("mid")))
 
-    best = F.array_min(F.array_compact(F.array(rank("above"), rank("below"))))
-    return (
-        both.where(here.isNotNull())
-        .select(*K, "click_y", best["mid"].alias("near_mid"))
-        .where(F.col("near_mid").isNotNull())
-    )
+    best = F.array_min(F.array_compact(F.array(rank(F.coalesce("below", "under")), rank(F.coalesce("above", "over")))))
+    return both.select(*K, "click_y", *_SCALE, best["mid"].alias("near_pt")).where(F.col("near_pt").isNotNull())
 
 
 def edit_target(clicks: DataFrame, words: DataFrame, pages: DataFrame, dims: DataFrame) -> DataFrame:
