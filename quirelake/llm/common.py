@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 FOLDS, HELD_OUT = 4, 2
 
 
+#: Rows carry whole texts here, so Arrow batches hold fewer of them than Spark's default of 10,000.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session passes rows to Python workers in batches of at most ``BATCH_ROWS``."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

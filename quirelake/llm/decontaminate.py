@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import lean
 from quirelake.plans.lineage import cut_lineage
 
 WINDOW = 10
@@ -138,7 +139,7 @@ def mark_windows(
     window: int = WINDOW, block_bytes: int = BLOCK_BYTES, out: str = "__leaks",
 ) -> DataFrame:
     """``docs`` plus struct ``out``: number of words, merged spans of hit words (flat), ids of items found."""
-    marked = docs.withColumn(out, F.lit(None).cast(_TYPE))
+    marked = lean(docs).withColumn(out, F.lit(None).cast(_TYPE))
     first = True
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
         if not first:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import held_out
+from quirelake.llm.common import held_out, lean
 
 #: Bound of what is learned from: documents per language, characters of each, bytes of a dictionary.
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 400, 3000, 256 << 10
@@ -124,7 +124,7 @@ def classified(model: Model, text: Column) -> Column:
 def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document."""
     guess = classified(learn(docs) if model is None else model, F.col("text"))
-    return docs.select("doc_id", guess.alias("g")).select(
+    return lean(docs).select("doc_id", guess.alias("g")).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "g.lang_pred", "g.score", "g.rejected"
     )
 
@@ -132,4 +132,4 @@ def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` without the rows whose language is rejected."""
     guess = classified(learn(docs) if model is None else model, F.col("text"))
-    return docs.withColumn("__language", guess).where(~F.col("__language.rejected")).drop("__language")
+    return lean(docs).withColumn("__language", guess).where(~F.col("__language.rejected")).drop("__language")

@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
+from quirelake.llm.common import lean
+
 #: Limits of a sequence: tokens, pieces, loss-bearing tokens. All tokens of a plain document bear loss.
 TOKENS, SEGMENTS, LOSS = 2048, 512, 2048
-#: Pieces that wait at once, and entries a token cache may hold.
-WAITING, CACHED = 1024, 600_000
+#: Pieces that wait at once, and entries a token cache may hold while a partition is worked on.
+WAITING, CACHED = 1024, 250_000
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 
@@ -72,6 +74,11 @@ class TokenCache:
             out[at] = _le(self.full.encode(texts[at], add_special_tokens=False).ids)
         return out
 
+    def forget(self) -> None:
+        """Leave no more than the vocabulary in a worker that goes on to other things."""
+        self.of_word.clear()
+        self.of_chunk.clear()
+
     def _learn(self, chunks: set[str]) -> None:
         if len(self.of_chunk) > CACHED:
             self.of_chunk.clear()
@@ -208,7 +215,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it starts in its document, where it lies in its sequence, checksum of its ids."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = lean(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +247,7 @@ def pack(
             if out:
                 yield drain()
         packer.flush()
+        cache.forget()
         if out:
             yield drain()
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import lean
 from quirelake.llm.urls import host, path
 
 #: Bits of alignment that may be held at once; beyond, the longer page is halved first.
@@ -258,7 +259,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     link = F.col(url)
-    rows = pages.select(
+    rows = lean(pages).select(
         F.col(page_id).alias("page_id"), link.alias("url"), F.col(html).alias("html"), host(link).alias("host"), path(link).alias("path")
     )
     order = ["host", "path", "page_id"]

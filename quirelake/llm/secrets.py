@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import lean
+
 BASE = ("assign", "access", "hex")
 #: Order of kinds at one start: the base kinds, then those the checksum adds.
 KINDS = (*BASE, "github", "npm")
@@ -144,12 +146,12 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 def find(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
     """``docs`` plus the array of secrets in each text."""
-    return docs.withColumn(out, F.arrow_udf(_scanned, _TYPE)(F.col(text).cast("string")))
+    return lean(docs).withColumn(out, F.arrow_udf(_scanned, _TYPE)(F.col(text).cast("string")))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with all secrets in ``text`` replaced by a mark."""
-    return docs.withColumn(text, F.arrow_udf(_redacted, "string")(F.col(text).cast("string")))
+    return lean(docs).withColumn(text, F.arrow_udf(_redacted, "string")(F.col(text).cast("string")))
 
 
 def _listed(spans: Column) -> Column:

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import lean
 from quirelake.plans.lineage import cut_lineage
 
 SHINGLE, SEED, BITS, RADIUS, PARTS = 4, 42, 64, 4, 6
@@ -224,9 +225,7 @@ def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
     held: list[np.ndarray] = []  # the run that the last rows belong to
     long = None  # its key once it is too long to hold
-    for batch in batches:
-        k, key, fps = (batch.column(c).to_numpy() for c in range(3))
-        fps = fps.view(np.uint64)
+    for k, key, fps in _gathered(batches):
         if long and len(k):
             same = (k == long[0]) & (key == long[1])
             n = len(k) if same.all() else int(np.argmin(same))
@@ -251,6 +250,23 @@ def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield from whole(*held)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of consecutive batches, put together to about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield _columns(held)
+            held = []
+    if held:
+        yield _columns(held)
+
+
+def _columns(held: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    k, key, fps = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+    return k, key, fps.view(np.uint64)
+
+
 def _signed(fps: np.ndarray) -> pa.Array:
     return pa.array(fps.view(np.int64))
 
@@ -329,7 +345,7 @@ def _rooted(prints: DataFrame, radius: int) -> DataFrame:
 
 def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id (smallest id of the component) of ``docs(doc_id, text)``."""
-    prints = cut_lineage(docs.select("doc_id", fingerprinted(F.col("text")).alias("fp")))
+    prints = cut_lineage(lean(docs).select("doc_id", fingerprinted(F.col("text")).alias("fp")))
     rooted = _rooted(prints, radius)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(rooted.join(firsts, "root").select("fp", "component_id"), "fp")
@@ -348,7 +364,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     What stays is decided on ids and fingerprints; texts meet that decision in one join on both, so that no
     group of copies meets in one task. A component without any id keeps one row.
     """
-    prints = cut_lineage(docs.select("doc_id", fingerprinted(F.col("text")).alias("fp")))
+    prints = cut_lineage(lean(docs).select("doc_id", fingerprinted(F.col("text")).alias("fp")))
     pick = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("p")
     kept = _rooted(prints, radius).groupBy("root").agg(pick).select(
         F.col("p.fp").alias("__fp"), F.col("p.first").alias("__first")
