@@ -30,7 +30,7 @@ from quirelake.plans.lineage import cut_lineage
 
 WINDOW = 10
 #: Bytes of test-set text that one pass searches for.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}

@@ -32,7 +32,7 @@ from quirelake.llm.common import held_out, lean
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 400, 3000, 256 << 10
 BLOCK, LEVEL = 2048, 5
 #: Texts of at least so many bytes of words are rejected if the best size is not this share below the second.
-JUDGED_BYTES, MARGIN = 400, 0.01
+JUDGED_BYTES, MARGIN = 400, 0.002
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
