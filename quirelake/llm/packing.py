@@ -25,6 +25,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -74,16 +75,14 @@ class TokenCache:
             out[at] = _le(self.full.encode(texts[at], add_special_tokens=False).ids)
         return out
 
-    def forget(self) -> None:
-        """Leave no more than the vocabulary in a worker that goes on to other things."""
-        self.of_word.clear()
-        self.of_chunk.clear()
+    def forget(self, keep: int = CACHED // 4) -> None:
+        """Keep the ``keep`` oldest entries: what is frequent is met, and learned, early."""
+        self.of_word = dict(islice(self.of_word.items(), keep))
+        self.of_chunk = dict(islice(self.of_chunk.items(), keep))
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.of_chunk) > CACHED:
-            self.of_chunk.clear()
-        if len(self.of_word) > CACHED:
-            self.of_word.clear()
+        if max(len(self.of_chunk), len(self.of_word)) > CACHED:
+            self.forget()
         new = chunks.difference(self.of_chunk)
         words: set[str] = set()
         for c in new:
