@@ -43,16 +43,6 @@ def _running(rows: DataFrame, keys: list[str], level: str, down: bool, value: st
     return summed.withColumn(out, F.col(out) + F.coalesce("__carry", F.lit(0))).drop(_STRIP, "__carry")
 
 
-def _gap_above(tops: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``gap``, the distance of each distinct top to the next one above; null for the highest."""
-    among, within = _strips(keys, "top_pt", True)
-    tops = _in_strips(tops, "top_pt")
-    lowest = tops.groupBy(*keys, _STRIP).agg(F.min("top_pt").alias("__low"))
-    above = lowest.select(*keys, _STRIP, F.lag("__low").over(among).alias("__above"))
-    inside = tops.withColumn("__next", F.lag("top_pt").over(within)).join(above, [*keys, _STRIP])
-    return inside.withColumn("gap", F.coalesce("__next", "__above") - F.col("top_pt")).drop("__next", "__above", _STRIP)
-
-
 def reading_key() -> Column:
     """Sort key of reading order: top descending, then left, then content order."""
     return F.struct((-F.col("top_pt")).alias("up"), F.col("left_pt").alias("left"), F.col("word_idx"))
@@ -88,18 +78,25 @@ def group_lines(words: DataFrame, keys: list[str] = K, tolerance: float = LINE_T
     the fold runs over each gapless run of distinct tops on its own; the words come back by an
     equi-join on the top, which spreads one crowded group over many tasks.
     """
-    tops = _gap_above(words.select(*keys, "top_pt").distinct(), keys)
-    tops = tops.withColumn("breaks", F.coalesce((F.col("gap") > tolerance).cast("long"), F.lit(0)))
-    runs = _running(tops, keys, "top_pt", True, "breaks", "run").groupBy(*keys, "run").agg(
+    ordered = Window.partitionBy(*keys).orderBy(F.desc("top_pt"))
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.lag("top_pt").over(ordered) - F.col("top_pt")
+    tops = (
+        words.select(*keys, "top_pt")
+        .distinct()
+        .withColumn("gap", F.coalesce((gap > tolerance).cast("long"), F.lit(0)))
+        .withColumn("run", F.sum("gap").over(so_far))
+    )
+    runs = tops.groupBy(*keys, "run").agg(
         F.sort_array(F.collect_list("top_pt"), asc=False).alias("tops")
     )
-    starts = (
+    numbered = (
         runs.withColumn("starts", _anchors(F.col("tops"), tolerance))
         .select(*keys, "starts", F.explode("tops").alias("top_pt"))
-        .select(*keys, "top_pt", F.array_contains("starts", F.col("top_pt")).cast("long").alias("is_start"))
+        .select(*keys, "top_pt", F.array_contains("starts", F.col("top_pt")).cast("int").alias("is_start"))
+        .withColumn("line_no", (F.sum("is_start").over(so_far) - 1).cast("int"))
+        .drop("is_start")
     )
-    numbered = _running(starts, keys, "top_pt", True, "is_start", "line_no")
-    numbered = numbered.select(*keys, "top_pt", (F.col("line_no") - 1).cast("int").alias("line_no"))
     return words.join(numbered, [*keys, "top_pt"])
 
 
