@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import pytest
@@ -60,3 +61,23 @@ def test_filter_keeps_columns_and_empty_tables(spark, model, docs):
     empty = frame.limit(0)
     assert language.learn(empty) == [] and language.keep_identified(empty).count() == 0
     assert language.report(docs("abc"), []).select(F.col("lang_pred")).first()[0] == "und"
+
+
+def test_unlearned_text_is_rejected_and_learned_text_stays(spark):
+    docs = table(spark, SMALL.replace("0.001", "0.1"), "documents")  # enough to fill the dictionaries
+    model = language.learn(docs)
+    texts = [(r.lang, language.letters(r.text).decode()) for r in docs.where(language.held_out(F.col("doc_id"))).limit(800).collect()]
+    share = lambda judge, some: sum(judge(t)[2] for t in some) / len(some)
+    whole = language.Classifier(model)
+    for chars, least in ((None, 0.8), (300, 0.6), (150, 0.6)):
+        some = [(lang, t[:chars]) for lang, t in texts if len(t) >= (chars or 40)]
+        assert share(whole, [t for _, t in some]) < 0.02
+        left = 0.0
+        for name, _ in model:
+            own = [t for lang, t in some if lang == name]
+            left += share(language.Classifier([m for m in model if m[0] != name]), own) / len(model)
+        assert left > least, chars
+    rng = random.Random(4)
+    for words in (10, 50, 400):
+        noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(words)) for _ in range(100)]
+        assert share(whole, noise) > 0.9, words
