@@ -1,18 +1,20 @@
 """Main text of web pages: structure first, then differencing against the nearest URLs of the host.
 
 A page is cut into lines, one per block of text. Lines inside menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments go by what their elements are called. Pages are then paired by URL: sorted by path
-within each host, every page is compared with the one before and the one after it. Their lines are aligned by
-longest common subsequence, and lines that both pages share are deleted as the site's furniture. Where a page
-marks its article, the lines in it are its own text whatever they share with others (quotes and copies stay),
-and lines outside it are not main text.
-
-Sorting never brings a host into one task: page keys alone are sorted into ranges first, and the html is then
-dealt out by those ranges, the pages at either end going to the neighbouring range as well. So every page meets
-both neighbours whatever the number of partitions. The driver sees two keys per range.
+forms and reader comments go by what their elements are called. Pages are then paired by URL, sorted by path
+within each host. Exact and near-whole copies that follow one another (``COPY``) are one neighbour: every page is
+compared with the last page before its copies and the first one after them. Lines are aligned by longest
+common subsequence, and lines that both pages share are deleted as the site's furniture. Where a page marks its
+article, the lines in it are its own text whatever they share with others (quotes and copies stay), and lines
+outside it are not main text. A page with nothing but copies beside it keeps all its lines.
+
+Sorting never brings a host into one task: keys and a number per line are sorted into ranges first, and the html is
+then dealt out by those ranges, along with the pages that the groups of copies at either end are compared with,
+however many ranges away. So every page meets both neighbours whatever the number of partitions. The driver
+sees four keys with their lines' numbers per range. A group's part in a range is held until the group ends.
 
 Cases: null html is empty, empty pages have empty text. Pages without a host are not paired. Repeated rows are
-neighbours of each other and returned once each. Unclosed and stray tags are read as browsers read them;
+copies of each other and returned once each. Unclosed and stray tags are read as browsers read them;
 comments, scripts and styles that never end run to the end. Two very long pages are aligned in linear memory. An
 empty table gives no rows. Extra columns are dropped.
 """
@@ -23,17 +25,23 @@ import html as entities
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirelake.llm.common import lean
 from quirelake.llm.urls import host, path
 
 #: Bits of alignment that may be held at once; beyond, the longer page is halved first.
 ALIGNED_BITS = 1 << 26
+#: Share of the longer page's characters in shared lines from which pages in a row are copies.
+COPY = 0.9
+_SKETCH = pa.struct([("hashes", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32()))])
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
@@ -206,27 +214,68 @@ def main_text(lines: list[tuple[str, bool]], shared: set[int]) -> str:
     return "\n".join(text for i, (text, _) in enumerate(lines) if i not in shared)
 
 
+def _hashes(lines: list[tuple[str, bool]]) -> list[int]:
+    """A number per line, the same in every process."""
+    return [int.from_bytes(blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t, _ in lines]
+
+
+def is_copy(a: list[int], b: list[int], a_chars: list[int], b_chars: list[int], pairs: list[tuple[int, int]] | None = None) -> bool:
+    """Whether all but a small share of the longer page's characters are in lines that both pages share."""
+    if a == b:
+        return True
+    longer = max(sum(a_chars), sum(b_chars))
+    if min(sum(a_chars), sum(b_chars)) < COPY * longer:
+        return False
+    return sum(a_chars[i] for i, _ in (common(a, b) if pairs is None else pairs)) >= COPY * longer
+
+
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (range, host, path, id); neighbours of a range that are only context are not returned."""
-    held: tuple | None = None  # row to return or None, range and host, lines, their hashes, shared positions
+    """Rows sorted by (range, host, path, id); neighbours of a range that are only context are not returned.
+
+    Copies in a row are one group. All its pages are held against the last page of the group before and the first of
+    the group after; context is never of a group with the range's own rows.
+    """
+    before: list[int] | None = None  # last page of the group before
+    group: list[tuple] = []  # (page_id, url, lines, hashes)
+    at, last_chars = None, []  # range, host and own of the group; sizes of its last page's lines
+    known: dict[str, str] = {}  # lines of the group, so that copies hold them once
+
+    def done(after: list[int] | None) -> list[tuple]:
+        out, seen = [], (None, "", 0)
+        for page_id, url, lines, hashes in group if at[2] else ():
+            if lines != seen[0]:
+                shared: set[int] = set()
+                if before is not None:
+                    shared.update(j for _, j in common(before, hashes))
+                if after is not None:
+                    shared.update(i for i, _ in common(hashes, after))
+                seen = (lines, main_text(lines, shared), len(shared))
+            out.append((page_id, url, *seen[1:]))
+        return out
 
     for batch in batches:
         out: list[tuple] = []
         cols = [batch.column(c).to_pylist() for c in ("part", "host", "page_id", "url", "html", "own")]
         for part, name, page_id, url, page, own in zip(*cols, strict=True):
             lines = lines_of(page)
-            hashes = [hash(text) for text, _ in lines]
-            shared: set[int] = set()
-            if held and held[1] == (part, name) and name:
-                for i, j in common(held[3], hashes):
-                    held[4].add(i)
-                    shared.add(j)
-            if held and held[0]:
-                out.append((*held[0], main_text(held[2], held[4]), len(held[4])))
-            held = ((page_id, url) if own else None, (part, name), lines, hashes, shared)
+            hashes, chars = _hashes(lines), [len(t) for t, _ in lines]
+            now = (part, name, own)
+            if not (group and name and now == at and is_copy(group[-1][3], hashes, last_chars, chars)):
+                near = bool(group and name and now[:2] == at[:2])
+                if group:
+                    out += done(hashes if near else None)
+                before = group[-1][3] if near else None
+                group, at = [], now
+                known.clear()
+            if group and group[-1][3] == hashes:
+                lines, hashes = (group[-1][2] if group[-1][2] == lines else lines), group[-1][3]
+            else:
+                lines = [(known.setdefault(t, t), inside) for t, inside in lines]
+            group.append((page_id, url, lines, hashes))
+            last_chars = chars
         yield _batch(out, batch.schema)
-    if held and held[0]:
-        yield _batch([(*held[0], main_text(held[2], held[4]), len(held[4]))], batch.schema)
+    if group:
+        yield _batch(done(None), batch.schema)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -237,21 +286,57 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+#: What is told of a range: its first and last row, the first row of its second group, the last row before its last group.
+FIRST, LAST, SECOND, LAST_BUT = range(4)
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First and last row of a sorted partition."""
-    first = None
+    """The rows of a sorted range that stand for its groups of copies, marked with ``end``."""
+    number = TaskContext.get().partitionId()  # of a range: they are in order
+    first = second = last_but = last = None
     for batch in batches:
-        if batch.num_rows:
-            first = first or batch.slice(0, 1)
-            last = batch.slice(batch.num_rows - 1)
-    if first:
-        yield first
-        yield last
+        cols = [batch.column(c).to_pylist() for c in ("host", "hashes", "chars")]
+        for i, row in enumerate(zip(*cols, strict=True)):
+            here = batch.slice(i, 1)
+            if first is None:
+                first = here
+            elif not _same_group(last[1], row):
+                second, last_but = second or here, last[0]
+            last = (here, row)
+    for end, row in ((FIRST, first), (LAST, last and last[0]), (SECOND, second), (LAST_BUT, last_but)):
+        if row is not None:
+            yield row.append_column("range", pa.array([number], pa.int32())).append_column("end", pa.array([end], pa.int32()))
+
+
+def _same_group(a: tuple, b: tuple) -> bool:
+    return bool(a[0]) and a[0] == b[0] and is_copy(a[1], b[1], a[2], b[2])
+
+
+def _contexts(ends: list[dict]) -> dict[tuple, list[int]]:
+    """By key, the ranges that need the row as context: the last of the group before and the first of the group after."""
+    n = len(ends)
+    key = lambda r, end: ends[r][end][0] if end in ends[r] else None
+    joined = [bool(r) and _same_group(ends[r - 1][LAST][1], ends[r][FIRST][1]) for r in range(n)]
+    out: dict[tuple, list[int]] = {}
+    before = None
+    for r in range(n):
+        if r and not joined[r]:
+            before = key(r - 1, LAST)
+        elif r:
+            before = key(r - 1, LAST_BUT) or before
+        if before:
+            out.setdefault(before, []).append(r)
+    after = None
+    for r in range(n - 2, -1, -1):
+        after = key(r + 1, FIRST) if not joined[r + 1] else key(r + 1, SECOND) or after
+        if after:
+            out.setdefault(after, []).append(r)
+    return out
 
 
 def _sortable(row) -> tuple:
-    h, p, i = row
-    return h, p, i is not None, 0 if i is None else i
+    h, p, i, tie = row
+    return h, p, i is not None, 0 if i is None else i, tie
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -262,24 +347,32 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = lean(pages).select(
         F.col(page_id).alias("page_id"), link.alias("url"), F.col(html).alias("html"), host(link).alias("host"), path(link).alias("path")
     )
-    order = ["host", "path", "page_id"]
-    keys = rows.select(*order)
-    ends = keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_ends, keys.schema)
-    found = sorted((_sortable(r) for r in ends.collect()))
-    firsts, lasts = found[::2], found[1::2]  # ranges do not overlap, so sorting all ends keeps them in pairs
-
-    def parts(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for hosts, paths, ids in batches:
+    rows = rows.withColumn("tie", F.xxhash64("html"))
+    order = ["host", "path", "page_id", "tie"]
+
+    def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            lines = [lines_of(page) for page in pages.to_pylist()]
+            yield pa.array([{"hashes": _hashes(x), "chars": [len(t) for t, _ in x]} for x in lines], _SKETCH)
+
+    sketch = F.arrow_udf(sketches, "struct<hashes:array<bigint>,chars:array<int>>")("html")
+    keys = rows.withColumn("sketch", sketch).select(*order, "sketch.hashes", "sketch.chars")
+    ends = keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(
+        _ends, T.StructType([*keys.schema.fields, T.StructField("range", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    )
+    found: dict[int, dict] = {}
+    for r in ends.collect():
+        found.setdefault(r["range"], {})[r["end"]] = (_sortable(r[:4]), (r["host"], r["hashes"], r["chars"]))
+    ranges = [found[k] for k in sorted(found)]
+    firsts, context = [r[FIRST][0] for r in ranges], _contexts(ranges)
+
+    def parts(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for cols in batches:
             out = []
-            for row in zip(hosts.to_pylist(), paths.to_pylist(), ids.to_pylist(), strict=True):
+            for row in zip(*(c.to_pylist() for c in cols), strict=True):
                 k = _sortable(row)
-                at = max(0, bisect_right(firsts, k) - 1)
-                to = [at]
-                if at + 1 < len(firsts) and k == lasts[at]:
-                    to.append(at + 1)
-                if at and k == firsts[at]:
-                    to.append(at - 1)
-                out.append(to)
+                own = max(0, bisect_right(firsts, k) - 1)
+                out.append([own, *(r for r in context.get(k, ()) if r != own)])
             yield pa.array(out, pa.list_(pa.int32()))
 
     dealt = (
@@ -287,7 +380,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         .select("*", F.posexplode("parts").alias("copy", "part"))
         .select("part", (F.col("copy") == 0).alias("own"), *order, "url", "html")
         .repartitionById(max(1, n), F.pmod("part", F.lit(n)).cast("int"))
-        .sortWithinPartitions("part", *order, "html")
+        .sortWithinPartitions("part", *order)
     )
     kind = rows.schema["page_id"].dataType.simpleString()
     text = dealt.mapInArrow(_differenced, f"page_id {kind}, url string, text string, n_shared long")

@@ -101,3 +101,21 @@ def test_whole_table(spark):
 def test_very_long_page():
     assert len(p.lines_of("<p>x" * 50_000)) == 50_000
     assert len(p.common(list(range(20_000)), list(range(1, 20_001)))) == 19_999
+
+
+def test_copies_are_one_neighbour(spark):
+    page = lambda body, day="": f"<div>Site name</div><p>{body}</p><p>{day}</p><p>Imprint</p>"
+    long = "A story told at some length so that its lines are nearly all there is of it. " * 4
+    rows = [(1, "http://h.x/a", page("first"))]
+    rows += [(2, "http://h.x/b", page(long))] * 3  # repeated rows
+    rows += [(10 + k, f"http://h.x/b?page={k}", page(long, f"day {k}")) for k in range(20)]  # same path, near-whole copies
+    rows += [(40 + k, f"http://h.x/c/{k}", page(long)) for k in range(9)]  # mirrored
+    rows += [(60, "http://h.x/d", page("last")), (70, "http://only.x/a", page(long)), (71, "http://only.x/b", page(long))]
+    for parts in ("1", "5", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = p.extract(spark.createDataFrame(rows, PAGES)).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert len(got) == len(rows)
+        for r in got:
+            want = {1: "first", 60: "last"}.get(r.page_id, long.strip() + (f"\nday {r.page_id - 10}" if 10 <= r.page_id < 40 else ""))
+            assert r.text == (f"Site name\n{long.strip()}\nImprint" if r.page_id >= 70 else want), (parts, r.page_id)
