@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_extract": lambda spark, sf: pages.extract(table(spark, sf, "pages")),
     "op3_pack": lambda spark, sf: packing.pack(table(spark, sf, "documents")),
     "op4_audio": lambda spark, sf: audio.report(table(spark, sf, "embeddings")),
+    "op4_audio_links": lambda spark, sf: audio.report_links(table(spark, sf, "embeddings")),
     "op5_simhash": lambda spark, sf: simhash.report(table(spark, sf, "documents")),
     "op6_chat": lambda spark, sf: chat.report(chat.with_forgery(table(spark, sf, "conversations"))),
     "op7_quality": lambda spark, sf: quality.scored(table(spark, sf, "documents"), table(spark, sf, "labels")),
