@@ -538,6 +538,13 @@ def scaled_search_boxes(t: Inputs) -> DataFrame:
     return search.search_boxes(hits, t.scaled_pages, t.scaled_dims)
 
 
+@query
+def scaled_search_boxes_all(t: Inputs) -> DataFrame:
+    """The frequent queries too, which the SQL of ``scaled_search_boxes`` leaves out."""
+    hits = search.phrase_search(t.words, LIVE, dense=True)
+    return search.search_boxes(hits, t.scaled_pages, t.scaled_dims)
+
+
 @query
 def scaled_with_dims(t: Inputs) -> DataFrame:
     return spatial.with_dims(t.annotations, t.scaled_pages, t.scaled_dims).select(*K, "seq", "sx", "sy")

@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quirelake.catalog.inputs import LIVE, Inputs
+from quirelake.catalog.queries import registered
 from quirelake.operators import search
 from quirelake.operators.filters import search_gate
 from quirelake.schemas import WORDS
@@ -136,3 +138,24 @@ def test_a_crowded_page_is_split(spark):
         assert hits.select(F.spark_partition_id().alias("p")).distinct().count() > 3
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scaled_boxes_of_all_queries(spark, tmp_path):
+    docs = [(d, " ".join(random.Random(d).choices(["the", "other", "of", "The", "hat", "that", "a", "X"], k=30 + 190 * (d % 3)))) for d in range(6)]
+    docs[5] = (5, "the other of the " * 250)  # two pages
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    by: dict[tuple, list] = {}
+    for w in Inputs(spark, str(tmp_path)).words.orderBy("doc_id", "page_idx", "word_idx").collect():
+        by.setdefault((w.doc_id, w.page_idx), []).append(w)
+    want = []
+    for (d, p), ws in by.items():
+        if (d + p) % 5:
+            fx, fy, height = 2 ** (d % 3), 2 ** ((d + p) % 2 + 1), 792 * (1 + p % 2)
+            for n, q in LIVE:
+                for i, j in grow([w.text for w in ws], q):
+                    left, right = min(w.left_pt for w in ws[i : j + 1]), max(w.right_pt for w in ws[i : j + 1])
+                    low, top = min(w.bottom_pt for w in ws[i : j + 1]), max(w.top_pt for w in ws[i : j + 1])
+                    want.append((n, d, p, i, j, left * fx, (height - top) * fy, max(4, (right - left) * fx), max(4, (top - low) * fy)))
+    got = sorted(map(tuple, registered()["scaled_search_boxes_all"](spark, str(tmp_path)).collect()))
+    assert {0, 1} < {r[0] for r in got} and len(got) == len(want)
+    assert all(g[:5] == w[:5] and g[5:] == pytest.approx(w[5:]) for g, w in zip(got, sorted(want), strict=True))
