@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from quirelake.catalog import queries
 from quirelake.operators.search import phrase_search
 from quirelake.schemas import ANNOTATIONS, PAGES, RENDER_DIMS, SIGNATURES, WORDS
 from quirelake.sources import corpus as C
@@ -120,3 +121,14 @@ def test_search_of_read_words(spark):
     _, words = layout_text(docs)
     queries = spark.createDataFrame([(0, "bar")], "query_id int, q string")
     assert sorted((r.i, r.j) for r in phrase_search(words, queries).collect()) == [(0, 1), (1, 1)]
+
+
+def test_lists_of_signatures_stay_small(spark, tmp_path, monkeypatch):
+    events = spark.range(20_000).selectExpr("id as event_id", "id % 9 as user_id", "'error' as event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = {r.id for r in queries.registered()["signature_array_roundtrip"](spark, str(tmp_path)).collect()}
+    assert got == {f"s{i}" for i in range(20_000) if i % 8 != 5}
+    files = list((tmp_path / "signature-arrays").rglob("*.txt"))
+    held = [f.read_text().count('"Id"') for f in files]
+    assert max(held) == 1000 and sum(held) == 20_000 and len(files) == 24
