@@ -75,6 +75,17 @@ class Inputs:
         rows = self.table("benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.explode(phrase).alias("q"))
         return rows.where("query_id % 7 <> 3").unionByName(rows.where("query_id % 7 = 3").withColumn("q", F.lit(None).cast("string")))
 
+    @cached_property
+    def all_queries(self) -> DataFrame:
+        """The benchmark texts cut into phrases of three words, the last of an item with what is left; null queries beside them."""
+        words = F.split(F.col("text"), "[ \\n]+")
+        at = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))
+        last = F.element_at(at, -1)
+        phrase = F.transform(at, lambda i: F.array_join(F.slice(words, i, F.when(i == last, F.greatest(F.size(words), F.lit(1))).otherwise(3)), " "))
+        items = self.table("benchmark").select(F.col("item_id").cast("int").alias("query_id"), "text", phrase.alias("phrases"))
+        nulls = items.where("query_id % 7 = 3").select("query_id", F.lit(None).cast("string").alias("q"))
+        return items.select("query_id", F.explode("phrases").alias("q")).unionByName(nulls)
+
     def every_page(self, queries: list[tuple[int, str]]) -> DataFrame:
         """A request for each of some queries on each page."""
         return self.pages.select(*K, F.explode(F.array(*[F.lit(i) for i, _ in queries])).alias("query_id"))

@@ -354,6 +354,17 @@ def search_counts_many(t: Inputs) -> DataFrame:
     return search.search_counts(t.words, t.many_queries, dense=True)
 
 
+@query
+def phrase_search_all(t: Inputs) -> DataFrame:
+    """Whole benchmark texts, of which the SQL of ``phrase_search_many`` leaves some out."""
+    return search.phrase_search(t.words, t.all_queries, dense=True)
+
+
+@query
+def search_counts_all(t: Inputs) -> DataFrame:
+    return search.search_counts(t.words, t.all_queries, dense=True)
+
+
 @query
 def phrase_search_gaps(t: Inputs) -> DataFrame:
     """Words that edits have whited out do not count."""

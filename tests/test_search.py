@@ -159,3 +159,25 @@ def test_scaled_boxes_of_all_queries(spark, tmp_path):
     got = sorted(map(tuple, registered()["scaled_search_boxes_all"](spark, str(tmp_path)).collect()))
     assert {0, 1} < {r[0] for r in got} and len(got) == len(want)
     assert all(g[:5] == w[:5] and g[5:] == pytest.approx(w[5:]) for g, w in zip(got, sorted(want), strict=True))
+
+
+def test_all_phrases_of_the_benchmark_are_searched(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["the", "hat", "of", "x"], k=k % 9 + 1)) for k in range(14)]
+    docs = [(d, " ".join(rng.choices(["The", "hat", "of", "x"], k=120))) for d in range(4)]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    phrases = []
+    for n, t in enumerate(texts):
+        ws = t.split(" ")
+        starts = list(range(0, max(len(ws) - 2, 1), 3))
+        phrases += [(n, " ".join(ws[i:] if i == starts[-1] else ws[i : i + 3])) for i in starts]
+    assert all(" ".join(q for m, q in phrases if m == n) == t for n, t in enumerate(texts))
+    asked = Inputs(spark, str(tmp_path)).all_queries.collect()
+    assert sorted((r.query_id, r.q) for r in asked if r.q is not None) == sorted(phrases)
+    assert [r.query_id for r in asked if r.q is None] == [3, 10]
+    want = sorted((n, d, i, j) for d, t in docs for n, q in phrases for i, j in grow(t.split(" "), q))
+    hits = registered()["phrase_search_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.doc_id, r.i, r.j) for r in hits) == want and {3, 10} <= {r[0] for r in want}
+    counts = registered()["search_counts_all"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.doc_id): r.n_hits for r in counts} == {k: sum(w[:2] == k for w in want) for k in {w[:2] for w in want}}
