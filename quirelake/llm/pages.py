@@ -66,10 +66,17 @@ _NAMES = frozenset(
     " disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo"
     " promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+_MODIFIERS = frozenset("with has no without".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+def _names_furniture(name: str) -> bool:
+    """Whether a class or id is a furniture word or ends in one, other than to say whether there is such a thing."""
+    parts = re.split(r"[_-]+", name)
+    return parts[-1] in _NAMES and _MODIFIERS.isdisjoint(parts)
+
+
 def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element is dropped, and whether it holds the main text."""
     main = tag in _MAIN
@@ -85,8 +92,8 @@ def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
                 main |= value in ("main", "article")
             elif name == "style":
                 dropped |= _HIDDEN.search(value) is not None
-            else:
-                dropped |= not _NAMES.isdisjoint(re.split(r"[\s_-]+", value))
+            elif tag != "main":
+                dropped |= any(map(_names_furniture, value.split()))
     return dropped, main and not dropped
 
 

@@ -119,3 +119,10 @@ def test_copies_are_one_neighbour(spark):
         for r in got:
             want = {1: "first", 60: "last"}.get(r.page_id, long.strip() + (f"\nday {r.page_id - 10}" if 10 <= r.page_id < 40 else ""))
             assert r.text == (f"Site name\n{long.strip()}\nImprint" if r.page_id >= 70 else want), (parts, r.page_id)
+
+
+def test_wrappers_that_only_mention_furniture_stay():
+    for wrap in ("<div class='layout with-sidebar'>", "<div class=has-comments>", "<body><div class='no_ads x'>", "<div class='menu-open'>", "<div id=header-wrapper>"):
+        assert p.lines_of(f"{wrap}<article><p>text</article>") == [("text", True)], wrap
+    assert p.lines_of("<main class='comments'><p>text</main>") == [("text", True)]
+    assert text_of("a<div class='left-sidebar'>x</div><div class='Main_Nav'>y</div>b") == "a\nb"
