@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import audio, chat, decontaminate, language, packing, pages, quality, secrets, simhash, urls
+from quirelake.llm import alignment, audio, chat, decontaminate, language, packing, pages, quality, secrets, simhash, urls
 from quirelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": lambda spark, sf: secrets.report(table(spark, sf, "documents")),
     "op9_language": lambda spark, sf: language.report(table(spark, sf, "documents")),
     "op10_urls": lambda spark, sf: urls.report(table(spark, sf, "pages")),
+    "op11_align": lambda spark, sf: alignment.report(table(spark, sf, "documents")),
 }
 
 SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op10_urls": urls.SQL}
