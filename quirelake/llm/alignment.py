@@ -24,8 +24,9 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from itertools import islice
 from pathlib import Path
 
@@ -44,8 +45,8 @@ from quirelake.llm.common import lean
 from quirelake.plans.lineage import cut_lineage, new_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Texts tokenised at once, windows remembered, tokens of a window that is remembered.
-BATCH, MEMO, MEMO_TOKENS = 64, 300_000, 64
+#: Texts tokenised at once, windows remembered, tokens of a window that is remembered, links of a group that are listed.
+BATCH, MEMO, MEMO_TOKENS, LISTED = 64, 400_000, 64, 256
 #: Pairs a task adds up before it hands them on, and pairs of the whole corpus that may be broadcast.
 GATHERED, HELD = 1 << 20, 4_000_000
 
@@ -107,36 +108,37 @@ def pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, Vocabulary]
 
 
 class Window:
-    """Groups of a window as text, the number of links, and linked pairs with their links; a pair may be listed again."""
+    """Groups of a window as text and its linked pairs as little-endian longs, one per link; pairs of groups with many
+    links are counted in ``many`` instead."""
 
-    __slots__ = ("groups", "n_links", "pairs", "times")
+    __slots__ = ("right", "groups", "pairs", "many")
 
     def __init__(self, a: tuple[int, ...], b: tuple[int, ...], a_ends: list[int], b_ends: list[int]):
-        listed, pairs, times = [], [], []
-        i = j = m = n = self.n_links = 0
-        while m < len(a):
-            if a_ends[m] < b_ends[n]:
-                m += 1
-            elif a_ends[m] > b_ends[n]:
-                n += 1
-            elif m == i and n == j:  # one token on either side
-                listed.append(f"{a[m]}|{b[n]}")
-                pairs.append(a[m] << 32 | b[n])
-                times.append(1)
-                self.n_links += 1
-                i = m = m + 1
-                j = n = n + 1
+        listed, pairs, self.many, self.right = [], [], None, b
+        i = j = m = n = 0
+        last = len(a)
+        while m < last:
+            gap = a_ends[m] - b_ends[n]
+            m += gap <= 0
+            n += gap >= 0
+            if gap:
+                continue
+            if m - i == 1 == n - j:
+                listed.append(f"{a[i]}|{b[j]}")
+                pairs.append(a[i] << 32 | b[j])
             else:
-                m, n = m + 1, n + 1
-                listed.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
-                right = Counter(b[j:n]).items()
-                for x, p in Counter(a[i:m]).items():
-                    for y, q in right:
-                        pairs.append(x << 32 | y)
-                        times.append(p * q)
-                self.n_links += (m - i) * (n - j)
-                i, j = m, n
-        self.groups, self.pairs, self.times = ";".join(listed), tuple(pairs), tuple(times)
+                x, y = a[i:m], b[j:n]
+                listed.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+                if len(x) * len(y) <= LISTED:
+                    pairs += [p << 32 | q for p in x for q in y]
+                else:
+                    self.many = self.many or Counter()
+                    right = Counter(y).items()
+                    for p, s in Counter(x).items():
+                        for q, t in right:
+                            self.many[p << 32 | q] += s * t
+            i, j = m, n
+        self.groups, self.pairs = ";".join(listed), array("q", pairs).tobytes()
 
 
 class Aligned:
@@ -144,17 +146,18 @@ class Aligned:
 
     __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")
 
-    def __init__(self, n_a: int = 0, n_b: int = 0, n_groups: int = 0, windows: Iterable[Window] = ()):
-        self.n_a, self.n_b, self.n_groups, self.n_links = n_a, n_b, n_groups, 0
-        groups, listed, times = [], [], []
-        for w in windows:
-            groups.append(w.groups)
-            listed += w.pairs
-            times += w.times
-            self.n_links += w.n_links
-        self.groups = ";".join(groups)
-        self.pairs, at = np.unique(np.array(listed, np.int64), return_inverse=True)
-        self.times = np.bincount(at, times, len(self.pairs)).astype(np.int64) if listed else np.zeros(0, np.int64)
+    def __init__(self, n_a: int = 0, n_b: int = 0, n_groups: int = 0, windows: Sequence[Window] = ()):
+        self.n_a, self.n_b, self.n_groups = n_a, n_b, n_groups
+        self.groups = ";".join([w.groups for w in windows])
+        self.pairs, self.times = np.unique(np.frombuffer(b"".join([w.pairs for w in windows]), np.int64), return_counts=True)
+        many = [w.many for w in windows if w.many]
+        if many:
+            keys = np.concatenate([self.pairs, *(np.fromiter(c, np.int64, len(c)) for c in many)])
+            times = np.concatenate([self.times, *(np.fromiter(c.values(), np.int64, len(c)) for c in many)])
+            self.pairs, at = np.unique(keys, return_inverse=True)
+            self.times = np.zeros(len(self.pairs), np.int64)
+            np.add.at(self.times, at, times)
+        self.n_links = int(self.times.sum())
 
 
 class Aligner:
@@ -162,7 +165,7 @@ class Aligner:
         self.a, self.of_a = byte_level(a_path)
         self.b, self.of_b = pieces(b_path)
         self.quick = ranked(a_path, self.of_a)
-        self.memo: dict[tuple, Window] = {}
+        self.memo: dict[tuple[int, ...], Window] = {}  # by the ids of A; those of B lie in the window
 
     def __call__(self, texts: list[str | None]) -> list[Aligned]:
         out = [Aligned()] * len(texts)
@@ -184,29 +187,35 @@ class Aligner:
         return out
 
     def _text(self, raw: bytes, a: list[int], b: list[int]) -> Aligned:
-        of_a, of_b = self.of_a.bytes, self.of_b.bytes
-        if b"".join([of_a[k] for k in a]) != raw or b"".join([of_b[k] for k in b]) != raw:
+        if b"".join(map(self.of_a.bytes.__getitem__, a)) != raw or b"".join(map(self.of_b.bytes.__getitem__, b)) != raw:
             return Aligned()
         a_ids, b_ids = np.array(a), np.array(b)
         a_ends, b_ends = self.of_a.ends(a_ids), self.of_b.ends(b_ids)
-        # Ends before a token with a space; the end of the text is shared by both.
-        anchors = np.intersect1d(a_ends[:-1][self.of_a.spaced[a_ids[1:]]], b_ends[:-1][self.of_b.spaced[b_ids[1:]]], True)
-        cuts = [(np.append(np.searchsorted(ends, anchors), len(ends) - 1) + 1).tolist() for ends in (a_ends, b_ends)]
-        shared = len(np.intersect1d(a_ends, b_ends, True))
-        return Aligned(len(a), len(b), shared, self._windows(a, b, a_ends, b_ends, *cuts))
+        # By byte: 1 where a token of B ends, 2 where also the next one begins with a space.
+        mark = np.zeros(len(raw) + 1, np.uint8)
+        mark[b_ends] = 1
+        mark[b_ends[:-1][self.of_b.spaced[b_ids[1:]]]] = 2
+        shared = mark[a_ends]
+        anchor = shared == 2
+        anchor[:-1] &= self.of_a.spaced[a_ids[1:]]
+        anchor[-1] = True
+        a_cuts = np.flatnonzero(anchor)
+        b_cuts = np.searchsorted(b_ends, a_ends[a_cuts])
+        windows = self._windows(tuple(a), tuple(b), a_ends, b_ends, (a_cuts + 1).tolist(), (b_cuts + 1).tolist())
+        return Aligned(len(a), len(b), int(np.count_nonzero(shared)), windows)
 
     def _windows(self, a, b, a_ends, b_ends, a_cuts: list[int], b_cuts: list[int]) -> list[Window]:
         out, memo, i, j = [], self.memo, 0, 0
         for m, n in zip(a_cuts, b_cuts, strict=True):
-            key = tuple(a[i:m]), tuple(b[j:n])
-            window = memo.get(key)
-            if window is None:
+            left, right = a[i:m], b[j:n]
+            window = memo.get(left)
+            if window is None or window.right != right:  # ids of A give the text, and the text nearly always those of B
                 # Only equality of ends matters, so they may count from the start of the text.
-                window = Window(*key, a_ends[i:m].tolist(), b_ends[j:n].tolist())
+                window = Window(left, right, a_ends[i:m].tolist(), b_ends[j:n].tolist())
                 if m - i + n - j <= MEMO_TOKENS:
                     if len(memo) >= MEMO:
                         self.memo = memo = dict(islice(memo.items(), MEMO // 2))  # the first met are the frequent ones
-                    memo[key] = window
+                    memo[left] = window
             out.append(window)
             i, j = m, n
         return out
