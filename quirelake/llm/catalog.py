@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelake.llm import alignment, audio, chat, decontaminate, language, packing, pages, quality, secrets, simhash, structure, urls
+from quirelake.llm import alignment, audio, chat, decontaminate, language, packing, pages, quality, secrets, simhash, structure, substrings, urls
 from quirelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": lambda spark, sf: urls.report(table(spark, sf, "pages")),
     "op11_align": lambda spark, sf: alignment.report(table(spark, sf, "documents")),
     "op12_structure": lambda spark, sf: structure.report(table(spark, sf, "conversations")),
+    "op13_substrings": lambda spark, sf: substrings.report(table(spark, sf, "documents")),
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op10_urls": urls.SQL}
+SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op10_urls": urls.SQL, "op13_substrings": substrings.SQL}
