@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import lean
-from quirelake.plans.lineage import new_path
+from quirelake.plans.lineage import cut_lineage, new_path
 
 WINDOW, GRAM = 35, 8
 #: Occurrences of an anchor up to which one shard takes them all; words in the stretches of a shard; words or bytes looked at together.
@@ -282,7 +282,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "substrings-scan",
     )
     # Runs whose anchor occurs twice, by text.
-    counts = scan.select(F.explode("anchors").alias("h")).groupBy("h").count().where("count > 1")
+    # Counts are written first: a join straight on an aggregate cannot be split where an anchor is frequent.
+    counts = cut_lineage(scan.select(F.explode("anchors").alias("h")).groupBy("h").count().where("count > 1"))
     runs = scan.select("k1", "k2", F.explode(F.arrays_zip("anchors", "runs")).alias("r")).select("k1", "k2", F.col("r.anchors").alias("h"), "r.runs")
     marked = F.shiftleft("runs", 1).bitwiseOR((F.col("count") > HOT).cast("long"))
     recurring = (
