@@ -3,7 +3,7 @@
 An example is a vector of tokens, segments (one per piece) and loss-bearing tokens. A sequence is opened with the
 limits as its free capacity; as long as one fits, the waiting piece with the greatest dot product of its
 vector and the free capacity (each in shares of the limits) is placed. What then is left of the token limit is
-filled by cutting the longest waiting piece that reaches over it. Texts longer than a sequence give whole
+filled by cutting the waiting piece that fills most of it, the longest of equals; loss is cut off likewise. Texts longer than a sequence give whole
 sequences first. What remains at the end of a partition, less than a sequence, is cut at powers of two, which
 need no padding.
 
@@ -24,7 +24,7 @@ import string
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -40,8 +40,8 @@ from quirelake.llm.common import lean
 
 #: Limits of a sequence: tokens, pieces, loss-bearing tokens. All tokens of a plain document bear loss.
 TOKENS, SEGMENTS, LOSS = 2048, 512, 2048
-#: Pieces that wait at once, and entries a token cache may hold while a partition is worked on.
-WAITING, CACHED = 1024, 250_000
+#: Pieces that wait at once, and entries a token cache may hold (some 200 bytes each).
+WAITING, CACHED = 1024, 800_000
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 
@@ -55,47 +55,55 @@ class TokenCache:
     """Token ids of texts as little-endian bytes, word by word.
 
     The vocabulary never merges across white space or across its own split, so the ids of a text are
-    those of its parts, and each distinct part is tokenised once.
+    those of its parts, and each distinct part is tokenised once. One dictionary holds parts and what they make up
+    between white space, in two generations: what is used moves to the young one; when that is full, the old one,
+    unused for as long, is given up.
     """
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
         self.words = Tokenizer(self.full.model)
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.of_word: dict[str, bytes] = {}
-        self.of_chunk: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], cached: int = CACHED) -> list[bytes]:
         plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]  # "<|": perhaps a special token
         chunks = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        if len(self.young) > cached // 2:
+            self.old, self.young = self.young, {}
         self._learn(set().union(*chunks))
-        of = self.of_chunk
+        of = self.young
         out = [b"".join(map(of.__getitem__, cs)) for cs in chunks]
         for at in (k for k, p in enumerate(plain) if not p):
             out[at] = _le(self.full.encode(texts[at], add_special_tokens=False).ids)
         return out
 
-    def forget(self, keep: int = CACHED // 4) -> None:
-        """Keep the ``keep`` oldest entries: what is frequent is met, and learned, early."""
-        self.of_word = dict(islice(self.of_word.items(), keep))
-        self.of_chunk = dict(islice(self.of_chunk.items(), keep))
+    def shrink(self, keep: int) -> None:
+        """Keep ``keep`` entries of the young generation, those met first."""
+        self.old, self.young = {}, dict(islice(self.young.items(), keep))
 
     def _learn(self, chunks: set[str]) -> None:
-        if max(len(self.of_chunk), len(self.of_word)) > CACHED:
-            self.forget()
-        new = chunks.difference(self.of_chunk)
-        words: set[str] = set()
-        for c in new:
-            words.update(_parts(c))
-        listed = list(words.difference(self.of_word))
+        young, old = self.young, self.old
+        new = []
+        for c in chunks.difference(young):
+            known = old.get(c)
+            if known is None:
+                new.append(c)
+            else:
+                young[c] = known
+        parts = {c: _parts(c) for c in new}
+        words = set().union(*parts.values()).difference(young)
+        young.update([(w, old[w]) for w in words if w in old])
+        listed = list(words.difference(old))
         for w, e in zip(listed, self.words.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-            self.of_word[w] = _le(e.ids)
-        of = self.of_word
-        for c in new:
-            self.of_chunk[c] = b"".join([of[w] for w in _parts(c)])
+            young[w] = _le(e.ids)
+        for c, ws in parts.items():
+            if len(ws) > 1:
+                young[c] = b"".join([young[w] for w in ws])
 
 
-def _parts(chunk: str) -> Iterable[str]:
+def _parts(chunk: str) -> Sequence[str]:
     """A chunk as the vocabulary splits it; letters with marks behind them, the usual case, need no expression."""
     if chunk.isalpha():
         return (chunk,)
@@ -153,8 +161,9 @@ class Packer:
             chosen: list[tuple[int, int, int]] = []  # piece, start, length
             while free[0] > 0 and free[1] > 0:
                 fits = live & (vec <= free).all(1)
-                # The last segment must not leave a gap that a cut could fill.
-                cut = live & (vec[:, 0] > free[0])
+                # The last segment must not leave a gap that a cut could fill. Tokens without loss come first in a piece.
+                part = np.minimum(np.minimum(vec[:, 0], free[0]), vec[:, 0] - vec[:, 2] + free[2])
+                cut = live & (vec[:, (0, 2)] > free[[0, 2]]).any(1) & (part > 0)
                 if fits.any() and not (free[1] == 1 and cut.any()):
                     score = np.where(fits, (vec / self.limits) @ (free / self.limits), -1.0)
                     k = int(score.argmax())
@@ -164,13 +173,9 @@ class Packer:
                     left, total = left - 1, total - length
                     free -= vec[k]
                 elif cut.any():
-                    k = int(np.where(cut, vec[:, 0], -1.0).argmax())
+                    k = int(np.where(cut, part * (1 << 32) + vec[:, 0], -1.0).argmax())
                     key, start, length, loss_from = pieces[k]
-                    take = min(int(free[0]), int(free[2]) or int(free[0]))
-                    while take and self._loss(start, take, loss_from) > free[2]:
-                        take -= 1
-                    if not take:
-                        break
+                    take = int(part[k])
                     chosen.append((k, start, take))
                     pieces[k] = (key, start + take, length - take, loss_from)
                     vec[k] = (length - take, 1, self._loss(start + take, length - take, loss_from))
@@ -210,11 +215,17 @@ _FIELDS = [
 
 def pack(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None,
-    tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS,
+    tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, loss_from: str | None = None,
+    cached: int = CACHED, kept: int | None = None,
 ) -> DataFrame:
-    """One row per piece: where it starts in its document, where it lies in its sequence, checksum of its ids."""
+    """One row per piece: where it starts in its document, where it lies in its sequence, checksum of its ids.
+
+    ``loss_from`` names a column with the number of a document's tokens (of a prompt, say) that bear no loss; null is none.
+    ``cached`` bounds the token cache of a Python worker, ``kept`` what of it stays after a task (all if null).
+    """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    rows = lean(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = lean(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.coalesce(F.col(loss_from).cast("long") if loss_from else F.lit(0), F.lit(0)).alias("loss_from"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +250,15 @@ def pack(
             id_type = batch.schema.field("doc_id").type
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = cache.encode(part.column("text").to_pylist())
-                for doc, body in zip(part.column("doc_id").to_pylist(), ids, strict=True):
+                ids = cache.encode(part.column("text").to_pylist(), cached)
+                for doc, body, free in zip(part.column("doc_id").to_pylist(), ids, part.column("loss_from").to_pylist(), strict=True):
                     body += _le([END])
-                    packer.add((doc, body), 0, len(body) // 4)
+                    packer.add((doc, body), 0, len(body) // 4, free)
             if out:
                 yield drain()
         packer.flush()
-        cache.forget()
+        if kept is not None:
+            cache.shrink(kept)
         if out:
             yield drain()
 

@@ -113,3 +113,28 @@ def test_little_padding_and_few_cuts():
     pack.flush()
     assert max(n for n, _ in out) + 1 <= sum(sizes) // 2048 + 12
     assert len(out) < 1.2 * len(sizes)
+
+
+def test_cache_gives_up_what_is_not_used(plain):
+    rng, cache = random.Random(2), p.TokenCache(PATH)
+    texts = [" ".join(f"{rng.choice('abcdefgh') * rng.randrange(1, 9)}{rng.choice(['', ',', chr(39) + 's'])}" for _ in range(30)) for _ in range(300)]
+    for t in texts:
+        assert np.frombuffer(cache.encode([t], 60)[0], "<u4").tolist() == plain(t)[:-1]
+        assert len(cache.young) <= 30 + 100 and len(cache.old) <= 30 + 100
+    cache.shrink(5)
+    assert len(cache.young) == 5 and not cache.old
+
+
+@pytest.mark.parametrize("length, free, full", [(4, 2, (40, 8, 24)), (50, 0, (64, None, 64)), (60, 58, (128, None, None))])
+def test_three_limits_bind_apart(spark, plain, length, free, full):
+    """Many short documents meet the limit of segments, documents that are all loss that of loss, long prompts that of tokens."""
+    rows = [(k, "word " * length, free, "x") for k in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, prompt int, loss_from string").coalesce(1)
+    found = p.pack(docs, tokens=128, segments=8, loss=64, loss_from="prompt").collect()
+    seqs = {}
+    for r in found:
+        seqs.setdefault(r.sequence_id, []).append(r)
+    sums = [(sum(r.length for r in s), len(s), sum(max(0, r.start + r.length - max(r.start, free)) for r in s)) for _, s in sorted(seqs.items())][:-8]
+    assert sums and all(want is None or got == want for row in sums for got, want in zip(row, full, strict=True))
+    assert all(t <= 128 and n <= 8 and x <= 64 for t, n, x in sums)
+    assert sum(r.length for r in found) == 64 * (length + 1) == 64 * len(plain("word " * length))
