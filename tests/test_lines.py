@@ -101,3 +101,37 @@ def test_a_page_of_many_levels(spark):
         if anchor is None or anchor - r.top_pt > 3:
             anchor, line = r.top_pt, line + 1
         assert r.line_no == line
+
+
+@pytest.mark.parametrize("tolerance", [3.0, 0.5, 0.0, 40.0])
+def test_tall_gapless_pages_over_many_blocks(spark, tolerance):
+    """Anchors are carried from block to block, wherever the lines of a page start, also below zero."""
+    rng = random.Random(int(tolerance * 2))
+    pages = {}
+    for doc, (n, span, step) in enumerate([(700, 3000, 0.5), (300, 900, 0.25), (500, 4000, 2.0), (40, 90000, 1.0), (200, 60, 0.125)]):
+        pages[doc] = [(i, rng.randint(-span, span) * step, float(rng.randint(0, 9))) for i in range(n)]
+    pages[9] = [(i, 1000.0 - 3.0 * i, 0.0) for i in range(400)]  # every top just within reach of the one before
+    rows = [(d, 0, i, f"w{i}", left, top - 1, left, top, 10.0, "A") for d, ws in pages.items() for i, top, left in ws]
+    df = spark.createDataFrame(rows, WORDS)
+    want, texts = {}, {}
+    for d, ws in pages.items():
+        anchor, line = None, -1
+        for i, top, _ in sorted(ws, key=lambda w: (-w[1], w[2], w[0])):
+            if anchor is None or anchor - top > tolerance:
+                anchor, line = top, line + 1
+                texts[d] = texts.get(d, "") + "\n"
+            else:
+                texts[d] += " "
+            texts[d] += f"w{i}"
+            want[d, i] = line
+    assert {(r.doc_id, r.word_idx): r.line_no for r in lines.group_lines(df, tolerance=tolerance).collect()} == want
+    got = lines.region_text(df.withColumnRenamed("doc_id", "region_id"), tolerance).collect()
+    assert {r.region_id: (r.text, r.n_words) for r in got} == {d: (texts[d][1:], len(ws)) for d, ws in pages.items()}
+
+
+def test_no_window_over_a_page_and_one_look_at_the_words(spark):
+    df = words_of(spark, [(100.0, 0.0)])
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(lines.group_lines(df))
+    text = plan(lines.region_text(df.withColumn("region_id", df["doc_id"])))
+    assert "Window" not in text and text.count("Exchange hashpartitioning") <= 5
