@@ -39,7 +39,7 @@ def _whole_list(text: str | None) -> str | None:
     """``text`` if it is one array of signatures and nothing else, otherwise null."""
     try:
         value = json.loads(text or "", parse_constant=_refuse)
-    except ValueError:
+    except (ValueError, RecursionError):  # brackets nested too deep are no list of signatures either
         return None
     return text if isinstance(value, list) and _fits(value, T.ArrayType(SIGNATURE_JSON)) else None
 

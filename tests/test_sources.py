@@ -132,3 +132,8 @@ def test_lists_of_signatures_stay_small(spark, tmp_path, monkeypatch):
     files = list((tmp_path / "signature-arrays").rglob("*.txt"))
     held = [f.read_text().count('"Id"') for f in files]
     assert max(held) == 1000 and sum(held) == 20_000 and len(files) == 24
+
+
+def test_deep_nesting_is_no_list_of_signatures(spark, tmp_path):
+    (tmp_path / "deep.json").write_text("[" * 200_000)
+    assert read_signatures(spark, str(tmp_path / "deep.json")).count() == 0
