@@ -45,8 +45,11 @@ Model = list[tuple[str, bytes]]
 
 
 def letters(text: str | None) -> bytes:
-    """The words of a text, lower-cased and separated by spaces."""
-    return "".join([f"{w} " for w in _WORD.findall(text.lower())]).encode() if text else b""
+    """The words of a text, lower-cased and separated by spaces. Fractions, superscripts and circled numbers are no letters."""
+    words = _WORD.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, words)):
+        words = [w for w in ("".join(filter(str.isalpha, w)) for w in words) if w]
+    return "".join([f"{w} " for w in words]).encode()
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:

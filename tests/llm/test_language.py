@@ -81,3 +81,8 @@ def test_unlearned_text_is_rejected_and_learned_text_stays(spark):
     for words in (10, 50, 400):
         noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(words)) for _ in range(100)]
         assert share(whole, noise) > 0.9, words
+
+
+def test_numbers_are_no_letters():
+    assert language.letters("½² ① Ⅻ 12 _") == b"" and language.letters("a½b ②") == b"ab " and language.letters("É x2") == "é x ".encode()
+    assert language.Classifier([("en", b"the and of " * 50)])("½² ①") == (language.UNKNOWN, 0.0, True)
