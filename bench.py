@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = (
-    "layout_text", "search_counts", "phrase_search", "search_boxes", "phrase_search_many", "group_lines", "left_to_right",
+    "layout_text", "search_counts", "phrase_search", "search_boxes", "phrase_search_all", "group_lines", "left_to_right",
     "region_text", "words_in_region", "page_text", "line_at_point", "nearest_line", "edit_target", "hit_test", "visible_words",
     "merge_documents", "extract_pages", "reorder_page", "flatten_annotations", "annotation_state",
 )

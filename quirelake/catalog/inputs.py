@@ -66,15 +66,6 @@ class Inputs:
     def queries(self) -> DataFrame:
         return self.spark.createDataFrame(QUERIES, "query_id int, q string")
 
-    @cached_property
-    def many_queries(self) -> DataFrame:
-        """The benchmark texts cut into phrases of three words, those of an item under one id."""
-        words = F.split(F.col("text"), "[ \\n]+")
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))
-        phrase = F.transform(at, lambda i: F.array_join(F.slice(words, i, 3), " "))
-        rows = self.table("benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.explode(phrase).alias("q"))
-        return rows.where("query_id % 7 <> 3").unionByName(rows.where("query_id % 7 = 3").withColumn("q", F.lit(None).cast("string")))
-
     @cached_property
     def all_queries(self) -> DataFrame:
         """The benchmark texts cut into phrases of three words, the last of an item with what is left; null queries beside them."""

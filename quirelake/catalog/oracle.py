@@ -131,10 +131,10 @@ hits AS (
 _MANY_RUNS = """
 phrases AS (
   SELECT row_number() OVER () AS phrase, query_id, lower(q) AS q FROM (
-    SELECT CAST(item_id AS INTEGER) AS query_id, array_to_string(ws[i:i + 2], ' ') AS q
+    SELECT CAST(item_id AS INTEGER) AS query_id,
+      array_to_string(list_slice(ws, i, CASE WHEN i + 3 > greatest(len(ws) - 2, 1) THEN len(ws) ELSE i + 2 END), ' ') AS q
     FROM (SELECT item_id, string_split_regex(text, '[ \\n]+') AS ws FROM benchmark),
-      unnest(range(1, greatest(len(ws) - 2, 1) + 1, 3)) AS u(i)
-    WHERE item_id % 7 <> 3) WHERE trim(q) <> ''
+      unnest(range(1, greatest(len(ws) - 2, 1) + 1, 3)) AS u(i)) WHERE trim(q) <> ''
 ), page_strings AS (
   SELECT doc_id, page_idx, lower(string_agg(text, ' ' ORDER BY word_idx)) AS s FROM words GROUP BY doc_id, page_idx
 ), holding AS (
@@ -353,6 +353,9 @@ FROM doc_pages m JOIN (
 SQL: dict[str, str] = {
     "layout_text": _W + "SELECT * FROM words",
     "corpus_roundtrip": _W + "SELECT doc_id, page_idx, word_idx, text, left_pt, top_pt, height_pt FROM words JOIN doc_pages USING (doc_id, page_idx)",
+    "resaved_corpus": _W + """
+SELECT doc_id, CAST(page_idx - (page_idx + 1) // 3 AS INTEGER) AS page_idx, word_idx, text, top_pt, height_pt
+FROM words JOIN doc_pages USING (doc_id, page_idx) WHERE page_idx % 3 <> 1""",
     "read_documents": _W + "SELECT doc_id, page_idx, word_idx, text FROM words WHERE doc_id % 97 = 5",
     "burned_corpus": _WA + _flatten("ann"),
     "pdf_inventory": """
@@ -464,8 +467,8 @@ FROM words""",
 SELECT doc_id, page_idx, word_idx, line_no,
   row_number() OVER (PARTITION BY doc_id, page_idx, line_no ORDER BY left_pt, word_idx) - 1 AS line_pos FROM lined""",
     "phrase_search_joined": _with(_WORDS, _RUNS, _HITS) + "SELECT * FROM hits",
-    "phrase_search_many": _with(_WORDS, _MANY_RUNS, _HITS_OF_ROWS) + "SELECT * FROM hits",
-    "search_counts_many": _with(_WORDS, _MANY_RUNS) + """
+    "phrase_search_all": _with(_WORDS, _MANY_RUNS, _HITS_OF_ROWS) + "SELECT * FROM hits",
+    "search_counts_all": _with(_WORDS, _MANY_RUNS) + """
 SELECT query_id, doc_id, page_idx, count(*) AS n_hits, count(*) || ' found' AS status FROM runs
 GROUP BY query_id, doc_id, page_idx""",
     "phrase_search_gaps": _with(_WORDS, _ANN, _SHOWN, _RUNS.replace("FROM words", "FROM shown")) + """
@@ -540,10 +543,10 @@ WHERE (w.left_pt + w.right_pt) / 2 BETWEEN p.x / fx AND (p.x + p.w) / fx
 SELECT c.event_id AS click_id, doc_id, page_idx, string_agg(text, ' ' ORDER BY l, word_idx) AS text,
   min(l) AS x, min(t) AS y, max(r) - min(l) AS w, max(b) - min(t) AS h
 FROM placed c JOIN canvas v USING (doc_id, page_idx) WHERE c.y BETWEEN v.t - 3 AND v.b + 3 GROUP BY ALL""",
-    "scaled_search_boxes": _with(_WORDS, _SCALED, _RUNS, _HITS) + """
+    "scaled_search_boxes_all": _with(_WORDS, _SCALED, _RUNS, _HITS) + """
 SELECT query_id, doc_id, page_idx, i, j, left_pt * fx AS x, (height - top_pt) * fy AS y,
   greatest((right_pt - left_pt) * fx, 4) AS w, greatest((top_pt - bottom_pt) * fy, 4) AS h
-FROM hits JOIN scaled USING (doc_id, page_idx) WHERE query_id >= 2""",
+FROM hits JOIN scaled USING (doc_id, page_idx)""",
     "scaled_with_dims": _with(_WORDS, _SCALED, _ANN) + """
 SELECT doc_id, page_idx, seq, 1 / fx AS sx, 1 / fy AS sy FROM ann JOIN scaled USING (doc_id, page_idx)""",
     "scaled_burnable": _with(_WORDS, _SCALED, _ANN) + """

@@ -15,7 +15,7 @@ from quirelake.operators import drawing as draw
 from quirelake.operators import filters as flt
 from quirelake.operators import lines, pages, search, spatial
 from quirelake.plans.lineage import new_path
-from quirelake.schemas import ANNOT_EVENTS, K, WORDS
+from quirelake.schemas import ANNOT_EVENTS, PAGES, K, WORDS
 from quirelake.sources import corpus as src
 from quirelake.sources.signatures import as_json, read_signatures, write_signatures
 from quirelake.streaming import annotation_state as ann_stream
@@ -73,8 +73,20 @@ def corpus_roundtrip(t: Inputs) -> DataFrame:
 def burned_corpus(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "burned")
     src.write_corpus(src.Corpus(t.pages, t.words, t.annotations, t.dims), path, burned=True)
-    ops = t.spark.read.parquet(f"{path}/draw_ops")
-    return _flat(ops)
+    return _flat(src.read_draws(t.spark, path))
+
+
+@query
+def resaved_corpus(t: Inputs) -> DataFrame:
+    """A third of the pages deleted, and the corpus saved over the one it was read from."""
+    path = new_path(t.spark, "corpus")
+    src.write_corpus(src.Corpus(t.pages, t.words, t.annotations, t.dims), path)
+    saved = src.read_corpus(t.spark, path)
+    left = pages.delete_pages(saved.pages, saved.pages.where("page_idx % 3 = 1"))
+    edited = src.Corpus(left.select(*PAGES.names), pages.apply_page_map(saved.words, left), saved.annotations, saved.render_dims)
+    src.write_corpus(edited, path)
+    again = src.read_corpus(t.spark, path)
+    return again.words.join(again.pages, K).select(*K, "word_idx", "text", "top_pt", "height_pt")
 
 
 @query
@@ -344,19 +356,9 @@ def phrase_search_joined(t: Inputs) -> DataFrame:
     return search.phrase_search(t.words, flt.search_gate(t.queries), dense=True)
 
 
-@query
-def phrase_search_many(t: Inputs) -> DataFrame:
-    return search.phrase_search(t.words, t.many_queries, dense=True)
-
-
-@query
-def search_counts_many(t: Inputs) -> DataFrame:
-    return search.search_counts(t.words, t.many_queries, dense=True)
-
-
 @query
 def phrase_search_all(t: Inputs) -> DataFrame:
-    """Whole benchmark texts, of which the SQL of ``phrase_search_many`` leaves some out."""
+    """The phrases of all benchmark texts."""
     return search.phrase_search(t.words, t.all_queries, dense=True)
 
 
@@ -547,15 +549,8 @@ def scaled_line_at_point(t: Inputs) -> DataFrame:
     return found.select("click_id", *K, "text", "x", "y", "w", "h")
 
 
-@query
-def scaled_search_boxes(t: Inputs) -> DataFrame:
-    hits = search.phrase_search(t.words, LIVE[2:], dense=True)
-    return search.search_boxes(hits, t.scaled_pages, t.scaled_dims)
-
-
 @query
 def scaled_search_boxes_all(t: Inputs) -> DataFrame:
-    """The frequent queries too, which the SQL of ``scaled_search_boxes`` leaves out."""
     hits = search.phrase_search(t.words, LIVE, dense=True)
     return search.search_boxes(hits, t.scaled_pages, t.scaled_dims)
 

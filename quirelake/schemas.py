@@ -129,3 +129,13 @@ PRIMITIVE = T.StructType(
         T.StructField("rgba", RGBA),
     ]
 )
+
+DRAW_OPS = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("page_idx", T.IntegerType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("prim_idx", T.IntegerType()),
+        *PRIMITIVE.fields,
+    ]
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quirelake import schemas
 from quirelake.functions.text import has_extension, is_protected, page_label
 from quirelake.operators.drawing import flatten_annotations
+from quirelake.plans.snapshots import ORPHAN_AGE, commit, current, table_path, vacuum
 
 #: Files of a corpus are spread over this many folders by a hash of the document id.
 DOC_BUCKETS = 64
@@ -30,22 +32,30 @@ def _bucket(buckets: int):
 
 
 def read_corpus(
-    spark: SparkSession, path: str, doc_ids: DataFrame | None = None, buckets: int = DOC_BUCKETS
+    spark: SparkSession, path: str, doc_ids: DataFrame | None = None, buckets: int | None = None
 ) -> Corpus:
-    """Open the corpus below ``path`` (``pages`` and ``words`` folders of parquet).
+    """Open the corpus below ``path``: its last version, or plain ``pages`` and ``words`` folders of parquet.
 
-    With ``doc_ids(doc_id)`` only those documents are read: the folders of their buckets (as many as the corpus
-    was written with), and in these the files' own statistics of ``doc_id``.
+    With ``doc_ids(doc_id)`` only those documents are read: the folders of their buckets, and in these the files' own
+    statistics of ``doc_id``. The number of buckets is kept with the corpus; ``buckets``, if given, must agree with it.
+    Plain folders say nothing about buckets, so there the documents are looked for everywhere.
     """
+    saved = current(spark, path)
+    if saved and buckets not in (None, saved["buckets"]):
+        raise ValueError(f"{path} has {saved['buckets']} buckets, not {buckets}")
     folders = None
     if doc_ids is not None:
         doc_ids = doc_ids.select("doc_id").distinct()
-        folders = [r[0] for r in doc_ids.select(_bucket(buckets)).distinct().collect()]
+        if saved:
+            folders = [r[0] for r in doc_ids.select(_bucket(saved["buckets"])).distinct().collect()]
 
     def table(name: str, schema) -> DataFrame:
-        rows = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}")
+        folder = table_path(path, name, saved["version"]) if saved else f"{path.rstrip('/')}/{name}"
+        rows = spark.read.schema(schema).parquet(folder)
         if folders is not None:
-            rows = rows.where(F.col("doc_bucket").isin(folders)).join(doc_ids, "doc_id", "left_semi")
+            rows = rows.where(F.col("doc_bucket").isin(folders))
+        if doc_ids is not None:
+            rows = rows.join(doc_ids, "doc_id", "left_semi")
         return rows.select(*schema.names)
 
     return Corpus(
@@ -67,17 +77,34 @@ def _write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
     rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
 
 
-def write_corpus(corpus: Corpus, path: str, burned: bool = False, buckets: int = DOC_BUCKETS) -> None:
-    """Save pages and words; ``burned`` saves what the annotations draw as well.
+def write_corpus(
+    corpus: Corpus, path: str, burned: bool = False, buckets: int = DOC_BUCKETS, base: int | None = None
+) -> int:
+    """Save pages and words as a new version; ``burned`` saves what the annotations draw as well.
 
-    The corpus itself is not changed by a burned save: its annotations stay pending.
+    All tables become visible at once, and a writer that is lost changes nothing. The corpus may be one that was
+    read from ``path``. The number of the version is returned; given as ``base``, a save fails (``Conflict``) if someone
+    else has saved since. ``vacuum_corpus`` deletes older versions. The corpus itself is not changed by a
+    burned save: its annotations stay pending.
     """
-    root = path.rstrip("/")
-    _write_bucketed(corpus.pages, f"{root}/pages", buckets)
-    _write_bucketed(corpus.words, f"{root}/words", buckets)
+    rows = {"pages": corpus.pages, "words": corpus.words}
     if burned:
-        draws = flatten_annotations(corpus.annotations, corpus.pages, corpus.render_dims)
-        _write_bucketed(draws, f"{root}/draw_ops", buckets)
+        rows["draw_ops"] = flatten_annotations(corpus.annotations, corpus.pages, corpus.render_dims)
+    writers = {name: partial(_write_bucketed, df, buckets=buckets) for name, df in rows.items()}
+    return commit(corpus.pages.sparkSession, path, writers, {"buckets": buckets}, base)
+
+
+def read_draws(spark: SparkSession, path: str) -> DataFrame:
+    """What the annotations of a burned corpus drew; empty if the last version is not burned."""
+    saved = current(spark, path)
+    if saved is None or "draw_ops" not in saved["tables"]:
+        return spark.createDataFrame([], schemas.DRAW_OPS)
+    return spark.read.schema(schemas.DRAW_OPS).parquet(table_path(path, "draw_ops", saved["version"])).select(*schemas.DRAW_OPS.names)
+
+
+def vacuum_corpus(spark: SparkSession, path: str, keep: int = 1, orphan_age: float = ORPHAN_AGE) -> None:
+    """Delete all versions but the last ``keep``, and what writers that were lost left behind."""
+    vacuum(spark, path, keep, orphan_age)
 
 
 def select_files(files: DataFrame, extension: str = ".pdf") -> DataFrame:

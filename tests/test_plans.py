@@ -9,7 +9,7 @@ from quirelake.catalog.queries import registered
 
 # These write and read files on the way; what they return is a scan.
 EAGER = {
-    "annotation_state_stream", "search_stream", "corpus_roundtrip", "burned_corpus", "read_documents", "pdf_inventory",
+    "annotation_state_stream", "search_stream", "corpus_roundtrip", "resaved_corpus", "burned_corpus", "read_documents", "pdf_inventory",
     "signature_roundtrip", "signature_array_roundtrip", "annotation_state",
 }
 LAZY = sorted(set(registered()) - EAGER)
