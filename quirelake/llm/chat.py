@@ -9,13 +9,14 @@ each is a target exactly once.
 Template: ``<s>`` opens a window; a turn is ``[role]text</s>``. Inside roles and texts ``&``, ``<``, ``[`` and ``]`` become
 ``&amp;``, ``&lt;``, ``&#91;`` and ``&#93;``, so control strings of any kind cannot be forged and reading back is exact.
 
-A conversation of any length is worked on in blocks of ``BLOCK`` turn numbers. A block gets the history before it and
-the system turn as extra rows; its first turn starts a window. Only the digest of a whole conversation,
-which the contract defines over one string, brings a conversation together.
+Turns get positions without gaps first, whatever their numbers: keys without texts are sorted into ranges and counted
+through. A conversation of any length is then worked on in blocks of ``BLOCK`` positions. A block gets the history
+before it and the system turn as extra rows; its first turn starts a window. Only the digest of a whole
+conversation, which the contract defines over one string, brings a conversation together.
 
 Cases: null texts and roles are empty, a null conversation id is a conversation of its own, null turns come
-first. Turns with equal numbers are ordered by role and text; repeated rows are turns of their own. An empty
-table gives no rows. Extra columns are dropped.
+first. Turns with equal numbers, of any amount, are ordered by role and XXH64 of the text; repeated rows are turns of
+their own. A very long text is a window of its own. An empty table gives no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,10 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.plans.blocks import running_sum
+from quirelake.plans.lineage import cut_lineage
+
 #: Tokens of a window; of these, tokens and turns that history may take.
 BUDGET, HISTORY_TOKENS, HISTORY = 1024, 192, 2
-#: Turn numbers in a block: a power of two.
+#: Positions in a block: a power of two.
 BLOCK = 256
+#: Bits of ``monotonically_increasing_id`` that count rows; the ones above number the partition.
+_ROW_BITS = 33
 
 SYSTEM, TARGET = "system", "assistant"
 # Fixed order: "&" first when escaping, last when reading back.
@@ -51,35 +57,70 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 2
 
 
+_KEY = ("conv_id", "turn", "role", "hash")
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return conversations.select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
-        text.alias("text"), tokens(text).cast("long").alias("n"),
-        F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / BLOCK).alias("block"),
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), F.xxhash64(text).alias("hash")
     )
 
 
+def _positions(turns: DataFrame) -> DataFrame:
+    """``start`` and ``end`` (exclusive) of the positions of each key, counted through without gaps per conversation.
+
+    Rows in sorted ranges carry ascending numbers, with the range in their upper bits, so sums are chained over
+    ranges and no conversation is sorted whole in one task.
+    """
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = turns.groupBy(*_KEY).agg(F.count("*").alias("times")).withColumn("known", F.col("turn").isNotNull())
+    order = ["conv_id", "known", "turn", "role", "hash"]
+    sorted_keys = keys.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    numbered = cut_lineage(sorted_keys.withColumn("at", F.monotonically_increasing_id()))
+    ends = running_sum(numbered, ["conv_id"], "at", F.col("times"), "end", bits=_ROW_BITS)
+    return ends.select(*_KEY, (F.col("end") - F.col("times")).alias("start"), "end")
+
+
+def _placed(turns: DataFrame, positions: DataFrame) -> DataFrame:
+    """conv_id, pos, role, text, n (tokens) of every turn; rows that repeat one another are counted, then dealt out again."""
+    of = positions.select(*[F.col(c).alias(f"__{c}") for c in _KEY], "start", "end")
+    same = [F.col(c) == F.col(f"__{c}") if c in ("role", "hash") else F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _KEY]
+    placed = turns.join(of, same).select("conv_id", "start", "end", "role", "text")
+    alone = F.col("end") - F.col("start") == 1
+    repeated = placed.where(~alone).groupBy("conv_id", "start", "role", "text").agg(F.count("*").alias("times"))
+    copies = F.explode(F.sequence("start", F.col("start") + F.col("times") - 1))
+    rows = placed.where(alone).select("conv_id", F.col("start").alias("pos"), "role", "text")
+    rows = rows.unionByName(repeated.select("conv_id", copies.alias("pos"), "role", "text"))
+    return rows.withColumn("n", tokens(F.col("text")).cast("long"))
+
+
 def _blocks(conversations: DataFrame) -> DataFrame:
     """One row per block: its turns in order, the turns just before it, the system turn."""
-    own = _turns(conversations).withColumn("part", F.lit(1))
-    # The last turns of a block go along with the next one, and its system turn with all others.
-    before = own.where(F.pmod("turn", F.lit(BLOCK)) >= BLOCK - HISTORY).withColumn("block", F.col("block") + 1)
-    system = own.where(F.col("role") == SYSTEM)
-    first = system.groupBy("conv_id").agg(
-        F.min(F.struct("block", F.col("turn").isNotNull().alias("known"), "turn", "text", "n")).alias("s")
+    turns = _turns(conversations)
+    positions = _positions(turns)
+    block = lambda pos: F.floor(pos / BLOCK)
+    # The last turns of a block go along with the next one, and the first system turn with all later ones.
+    here = F.struct(block(F.col("pos")).alias("block"), F.lit(1).alias("part"))
+    ahead = F.struct((block(F.col("pos")) + 1).alias("block"), F.lit(0).alias("part"))
+    dealt = F.when(F.col("pos") % BLOCK >= BLOCK - HISTORY, F.array(here, ahead)).otherwise(F.array(here))
+    own = _placed(turns, positions).select("conv_id", "pos", "role", "text", "n", F.explode(dealt).alias("to")).select("*", "to.block", "to.part").drop("to")
+    first = (
+        _placed(turns.where(F.col("role") == SYSTEM), positions.where(F.col("role") == SYSTEM))
+        .groupBy("conv_id").agg(F.min(F.struct("pos", "text", "n")).alias("s"))
+        .withColumnRenamed("conv_id", "of")
     )
-    later = own.groupBy("conv_id", "block").agg(F.lit(1).alias("one"))
+    held = positions.select("conv_id", F.explode(F.sequence(block(F.col("start")), block(F.col("end") - 1))).alias("block")).distinct()
     carried = (
-        later.join(first, later["conv_id"].eqNullSafe(first["conv_id"]))
-        .where(F.col("block") > F.col("s.block"))
-        .select(later["conv_id"], F.col("s.turn").alias("turn"), F.lit(SYSTEM).alias("role"), F.col("s.text").alias("text"),
+        held.join(first, F.col("conv_id").eqNullSafe(F.col("of")))
+        .where(F.col("block") > block(F.col("s.pos")))
+        .select("conv_id", F.col("s.pos").alias("pos"), F.lit(SYSTEM).alias("role"), F.col("s.text").alias("text"),
                 F.col("s.n").alias("n"), "block", F.lit(-1).alias("part"))
     )
-    rows = own.unionByName(before.withColumn("part", F.lit(0))).unionByName(carried)
     return (
-        rows.groupBy("conv_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("part", F.col("turn").isNotNull().alias("known"), "turn", "role", "text", "n"))).alias("all"))
+        own.unionByName(carried)
+        .groupBy("conv_id", "block")
+        .agg(F.array_sort(F.collect_list(F.struct("part", "pos", "role", "text", "n"))).alias("all"))
         .withColumn("turns", F.filter("all", lambda t: t.part == 1))
         .where(F.size("turns") > 0)
         .withColumn("past", F.filter("all", lambda t: (t.part == 0) & (t.role != SYSTEM)))

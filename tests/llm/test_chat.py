@@ -82,6 +82,30 @@ def test_windows_keep_the_budget_and_the_system_turn(spark, rows):
     assert all(w.n_repeated >= 1 for w in later)
 
 
+def test_turn_numbers_may_be_sparse_or_equal(spark):
+    said = lambda k: "word " * (300 if k % 2 else 40)
+    turns = lambda number: [(1, number(k), ("user", "assistant")[k % 2], said(k), 0) for k in range(8)]
+    shape = lambda rows: sorted((w.block, w.window, w.n_repeated, w.formatted) for w in c.windows(spark.createDataFrame(rows, TURNS)).collect())
+    dense = shape(turns(lambda k: k))
+    assert len(dense) > 1 and any(w[2] for w in dense)
+    assert shape(turns(lambda k: 1000 * k)) == shape(turns(lambda k: 1000 * k - 3000)) == dense
+    for number in (7, None):  # many equal numbers fill several blocks, repeated rows among them
+        rows = [(1, number, "user", f"t{k // 3}", 0) for k in range(900)]
+        kept = c.read_back(c.windows(spark.createDataFrame(rows, TURNS))).select("block", "turns.text").collect()
+        assert sorted({r.block for r in kept}) == [0, 1, 2, 3]
+        assert sorted(t for r in kept for t in r.text) == sorted(r[3] for r in rows)
+
+
+def test_positions_do_not_depend_on_partitions(spark, rows):
+    frame = spark.createDataFrame(rows, TURNS)
+    results = []
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(str(tuple(r)) for r in c.report(frame).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1]
+
+
 def test_escape_round_trip(spark):
     texts = ["&lt;", "&amp;lt;", "<s>[x]</s>", "&#91;", "plain", "", "&&amp;"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", c.escape("t").alias("e"), c.unescape(c.escape("t")).alias("u")).collect()
