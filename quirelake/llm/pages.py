@@ -15,7 +15,7 @@ sees four keys with their lines' numbers per range. A group's part in a range is
 
 Cases: null html is empty, empty pages have empty text. Pages without a host are not paired. Repeated rows are
 copies of each other and returned once each. Unclosed and stray tags are read as browsers read them;
-comments, scripts and styles that never end run to the end. Two very long pages are aligned in linear memory. An
+comments, scripts and styles that never end run to the end. A page is parsed in time linear in its length. Two very long pages are aligned in linear memory. An
 empty table gives no rows. Extra columns are dropped.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -43,13 +44,15 @@ ALIGNED_BITS = 1 << 26
 COPY = 0.9
 _SKETCH = pa.struct([("hashes", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32()))])
 
-_TOKEN = re.compile(
+_SKIPPED = (
     r"<!--(?:.*?-->|.*)"
     r"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|svg)\b[^>]*+>(?:.*?</(?P=raw)\s*+>|.*)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?>[^>\"']|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
-    r"|<[!?/][^>]*+>|[^<]++|<",
-    re.DOTALL | re.IGNORECASE,
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>%s)>"
+    r"|<[!?][^>]*+>|</(?![a-z])[^>]*+>|(?P<text>[^<]++)|(?P<open><)"
 )
+#: Tokens while quotes in tags are paired, and from the first tag on whose quotes never close.
+_QUOTED = re.compile(_SKIPPED % r"""(?>[^>"']|"[^"]*+"|'[^']*+')*+""", re.DOTALL | re.IGNORECASE)
+_PLAIN = re.compile(_SKIPPED % "[^>]*+", re.DOTALL | re.IGNORECASE)
 _ATTR = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])""", re.IGNORECASE)
 
 _BLOCKS = frozenset(
@@ -61,20 +64,30 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _IN_HEAD = frozenset("base link meta".split())
 _DROPPED = frozenset("nav footer aside form head header menu dialog button select search".split())
 _MAIN = frozenset(("article", "main"))
+# Names say nothing about headings, parts of tables, quotations and what stands inside a line of text.
+_NAMED = _BLOCKS - frozenset(
+    "h1 h2 h3 h4 h5 h6 hgroup html body main blockquote pre figure figcaption dt dd table tbody td tfoot th thead tr".split()
+)
 _NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
     " disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo"
     " promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Inside the article these may name its own parts; the first set never counts there, the second only as a whole name.
+_OWN = frozenset("header masthead banner".split())
+_DOUBTFUL = frozenset("menu notice notices notification related social widget widgets footer toolbar promo".split())
 _MODIFIERS = frozenset("with has no without".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def _names_furniture(name: str) -> bool:
+def _names_furniture(name: str, in_main: bool) -> bool:
     """Whether a class or id is a furniture word or ends in one, other than to say whether there is such a thing."""
     parts = re.split(r"[_-]+", name)
-    return parts[-1] in _NAMES and _MODIFIERS.isdisjoint(parts)
+    last = parts[-1]
+    if last not in _NAMES or in_main and (last in _OWN or last in _DOUBTFUL and len(parts) > 1):
+        return False
+    return _MODIFIERS.isdisjoint(parts)
 
 
 def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
@@ -92,16 +105,39 @@ def _furniture(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
                 main |= value in ("main", "article")
             elif name == "style":
                 dropped |= _HIDDEN.search(value) is not None
-            elif tag != "main":
-                dropped |= any(map(_names_furniture, value.split()))
+            elif tag in _NAMED:
+                dropped |= any(_names_furniture(v, in_main) for v in value.split())
     return dropped, main and not dropped
 
 
+def _tokens(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(tag, whether it ends, attributes) of tags and (None, False, text) of texts, in time linear in the page.
+
+    Nothing is looked for twice: past the last ``>`` there are no tags, and once a tag's quotes run to the end of the
+    page, quotes are no longer paired.
+    """
+    closed, at, pattern = page.rfind(">") + 1, 0, _QUOTED
+    while at < closed:
+        m = pattern.match(page, at)
+        if m["open"] and pattern is _QUOTED and page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+            pattern = _PLAIN
+            continue
+        at = m.end()
+        if m["tag"] is not None:
+            yield m["tag"].lower(), bool(m["end"]), m["attrs"]
+        elif m["text"] or m["open"]:
+            yield None, False, m["text"] or "&lt;"
+    rest = page[at:].partition("<!--")[0]
+    if rest:
+        yield None, False, rest.replace("<", "&lt;")
+
+
 def lines_of(page: str | None) -> list[tuple[str, bool]]:
     """(text, whether it is inside the marked article) of every block that is not furniture."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, dropped, main: of the element and all around it
+    is_open: Counter[str] = Counter()
     now = ("", False, False)
 
     def flush() -> None:
@@ -111,40 +147,43 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
             if text:
                 out.append((text, now[2]))
 
-    for m in _TOKEN.finditer(page or ""):
-        tag = m["tag"]
+    def pop() -> str:
+        tag = stack.pop()[0]
+        is_open[tag] -= 1
+        return tag
+
+    for tag, ends, told in _tokens(page or ""):
         if tag is None:
-            if m["raw"] is None and not m[0].startswith(("<!", "<?", "</")) and not now[1]:
-                held.append(m[0] if m[0] != "<" else "&lt;")
+            if not now[1]:
+                held.append(told)
             continue
-        tag = tag.lower()
         block = tag in _BLOCKS
         if block:
             flush()
         elif tag == "br":
             held.append(" ")
-        if m["end"]:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == tag:
-                    del stack[at:]
-                    break
+        if ends:
+            if is_open[tag]:
+                while pop() != tag:
+                    pass
             now = stack[-1] if stack else ("", False, False)
             continue
         if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
-            stack.pop()
+            pop()
         if block and stack and stack[-1][0] == "p":
-            stack.pop()
+            pop()
         if tag in ("li", "option", "dd", "dt", "tr", "td", "th") and stack and stack[-1][0] == tag:
-            stack.pop()
+            pop()
         now = stack[-1] if stack else ("", False, False)
         if tag in _VOID:
             continue
-        dropped, main = _furniture(tag, m["attrs"], now[2])
+        dropped, main = _furniture(tag, told, now[2])
         if block or dropped:
             if dropped and not block:
                 flush()
             now = (tag, now[1] or dropped, now[2] or main)
             stack.append(now)
+            is_open[tag] += 1
     flush()
     return out
 

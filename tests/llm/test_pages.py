@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from html import unescape
 
 from conftest import SMALL
@@ -126,3 +127,22 @@ def test_wrappers_that_only_mention_furniture_stay():
         assert p.lines_of(f"{wrap}<article><p>text</article>") == [("text", True)], wrap
     assert p.lines_of("<main class='comments'><p>text</main>") == [("text", True)]
     assert text_of("a<div class='left-sidebar'>x</div><div class='Main_Nav'>y</div>b") == "a\nb"
+
+
+def test_headings_and_parts_of_the_article_stay():
+    for part in ("<header class='entry-header'><h1>T</h1></header>", "<div class='article-header'>T</div>", "<div class=header>T</div>",
+                 "<h2 class='section-header'>T</h2>", "<h2 id='social'>T</h2>", "<table><tr><th class='table-header'>T</table>", "<p class='editor-notice'>T</p>"):
+        assert p.lines_of(f"<article>{part}<p>in</article>") == [("T", True), ("in", True)], part
+    assert p.lines_of("<article><p>a <span class='notice'>b</span> c</article>") == [("a b c", True)]
+    for part in ("<div class='post-comments'>x</div>", "<section class=notice>x</section>", "<aside>x</aside>", "<div class=ad>x</div>", "<ul class='share'><li>x</ul>"):
+        assert p.lines_of(f"<article><p>in</p>{part}</article>") == [("in", True)], part
+
+
+def test_tag_soup_takes_linear_time():
+    n = 1 << 20
+    soups = ["<a ", "<div></b>", '<a "', "<a \"'>", "<a '>x", "<", "</", "<!", "<p", "<div><p></section>", "<script", "<a x=\"y='>", "<b \"><b '>", "<div class='", "<!-", "<li>"]
+    for soup in soups:
+        page = soup * (n // len(soup))
+        start = time.process_time()
+        p.lines_of(page)
+        assert time.process_time() - start < 6, soup
