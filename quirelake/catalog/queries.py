@@ -145,16 +145,18 @@ def signature_roundtrip(t: Inputs) -> DataFrame:
 
 @query
 def signature_array_roundtrip(t: Inputs) -> DataFrame:
-    """Lists of signatures as one JSON array per file; those of one shard are cut short and count as empty."""
+    """Lists of signatures as one JSON array per file; copies of those of one shard, cut short, stand beside them and count as empty."""
     path = new_path(t.spark, "signature-arrays")
     event = "cast(substring(id, 2) as long)"
     # A list never holds more than LISTED signatures: larger tables make more of them.
     keys = [F.expr(f"{event} % 8").alias("shard"), F.expr(f"{event} div {8 * LISTED}").alias("block")]
     lists = t.signatures.groupBy(*keys).agg(F.collect_list(as_json(F.struct("*"))).alias("rows"))
     text = F.concat(F.lit("[\n"), F.array_join("rows", ",\n"), F.lit("]"))
-    cut = F.when(F.col("shard") == 5, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    cut = F.substring(text, F.lit(1), F.length(text) - 1)
+    kinds = F.when(F.col("shard") == 5, F.array(F.struct("shard", text.alias("value")), F.struct((F.col("shard") + 8).alias("shard"), cut.alias("value"))))
+    kinds = kinds.otherwise(F.array(F.struct("shard", text.alias("value"))))
     # A folder for each list, and one file in it.
-    lists.select("shard", "block", cut.alias("value")).write.option("lineSep", "\n\n").partitionBy("shard", "block").text(path)
+    lists.select("block", F.inline(kinds)).write.option("lineSep", "\n\n").partitionBy("shard", "block").text(path)
     saved = read_signatures(t.spark, path)
     return saved.select(
         F.expr("cast(substring(id, 2) as long) % 8").alias("shard"), "id", "canvas_w", "canvas_h",
