@@ -164,6 +164,18 @@ class Inputs:
             f"case {op} when 'add' then event_id when 'delete' then back end as annot_id",
         )
 
+    @cached_property
+    def page_edits(self) -> DataFrame:
+        """Log of page edits, a third or so of which name positions that their document has not got."""
+        op = (
+            "case event_type when 'click' then 'up' when 'signup' then 'down' when 'purchase' then"
+            " case when event_id % 3 = 0 then 'append' else 'delete' end else 'reorder' end"
+        )
+        return self.events.selectExpr(
+            "user_id as doc_id", "event_id as seq", f"{op} as op", "cast(event_id % 7 as int) as at",
+            "cast(event_id * 3 % 11 as int) as to", "event_id * 7 % 1000 as other_id",
+        )
+
     @cached_property
     def signatures(self) -> DataFrame:
         """A saved signature per erroneous event, with one or two strokes."""

@@ -317,6 +317,33 @@ def _flatten(source: str) -> str:
     return " UNION ALL ".join(kinds)
 
 
+_EDITED = """
+edits AS (
+  SELECT user_id AS doc_id, CASE event_type WHEN 'click' THEN 'up' WHEN 'signup' THEN 'down' WHEN 'purchase' THEN
+      CASE WHEN event_id % 3 = 0 THEN 'append' ELSE 'delete' END ELSE 'reorder' END AS op,
+    event_id % 7 AS src, event_id * 3 % 11 AS dst, event_id * 7 % 1000 AS other_id,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+unedited AS (
+  SELECT doc_id, list({'d': doc_id, 'p': page_idx} ORDER BY page_idx) AS ps FROM doc_pages GROUP BY doc_id),
+edited AS (
+  SELECT doc_id, 0 AS rn, coalesce(ps, []) AS ps FROM unedited FULL JOIN (SELECT DISTINCT doc_id FROM edits) USING (doc_id)
+  UNION ALL
+  SELECT doc_id, rn, CASE WHEN op = 'append' THEN list_concat(ps, coalesce(other, []))
+      WHEN src >= n THEN ps WHEN op = 'delete' THEN rest
+      WHEN put BETWEEN 0 AND n - 1 AND dst <> src AND dst < n
+        THEN list_concat(list_concat(rest[1:put], [ps[src + 1]]), rest[put + 1:]) ELSE ps END
+  FROM (
+    SELECT *, list_concat(ps[1:src], ps[src + 2:]) AS rest,
+      CASE WHEN op = 'reorder' AND dst > src THEN dst - 1 ELSE dst END AS put
+    FROM (
+      SELECT e.doc_id, e.rn, p.ps, len(p.ps) AS n, o.ps AS other, op, src,
+        CASE op WHEN 'up' THEN src - 1 WHEN 'down' THEN src + 1 ELSE dst END AS dst
+      FROM edited p JOIN edits e ON e.doc_id = p.doc_id AND e.rn = p.rn + 1 LEFT JOIN unedited o ON o.doc_id = e.other_id))),
+edited_pages AS (
+  SELECT doc_id, CAST(unnest(range(0, len(ps))) AS INTEGER) AS page_idx, unnest(ps) AS page
+  FROM (SELECT doc_id, max_by(ps, rn) AS ps FROM edited GROUP BY doc_id))"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join(c.strip() for c in ctes) + "\n"
 
@@ -511,6 +538,11 @@ placed AS (
     ELSE list_concat(list_concat(list_slice(rest, 1, put), [src::BIGINT]), list_slice(rest, put + 1, n)) END AS pages FROM taken)
 SELECT doc_id AS source_doc_id, CAST(unnest(pages) AS INTEGER) AS source_page_idx, doc_id,
   CAST(generate_subscripts(pages, 1) - 1 AS INTEGER) AS page_idx FROM placed""",
+    "edited_pages": _with(_WORDS, _EDITED) + """
+SELECT page.d AS source_doc_id, page.p AS source_page_idx, doc_id, page_idx FROM edited_pages""",
+    "edited_words": _with(_WORDS, _EDITED) + """
+SELECT e.doc_id, e.page_idx, w.word_idx, w.text
+FROM edited_pages e JOIN words w ON w.doc_id = e.page.d AND w.page_idx = e.page.p""",
     "invalidate_annotations": _WA + """
 SELECT doc_id, page_idx, seq FROM ann WHERE doc_id % 3 <> 0 OR doc_id NOT IN (SELECT doc_id FROM doc_pages)""",
     "undo_last": _with(_ANN) + """

@@ -12,6 +12,7 @@ from quirelake.functions import geometry as geo
 from quirelake.functions import text as txt
 from quirelake.operators import annotations as ann
 from quirelake.operators import drawing as draw
+from quirelake.operators import edits
 from quirelake.operators import filters as flt
 from quirelake.operators import lines, pages, search, spatial
 from quirelake.plans.lineage import new_path
@@ -450,6 +451,18 @@ def reorder_page(t: Inputs) -> DataFrame:
     return pages.reorder_page(t.pages, moves).select(*MOVED)
 
 
+@query
+def edited_pages(t: Inputs) -> DataFrame:
+    return edits.edit_pages(t.pages, t.page_edits).select(*MOVED)
+
+
+@query
+def edited_words(t: Inputs) -> DataFrame:
+    """Words carried along by the edits of their pages."""
+    moved = edits.edit_pages(t.pages, t.page_edits)
+    return pages.apply_page_map(t.words, moved).select(*K, "word_idx", "text")
+
+
 @query
 def invalidate_annotations(t: Inputs) -> DataFrame:
     changed = t.pages.where("doc_id % 3 = 0").select("doc_id")
