@@ -28,7 +28,7 @@ class Conflict(Exception):
     """Another writer committed first."""
 
 
-def _numbers(spark: SparkSession, root: str) -> list[int]:
+def versions(spark: SparkSession, root: str) -> list[int]:
     fs, folder = filesystem(spark, f"{root}/{_MANIFESTS}")
     if not fs.exists(folder):
         return []
@@ -36,12 +36,12 @@ def _numbers(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
 
-def _manifest(root: str, number: int) -> str:
+def manifest_path(root: str, number: int) -> str:
     return f"{root}/{_MANIFESTS}/{number:0{_DIGITS}}.json"
 
 
-def _load(spark: SparkSession, root: str, number: int) -> dict:
-    fs, path = filesystem(spark, _manifest(root, number))
+def load(spark: SparkSession, root: str, number: int) -> dict:
+    fs, path = filesystem(spark, manifest_path(root, number))
     stream = fs.open(path)
     try:
         return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -52,8 +52,8 @@ def _load(spark: SparkSession, root: str, number: int) -> dict:
 def current(spark: SparkSession, root: str) -> dict | None:
     """The manifest of the last version, with its ``number``; None where nothing was committed."""
     root = root.rstrip("/")
-    numbers = _numbers(spark, root)
-    return {**_load(spark, root, numbers[-1]), "number": numbers[-1]} if numbers else None
+    numbers = versions(spark, root)
+    return {**load(spark, root, numbers[-1]), "number": numbers[-1]} if numbers else None
 
 
 def table_path(root: str, table: str, version: str) -> str:
@@ -69,7 +69,7 @@ def commit(
     of the new version is returned. ``Conflict`` is raised, and nothing published, if there is a later one by then.
     """
     root = root.rstrip("/")
-    started = base if base is not None else max(_numbers(spark, root), default=0)
+    started = base if base is not None else max(versions(spark, root), default=0)
     version = uuid.uuid4().hex
     for name, write in tables.items():
         write(table_path(root, name, version))
@@ -79,7 +79,7 @@ def commit(
 
 def _publish(spark: SparkSession, root: str, number: int, manifest: dict) -> None:
     """One rename makes a version visible."""
-    fs, target = filesystem(spark, _manifest(root, number))
+    fs, target = filesystem(spark, manifest_path(root, number))
     staged = filesystem(spark, f"{root}/{_MANIFESTS}/_{uuid.uuid4().hex}")[1]
     out = fs.create(staged, False)
     try:
@@ -99,13 +99,13 @@ def vacuum(spark: SparkSession, root: str, keep: int = 1, orphan_age: float = OR
     if keep < 1:
         raise ValueError("the last version cannot go")
     root = root.rstrip("/")
-    numbers = _numbers(spark, root)
+    numbers = versions(spark, root)
     old, kept = numbers[:-keep], numbers[-keep:]
-    names = {_load(spark, root, n)["version"] for n in kept}
-    gone = {_load(spark, root, n)["version"] for n in old}
+    names = {load(spark, root, n)["version"] for n in kept}
+    gone = {load(spark, root, n)["version"] for n in old}
     fs, folder = filesystem(spark, root)
     for n in old:
-        fs.delete(filesystem(spark, _manifest(root, n))[1], False)
+        fs.delete(filesystem(spark, manifest_path(root, n))[1], False)
     limit = (time.time() - orphan_age) * 1000
     for table in fs.listStatus(folder) if fs.exists(folder) else ():
         if not table.isDirectory() or table.getPath().getName() == _MANIFESTS:

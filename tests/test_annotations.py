@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
+
+import pytest
 
 from quirelake.operators.annotations import annotation_state, has_annotations, ink_bounds, undo_last, z_order
 from quirelake.schemas import ANNOT_EVENTS, ANNOTATIONS
+from quirelake.plans import snapshots
 from quirelake.streaming.annotation_state import _apply, annotation_state_stream, live_annotations
 
 
@@ -93,6 +97,71 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert live_annotations(spark, f"{tmp_path}/none").count() == 0
 
 
+def files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in Path(root).rglob("*.parquet")}
+
+
+def bucket_of(path):
+    return next((part for part in path.split("/") if part.startswith("bucket=")), None)
+
+
+def test_a_batch_of_one_document_writes_one_bucket(spark, tmp_path):
+    many = spark.createDataFrame([(d, 1, 0, "add", 1) for d in range(200)], ANNOT_EVENTS)
+    _apply(many, 0, str(tmp_path), buckets=16)
+    want = {(d, 0, 1, 1) for d in range(200)}
+    before = files(tmp_path)
+    assert len({bucket_of(p) for p in before}) == 16
+    for batch in range(1, 6):
+        one = spark.createDataFrame([(7, batch + 1, 0, "add", batch)], ANNOT_EVENTS)
+        _apply(one, batch, str(tmp_path), buckets=16, compact=2)
+        want.add((7, 0, batch + 1, batch))
+        assert {tuple(r) for r in live_annotations(spark, str(tmp_path)).collect()} == want
+    after = files(tmp_path)
+    new = {bucket_of(p) for p in after.keys() - before.keys()}
+    assert len(new) == 1
+    # What other buckets hold was neither written again nor deleted.
+    others = {p: t for p, t in before.items() if bucket_of(p) not in new}
+    assert others.items() <= after.items()
+    parts = snapshots.current(spark, str(tmp_path))["parts"]
+    assert [p["changes"] for b, p in parts.items() if f"bucket={b}" not in new] and all(len(p.get("changes", ())) <= 2 for p in parts.values())
+    assert parts[new.pop().removeprefix("bucket=")].keys() >= {"live", "last"}
+
+
+@pytest.mark.parametrize("lost", ["live", "publish"])
+def test_a_batch_cut_short_leaves_the_state_as_it_was(spark, tmp_path, monkeypatch, lost):
+    """The writer is lost while it compacts, and before it publishes; the replay then ends as if nothing had been."""
+    from quirelake.streaming import annotation_state as module
+
+    batches = [[(d, n + 1, 0, op, n) for d in range(3)] for n, op in enumerate(("add", "add", "undo", "add"))]
+    frames = [spark.createDataFrame(b, ANNOT_EVENTS) for b in batches]
+    states = []
+    for n, frame in enumerate(frames):
+        if n == 1:
+            with monkeypatch.context() as patch:
+                real = module._write
+
+                def write(df, root, table, *rest):
+                    if table == lost:
+                        raise OSError("lost")
+                    return real(df, root, table, *rest)
+
+                def publish(*_):
+                    raise OSError("lost")
+
+                patch.setattr(module, "_write", write)
+                if lost == "publish":
+                    patch.setattr(module.snapshots, "_publish", publish)
+                with pytest.raises(OSError):
+                    _apply(frame, n, str(tmp_path), 4, 1)
+            assert {tuple(r) for r in live_annotations(spark, str(tmp_path)).collect()} == states[-1]
+        for _ in range(2):
+            _apply(frame, n, str(tmp_path), 4, 1)
+        states.append({tuple(r) for r in live_annotations(spark, str(tmp_path)).collect()})
+    assert states[2] == {(d, 0, 1, 0) for d in range(3)}
+    assert states[3] == {(d, 0, s, a) for d in range(3) for s, a in ((1, 0), (4, 3))}
+    assert len(snapshots.versions(spark, str(tmp_path))) == 2
+
+
 def annots(spark, rows):
     blank = dict.fromkeys(ANNOTATIONS.fieldNames())
     return spark.createDataFrame([tuple({**blank, **r}.values()) for r in rows], ANNOTATIONS)
