@@ -234,7 +234,10 @@ def edit_pages(
         F.col("to").cast("long"), F.when(F.col("op") == "append", F.col("other_id")).alias("other_id"),
     )
     sizes = counts.select(F.col("doc_id").alias("other_id"), F.col("n_pages").alias("size"))
-    sized = known.join(sizes, "other_id", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    # Only appending edits meet on ``other_id``; the nulls of all others would share a task.
+    appends = F.col("op").eqNullSafe("append") & F.col("other_id").isNotNull()
+    sized = known.where(appends).join(sizes, "other_id", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    sized = sized.unionByName(known.where(~appends).withColumn("size", F.lit(0)))
     sized = sized.join(counts.withColumnRenamed("n_pages", "n0"), "doc_id", "left").withColumn("n0", F.coalesce("n0", F.lit(0)))
     ends = running_sum(sized, ["doc_id"], "seq", F.col("size"), "end")
     placed = ends.withColumn("start", F.col("n0") + F.col("end") - F.col("size")).drop("end")
