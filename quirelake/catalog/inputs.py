@@ -38,6 +38,10 @@ class Inputs:
     def words(self) -> DataFrame:
         return layout.layout_words(self.documents)
 
+    def words_of(self, rows: DataFrame, others: bool = False) -> DataFrame:
+        """Words of the documents that ``rows`` name, or of all others."""
+        return layout.layout_words(layout.documents_of(self.documents, rows, others))
+
     @cached_property
     def pages(self) -> DataFrame:
         return layout.layout_pages(self.documents)

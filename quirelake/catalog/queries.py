@@ -273,17 +273,17 @@ def hit_test(t: Inputs) -> DataFrame:
 
 @query
 def line_at_point(t: Inputs) -> DataFrame:
-    return spatial.line_at_point(t.clicks, t.words, t.pages, t.dims)
+    return spatial.line_at_point(t.clicks, t.words_of(t.clicks), t.pages, t.dims)
 
 
 @query
 def nearest_line(t: Inputs) -> DataFrame:
-    return spatial.nearest_line(t.clicks, t.words, t.pages, t.dims)
+    return spatial.nearest_line(t.clicks, t.words_of(t.clicks), t.pages, t.dims)
 
 
 @query
 def edit_target(t: Inputs) -> DataFrame:
-    return spatial.edit_target(t.clicks, t.words, t.pages, t.dims)
+    return spatial.edit_target(t.clicks, t.words_of(t.clicks), t.pages, t.dims)
 
 
 @query
@@ -560,7 +560,7 @@ def scaled_words_in_region(t: Inputs) -> DataFrame:
 
 @query
 def scaled_line_at_point(t: Inputs) -> DataFrame:
-    found = spatial.line_at_point(t.clicks, t.words, t.scaled_pages, t.scaled_dims)
+    found = spatial.line_at_point(t.clicks, t.words_of(t.clicks), t.scaled_pages, t.scaled_dims)
     return found.select("click_id", *K, "text", "x", "y", "w", "h")
 
 

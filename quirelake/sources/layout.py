@@ -43,6 +43,16 @@ def layout_words(documents: DataFrame) -> DataFrame:
     )
 
 
+def documents_of(documents: DataFrame, rows: DataFrame, others: bool = False) -> DataFrame:
+    """The documents that ``rows`` name by ``doc_id``, or all ``others``.
+
+    Clicks, regions and edits lie on some documents. Joined before words arise, texts are shuffled at most (not even
+    those, if the ids are few); joined to words, every word of every document would be.
+    """
+    named = rows.select("doc_id").distinct()
+    return documents.join(named, "doc_id", "left_anti" if others else "left_semi")
+
+
 def layout_pages(documents: DataFrame) -> DataFrame:
     """One row per page, straight from the number of tokens: no word rows, no shuffle."""
     n = F.size(_tokens(F.col("text")))

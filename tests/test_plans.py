@@ -71,3 +71,15 @@ def test_some_documents_are_read_from_their_folders(spark, tmp_path):
     assert "PartitionFilters: [doc_bucket" in text
     assert {r.doc_id for r in read.words.collect()} == {3} and read.pages.count() == 2
     assert read.words.count() == 500
+
+
+def assert_words_of_named_documents(spark, name: str):
+    """All words that are matched arise above a join of documents: none of another document is shuffled."""
+    text = registered()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    laid = text.split("Generate posexplode")[1:]
+    assert laid and all("LeftSemi" in below.split("Generate")[0] or "LeftAnti" in below.split("Generate")[0] for below in laid), text
+
+
+@pytest.mark.parametrize("name", ["edit_target", "nearest_line", "line_at_point", "scaled_line_at_point"])
+def test_words_of_other_documents_do_not_meet_clicks(spark, name):
+    assert_words_of_named_documents(spark, name)
