@@ -262,7 +262,7 @@ def search_gate(t: Inputs) -> DataFrame:
 
 @query
 def words_in_region(t: Inputs) -> DataFrame:
-    found = spatial.words_in_region(t.regions, t.words, t.pages, t.dims)
+    found = spatial.words_in_region(t.regions, t.words_of(t.regions), t.pages, t.dims)
     return found.select("region_id", *K, "word_idx", "text")
 
 
@@ -321,7 +321,7 @@ def line_bounds(t: Inputs) -> DataFrame:
 
 @query
 def region_text(t: Inputs) -> DataFrame:
-    return lines.region_text(spatial.words_in_region(t.regions, t.words, t.pages, t.dims))
+    return lines.region_text(spatial.words_in_region(t.regions, t.words_of(t.regions), t.pages, t.dims))
 
 
 @query
@@ -554,7 +554,7 @@ def scaled_page_to_canvas(t: Inputs) -> DataFrame:
 
 @query
 def scaled_words_in_region(t: Inputs) -> DataFrame:
-    found = spatial.words_in_region(t.regions, t.words, t.scaled_pages, t.scaled_dims)
+    found = spatial.words_in_region(t.regions, t.words_of(t.regions), t.scaled_pages, t.scaled_dims)
     return found.select("region_id", *K, "word_idx", "text")
 
 

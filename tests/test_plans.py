@@ -83,3 +83,8 @@ def assert_words_of_named_documents(spark, name: str):
 @pytest.mark.parametrize("name", ["edit_target", "nearest_line", "line_at_point", "scaled_line_at_point"])
 def test_words_of_other_documents_do_not_meet_clicks(spark, name):
     assert_words_of_named_documents(spark, name)
+
+
+@pytest.mark.parametrize("name", ["region_text", "words_in_region", "scaled_words_in_region"])
+def test_words_of_other_documents_do_not_meet_regions(spark, name):
+    assert_words_of_named_documents(spark, name)
