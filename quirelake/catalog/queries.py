@@ -300,9 +300,15 @@ def with_dims(t: Inputs) -> DataFrame:
     return spatial.with_dims(t.annotations, t.pages, t.dims).select(*K, "seq", "sx", "sy")
 
 
+def _shown(t: Inputs, edits: DataFrame) -> DataFrame:
+    """Visible words; documents without edits do not take part in the join."""
+    edited = spatial.visible_words(t.words_of(edits), edits, t.pages, t.dims)
+    return edited.unionByName(t.words_of(edits, others=True))
+
+
 @query
 def visible_words(t: Inputs) -> DataFrame:
-    seen = spatial.visible_words(t.words, t.annotations, t.pages, t.dims)
+    seen = _shown(t, t.annotations.where("kind = 'text_edit'"))
     return seen.select(*K, "word_idx", "text")
 
 
@@ -374,7 +380,7 @@ def search_counts_all(t: Inputs) -> DataFrame:
 def phrase_search_gaps(t: Inputs) -> DataFrame:
     """Words that edits have whited out do not count."""
     edits = t.annotations.where("kind = 'text_edit'")
-    shown = spatial.visible_words(t.words, edits, t.pages, t.dims)
+    shown = _shown(t, edits)
     return search.phrase_search(shown, LIVE).select("query_id", *K, "i", "j")
 
 

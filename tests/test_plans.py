@@ -88,3 +88,7 @@ def test_words_of_other_documents_do_not_meet_clicks(spark, name):
 @pytest.mark.parametrize("name", ["region_text", "words_in_region", "scaled_words_in_region"])
 def test_words_of_other_documents_do_not_meet_regions(spark, name):
     assert_words_of_named_documents(spark, name)
+
+
+def test_only_words_of_edited_documents_meet_edits(spark):
+    assert_words_of_named_documents(spark, "visible_words")
