@@ -12,7 +12,8 @@ no text windows and no comparison of all runs with all queries.
 
 Queries come in one of two forms, with the same hits. A Python list is a handful that somebody typed: its
 queries become literals, and words are shuffled and sorted once (64 terms carry 64 columns, so keep lists
-short). A table ``queries(query_id, q)`` of any size is matched by equi-joins. In both, null and blank queries are
+short). A table ``queries(query_id, q)`` of any size is matched by equi-joins, or like a list when it turns out to hold
+``FEW`` rows at most (its first rows are fetched to see that). In both, null and blank queries are
 dropped, every other row is searched on its own, and rows that share a ``query_id`` each report their hits
 under it.
 """
@@ -34,6 +35,8 @@ from quirelake.schemas import K
 LOOK_AHEAD = 20
 #: Pages are searched in chunks of 2 ** CHUNK_BITS words.
 CHUNK_BITS = 12
+#: A table of no more queries is searched like a list.
+FEW = 64
 _BOX = ("left_pt", "bottom_pt", "right_pt", "top_pt")
 
 
@@ -68,6 +71,12 @@ def _term_rows(queries: DataFrame) -> DataFrame:
     return kept.select("query_id", F.lower("q").alias("q"), utf16_length(F.col("q")).alias("n"))
 
 
+def _few_terms(rows: DataFrame) -> list[Term] | None:
+    """The rows of a short table of terms; None for a longer one."""
+    found = rows.limit(FEW + 1).collect()
+    return None if len(found) > FEW else [Term(r.query_id, r.q, r.n) for r in found]
+
+
 def _chunked(words: DataFrame, reach: int) -> DataFrame:
     """Add ``chunk`` and ``own``; each chunk also gets the first ``reach`` words of the next one.
 
@@ -160,9 +169,16 @@ def phrase_search(words: DataFrame, queries: Queries, dense: bool = False) -> Da
     """
     if isinstance(queries, DataFrame):
         rows = _term_rows(queries)
-        hits = _search_by_join(words, rows.select("q", "n").distinct(), dense)
-        return rows.join(hits, ["q", "n"]).select("query_id", *K, "i", "j", *_BOX)
-    terms = _terms(queries)
+        terms = _few_terms(rows)
+        if terms is None:
+            hits = _search_by_join(words, rows.select("q", "n").distinct(), dense)
+            return rows.join(hits, ["q", "n"]).select("query_id", *K, "i", "j", *_BOX)
+        kind = queries.schema["query_id"].dataType
+        return _search_by_literals(words, terms, dense).withColumn("query_id", F.col("query_id").cast(kind))
+    return _search_by_literals(words, _terms(queries), dense)
+
+
+def _search_by_literals(words: DataFrame, terms: list[Term], dense: bool) -> DataFrame:
     if not terms:
         return _no_hits(words)
     wide = _hit_columns(words, terms, dense, bounds=True)
@@ -212,30 +228,39 @@ def search_counts(
     """
     if isinstance(queries, DataFrame):
         rows = _term_rows(queries)
-        per_term = _search_by_join(words, rows.select("q", "n").distinct(), dense, bounds=False)
-        per_term = per_term.groupBy("q", "n", *K).agg(F.count("*").alias("hits"))
-        counts = rows.join(per_term, ["q", "n"]).groupBy("query_id", *K).agg(F.sum("hits").alias("n_hits"))
-    elif terms := _terms(queries):
-        wide = _hit_columns(words, terms, dense, bounds=False)
-        per_page = wide.where("own").groupBy(*K).agg(*[F.count(f"hit_{n}.j").alias(f"n_{n}") for n in range(len(terms))])
-        of: dict[int, list[str]] = {}
-        for n, t in enumerate(terms):
-            of.setdefault(t.query_id, []).append(f"n_{n}")
-        rows = F.array(
-            *[
-                F.struct(F.lit(i).alias("query_id"), sum([F.col(c) for c in cs], F.lit(0).cast("long")).alias("n_hits"))
-                for i, cs in of.items()
-            ]
-        )
-        counts = per_page.select(*K, F.inline(rows)).where("n_hits > 0")
+        terms = _few_terms(rows)
+        if terms is None:
+            per_term = _search_by_join(words, rows.select("q", "n").distinct(), dense, bounds=False)
+            per_term = per_term.groupBy("q", "n", *K).agg(F.count("*").alias("hits"))
+            counts = rows.join(per_term, ["q", "n"]).groupBy("query_id", *K).agg(F.sum("hits").alias("n_hits"))
+        else:
+            counts = _count_by_literals(words, terms, dense)
+        counts = counts.withColumn("query_id", F.col("query_id").cast(queries.schema["query_id"].dataType))
     else:
-        counts = _no_hits(words).select("query_id", *K, F.lit(0).cast("long").alias("n_hits"))
+        counts = _count_by_literals(words, _terms(queries), dense)
     if requests is not None:
         asked = requests.select("query_id", *K).join(counts, ["query_id", *K], "left")
         counts = asked.withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
     return counts.select("query_id", *K, "n_hits", hit_status(F.col("n_hits")).alias("status"))
 
 
+def _count_by_literals(words: DataFrame, terms: list[Term], dense: bool) -> DataFrame:
+    if not terms:
+        return _no_hits(words).select("query_id", *K, F.lit(0).cast("long").alias("n_hits"))
+    wide = _hit_columns(words, terms, dense, bounds=False)
+    per_page = wide.where("own").groupBy(*K).agg(*[F.count(f"hit_{n}.j").alias(f"n_{n}") for n in range(len(terms))])
+    of: dict[int, list[str]] = {}
+    for n, t in enumerate(terms):
+        of.setdefault(t.query_id, []).append(f"n_{n}")
+    rows = F.array(
+        *[
+            F.struct(F.lit(i).alias("query_id"), sum([F.col(c) for c in cs], F.lit(0).cast("long")).alias("n_hits"))
+            for i, cs in of.items()
+        ]
+    )
+    return per_page.select(*K, F.inline(rows)).where("n_hits > 0")
+
+
 def search_boxes(hits: DataFrame, pages: DataFrame, dims: DataFrame) -> DataFrame:
     """Highlight rect of each hit on the canvas, each side at least 4 pixels."""
     placed = hits.join(page_scales(pages, dims), K)

@@ -181,3 +181,15 @@ def test_all_phrases_of_the_benchmark_are_searched(spark, tmp_path):
     assert sorted((r.query_id, r.doc_id, r.i, r.j) for r in hits) == want and {3, 10} <= {r[0] for r in want}
     counts = registered()["search_counts_all"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.doc_id): r.n_hits for r in counts} == {k: sum(w[:2] == k for w in want) for k in {w[:2] for w in want}}
+
+
+def test_a_short_table_of_queries_shuffles_words_once(spark):
+    words = spark.range(100).selectExpr(
+        "id % 7 as doc_id", "0 as page_idx", "cast(id div 7 as int) as word_idx", "'x' as text",
+        "0D as left_pt", "0D as bottom_pt", "0D as right_pt", "0D as top_pt",
+    )
+    queries = spark.createDataFrame([(2**40, "x x"), (1, "X"), (1, None), (3, " ")], "query_id long, q string")
+    hits = search.phrase_search(words, queries, dense=True)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert hits.schema["query_id"].dataType.simpleString() == "bigint"
+    assert {(r.query_id, r.n) for r in hits.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {(2**40, 93), (1, 100)}
