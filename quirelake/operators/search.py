@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from quirelake.functions.geometry import highlight_box, page_to_canvas
 from quirelake.functions.text import hit_status, is_blank, utf16_length
 from quirelake.operators.spatial import page_scales
-from quirelake.plans.blocks import dense_position, running_sum
+from quirelake.plans.blocks import dense_position
+from quirelake.plans.lineage import new_path
 from quirelake.schemas import K
 
 #: How far, in characters beyond the length of the query, a run may grow.
@@ -287,83 +288,85 @@ def _token_match(token: Column, m: Column, k: Column, word: Column) -> Column:
     )
 
 
-def _search_by_join(words: DataFrame, terms: DataFrame, dense: bool, bounds: bool = True) -> DataFrame:
-    """Hits ``q, n, doc_id, page_idx, i, j`` of any number of distinct ``terms(q, n)``; with ``bounds``, boxes too.
+def _known_words(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """``low, q, n, k, m``: for each of ``terms(q, n)`` the words of a ``vocabulary(low, freq)`` that fit its rarest token ``m``.
 
-    Equi-joins only, none on the page alone. The longest token of a term is looked up in the vocabulary by its
-    first characters, the vocabulary in the words, the other tokens at their places; start words within reach
-    follow by position. The first characters are a join key with the exact test behind it and drop nothing.
+    A token is looked up by its first characters, with the exact test behind them. A term with a token that no word
+    fits has no match and drops out; empty tokens fit by their neighbours alone and are never picked.
     """
-    tokens = F.split("q", " ")
-    longest = F.array_max(
-        F.transform("tokens", lambda t, m: F.struct(F.length(t).alias("len"), (-m).alias("neg"), t.alias("token")))
-    )
-    q = terms.withColumn("tokens", tokens).withColumn("pick", longest).select(
-        "q", "n", "tokens", (F.size("tokens") - 1).alias("k"),
-        (-F.col("pick.neg")).alias("m"), F.col("pick.token").alias("token"),
-    )
+    tokens = terms.select("q", "n", F.posexplode(F.split("q", " ")).alias("m", "token"), (F.size(F.split("q", " ")) - 1).alias("k"))
+    m, k = F.col("m"), F.col("k")
+    how = F.when(k == 0, "in").when(m == 0, "end").when(m == k, "start").otherwise("all")
+    tokens = tokens.where(F.col("token") != "").withColumn("how", how)
     gram = 3
-    q = q.withColumn("gram", F.substring("token", 1, gram))
-
-    base = _dense(words, dense).select(
-        *K, "pos", F.lower("text").alias("low"), (utf16_length(F.col("text")) + 1).alias("len"), *_BOX
-    )
-    vocabulary = base.select("low").distinct()
+    parts = tokens.select("token", "how").distinct().withColumn("gram", F.substring("token", 1, gram))
     places = F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1)))
     grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                places,
-                lambda p: F.array(*[F.substring(F.col("low"), p, F.lit(n)) for n in range(1, gram + 1)]),
-            )
-        )
+        F.flatten(F.transform(places, lambda p: F.array(*[F.substring(F.col("low"), p, F.lit(n)) for n in range(1, gram + 1)])))
+    )
+    token, low = F.col("token"), F.col("low")
+    fit = (
+        F.when(F.col("how") == "in", F.contains(low, token)).when(F.col("how") == "end", F.endswith(low, token))
+        .when(F.col("how") == "start", F.startswith(low, token)).otherwise(low == token)
+    )
+    fits = vocabulary.select("low", "freq", F.explode(grams).alias("gram")).join(parts, "gram").where(fit)
+    fits = fits.select("token", "how", "low", "freq")
+    weights = fits.groupBy("token", "how").agg(F.sum("freq").alias("weight"))
+    pick = F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), "m", "token", "how")
+    picked = (
+        tokens.join(weights, ["token", "how"], "left")
+        .groupBy("q", "n", "k").agg(F.min(pick).alias("p")).where("p.weight > 0")
+        .select("q", "n", "k", "p.m", "p.token", "p.how")
     )
-    known = (
-        vocabulary.select("low", F.explode(grams).alias("gram"))
-        .join(q, "gram")
-        .where(_token_match(F.col("token"), F.col("m"), F.col("k"), F.col("low")))
-        .select("low", "q", "n", "tokens", "k", "m")
+    return picked.join(fits, ["token", "how"]).select("low", "q", "n", "k", "m")
+
+
+def _search_by_join(words: DataFrame, terms: DataFrame, dense: bool, bounds: bool = True) -> DataFrame:
+    """Hits ``q, n, doc_id, page_idx, i, j`` of any number of distinct ``terms(q, n)``; with ``bounds``, boxes too.
+
+    Equi-joins only, none on the page alone. The rarest token of a term is looked up in the vocabulary, the words it
+    fits in the words (they are stored first, so that Spark knows how few they are), the other tokens at their places.
+    Only the words from the first start word of a match to its end are looked at again, for lengths and boxes.
+    """
+    box = _BOX if bounds else ()
+    base = _dense(words, dense).select(
+        *K, "pos", F.lower("text").alias("low"), (utf16_length(F.col("text")) + 1).alias("len"), *box
     )
+    vocabulary = base.groupBy("low").agg(F.count("*").alias("freq"))
+    path = new_path(words.sparkSession, "known-words")
+    _known_words(vocabulary, terms).write.parquet(path)
+    known = words.sparkSession.read.parquet(path)
+
     spots = base.select(*K, "pos", "low").join(known, "low").withColumn("a", F.col("pos") - F.col("m"))
-    spots = spots.where("a >= 0").select("q", "n", *K, "a", "k", "m", "tokens")
-    single = spots.where("k = 0").select("q", "n", *K, "a", "k")
-    others = (
-        spots.where("k > 0")
-        .select("q", "n", *K, "a", "k", F.posexplode("tokens").alias("t", "token"))
+    spots = spots.where("a >= 0").select("q", "n", *K, "a", "k", "m")
+    match = ["q", "n", *K, "a", "k"]
+    others = F.filter(F.sequence(F.lit(0), F.col("k")), lambda t: t != F.col("m"))
+    checked = (
+        spots.where("k > 0").select(*match, F.explode(others).alias("t"))
         .withColumn("pos", F.col("a") + F.col("t"))
         .join(base.select(*K, "pos", "low"), [*K, "pos"])
-        .where(_token_match(F.col("token"), F.col("t"), F.col("k"), F.col("low")))
-        .groupBy("q", "n", *K, "a", "k")
-        .agg(F.count("*").alias("fit"))
-        .where("fit = k + 1")
-        .drop("fit")
+        .where(_token_match(F.get(F.split("q", " "), F.col("t")), F.col("t"), F.col("k"), F.col("low")))
+        .groupBy(*match).agg(F.count("*").alias("fit"))
+        .where("fit = k").drop("fit")
     )
-    matches = single.unionByName(others).withColumn("j", F.col("a") + F.col("k"))
+    matches = spots.where("k = 0").select(*match).unionByName(checked).withColumn("j", F.col("a") + F.col("k"))
 
     # Start words after the previous match; across blocks the minimum below removes repeats.
     block = Window.partitionBy("q", "n", *K, F.shiftright("a", CHUNK_BITS)).orderBy("a")
     first = F.greatest(
         F.coalesce(F.lag("a").over(block) + 1, F.lit(0)), F.col("a") - F.col("n") - LOOK_AHEAD - 1
     )
-    starts = matches.withColumn("first", first).select(
-        "q", "n", *K, "j", F.explode(F.sequence("first", "a")).alias("i")
-    )
-    lengths = running_sum(base.select(*K, "pos", "len"), K, "pos", F.col("len"), "cum")
-    lengths = lengths.select(*K, "pos", (F.col("cum") - F.col("len")).alias("before"))
-    at_i = lengths.select(*K, F.col("pos").alias("i"), F.col("before").alias("before_i"))
-    at_j = lengths.select(*K, F.col("pos").alias("j"), F.col("before").alias("before_j"))
-    nearest = starts.groupBy("q", "n", *K, "i").agg(F.min("j").alias("j"))
-    run = nearest.join(at_i, [*K, "i"]).join(at_j, [*K, "j"])
-    grown = F.col("before_j") - F.col("before_i") - 1
-    hits = run.where((F.col("i") == F.col("j")) | (grown < F.col("n") + LOOK_AHEAD)).select("q", "n", *K, "i", "j")
-    if not bounds:
-        return hits
-    boxed = (
-        hits.select("*", F.explode(F.sequence("i", "j")).alias("pos"))
-        .join(base.select(*K, "pos", *_BOX), [*K, "pos"])
-        .groupBy("q", "n", *K, "i", "j")
+    run = ["q", "n", *K, "j"]
+    passed = (
+        matches.withColumn("first", first).select(*run, "a", F.explode(F.sequence("first", "j")).alias("pos"))
+        .join(base.select(*K, "pos", "len", *box), [*K, "pos"])
     )
-    return boxed.agg(
-        F.min("left_pt").alias("left_pt"), F.min("bottom_pt").alias("bottom_pt"),
-        F.max("right_pt").alias("right_pt"), F.max("top_pt").alias("top_pt"),
+    # Backwards from the end of a match, so that frames only grow: no more words than a run may have.
+    back = Window.partitionBy(*run).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    bounds_of = {c: (F.min if c in ("left_pt", "bottom_pt") else F.max)(c).over(back) for c in box}
+    grown = F.sum("len").over(back) - F.first("len").over(back) - 1
+    starts = passed.withColumns({"grown": grown, **bounds_of}).where(F.col("pos") <= F.col("a")).where(
+        (F.col("pos") == F.col("j")) | (F.col("grown") < F.col("n") + LOOK_AHEAD)
     )
+    nearest = starts.groupBy("q", "n", *K, F.col("pos").alias("i")).agg(F.min(F.struct("j", *box)).alias("h"))
+    return nearest.select("q", "n", *K, "i", "h.j", *[F.col(f"h.{c}").alias(c) for c in box])

@@ -193,3 +193,18 @@ def test_a_short_table_of_queries_shuffles_words_once(spark):
     assert hits._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert hits.schema["query_id"].dataType.simpleString() == "bigint"
     assert {(r.query_id, r.n) for r in hits.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {(2**40, 93), (1, 100)}
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_long_tables_of_queries_have_the_same_hits(spark, monkeypatch, gaps):
+    monkeypatch.setattr(search, "FEW", 0)
+    test_hits_equal_grown_runs(spark, monkeypatch, gaps, True)
+
+
+def test_candidates_of_a_phrase_come_from_its_rarest_token(spark):
+    vocabulary = spark.createDataFrame([("the", 1000), ("longestword", 500), ("rare", 2), ("fare", 3)], "low string, freq long")
+    terms = spark.createDataFrame([("the longestword rare", 20), ("gone the", 8), ("  are ", 6), ("are", 3)], "q string, n int")
+    got = {tuple(r) for r in search._known_words(vocabulary, terms).collect()}
+    assert got == {
+        ("rare", "the longestword rare", 20, 2, 2), ("rare", "are", 3, 0, 0), ("fare", "are", 3, 0, 0),
+    }
