@@ -38,6 +38,8 @@ LOOK_AHEAD = 20
 CHUNK_BITS = 12
 #: A table of no more queries is searched like a list.
 FEW = 64
+#: Sorts behind all words of a chunk.
+_END = 2**62
 _BOX = ("left_pt", "bottom_pt", "right_pt", "top_pt")
 
 
@@ -78,19 +80,61 @@ def _few_terms(rows: DataFrame) -> list[Term] | None:
     return None if len(found) > FEW else [Term(r.query_id, r.q, r.n) for r in found]
 
 
+def _chunk_bits(reach: int) -> int:
+    return max(CHUNK_BITS, (reach + 1).bit_length())
+
+
 def _chunked(words: DataFrame, reach: int) -> DataFrame:
-    """Add ``chunk`` and ``own``; each chunk also gets the first ``reach`` words of the next one.
+    """Name ``word_idx`` ``at`` and add ``chunk`` and ``own``; each chunk also gets the first ``reach`` words of the next one.
 
     That look-ahead is all a chunk needs of its neighbours, so a page of any size is searched by
     as many tasks as it has chunks.
     """
-    bits = max(CHUNK_BITS, (reach + 1).bit_length())
+    bits = _chunk_bits(reach)
+    words = words.withColumnRenamed("word_idx", "at")
     home = F.shiftright("at", bits)
     shared = (F.col("at") - F.shiftleft(home, bits) < reach) & (home > 0)
     copies = F.when(shared, F.array(home, home - 1)).otherwise(F.array(home))
     return words.withColumn("chunk", F.explode(copies)).withColumn("own", F.col("chunk") == home)
 
 
+def _chunked_with_gaps(words: DataFrame, reach: int) -> DataFrame:
+    """The same where ``word_idx`` has gaps, in one shuffle of words: they are not numbered first.
+
+    Chunks are cut by ``word_idx``, and only their numbers of words are summed over a page. ``mark`` is null for a
+    chunk's own words, the position of a word that it looks ahead to, and in one more row at its end (``order`` is
+    ``_END``) the position behind its last word, from which its own are numbered backwards.
+    """
+    bits = _chunk_bits(reach)
+    home = F.shiftright("word_idx", bits).alias("chunk")
+    page = Window.partitionBy(*K).orderBy("chunk")
+    counts = words.groupBy(*K, home).agg(F.count("*").alias("n"))
+    ends = counts.withColumn("end", F.sum("n").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = ends.select(*K, "chunk", F.lit(_END).alias("order"), F.col("end").alias("mark"))
+
+    # Chunks that look ahead to this one: those behind which fewer than ``reach`` words come before it.
+    earlier = F.collect_list(F.struct("chunk", "end")).over(page.rowsBetween(-reach, -1))
+    begin = F.col("end") - F.col("n")
+    asking = ends.withColumn("earlier", earlier).select(
+        *[F.col(k).alias(f"__{k}") for k in K], F.col("chunk").alias("__home"), begin.alias("begin"),
+        F.explode(F.filter("earlier", lambda c: begin - c["end"] < reach)).alias("c"),
+    )
+    rank = F.row_number().over(Window.partitionBy(*K, "home").orderBy("word_idx"))
+    heads = (
+        words.where(F.col("word_idx") >= 2**bits).withColumn("home", F.shiftright("word_idx", bits))
+        .withColumn("rank", rank).where(F.col("rank") <= reach)
+    )
+    same = F.col("home") == F.col("__home")
+    for k in K:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    place = F.col("begin") + F.col("rank") - 1
+    ahead = heads.join(asking, same).where(place - F.col("c.end") < reach)
+    rest = [c for c in words.columns if c not in (*K, "word_idx")]
+    own = words.select(*K, home, F.col("word_idx").cast("long").alias("order"), F.lit(None).cast("long").alias("mark"), *rest)
+    ahead = ahead.select(*K, "c.chunk", F.col("word_idx").cast("long").alias("order"), place.alias("mark"), *rest)
+    return own.unionByName(ahead).unionByName(marks, allowMissingColumns=True)
+
+
 def _dense(words: DataFrame, dense: bool) -> DataFrame:
     """Words with consecutive ``pos`` per page; a corpus as read has them already."""
     if dense:
@@ -119,12 +163,16 @@ def _hit_columns(words: DataFrame, terms: list[Term], dense: bool, bounds: bool)
     reach = max(t.reach for t in terms)
     depth = max(len(t.tokens) for t in terms) - 1
     box = _BOX if bounds else ()
-    base = _chunked(_dense(words, dense).withColumnRenamed("pos", "at"), reach).select(
-        *K, "chunk", "own", "at", F.lower("text").alias("low"), (utf16_length(F.col("text")) + 1).alias("len"), *box
-    )
+    cut = _chunked if dense else _chunked_with_gaps
+    texts = words.select(*K, "word_idx", F.lower("text").alias("low"), (utf16_length(F.col("text")) + 1).alias("len"), *box)
+    base = cut(texts, reach).select(*K, "chunk", *(("own", "at") if dense else ("order", "mark")), "low", "len", *box)
     # Descending, so that what lies ahead on the page lies behind in the frame, and frames only grow.
-    order = Window.partitionBy(*K, "chunk").orderBy(F.desc("at"))
+    order = Window.partitionBy(*K, "chunk").orderBy(F.desc("at" if dense else "order"))
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    if not dense:
+        own = F.col("mark").isNull()
+        at = F.coalesce("mark", F.max(F.when(F.col("order") == _END, F.col("mark"))).over(so_far) - F.sum(own.cast("int")).over(so_far))
+        base = base.withColumn("at", at.cast("int")).withColumn("own", own).drop("mark")
     ahead = {
         f"{c}_{m}": F.lag(c, m).over(order) for m in range(1, depth + 1) for c in ("low", "len", *box)
     }

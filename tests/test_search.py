@@ -208,3 +208,27 @@ def test_candidates_of_a_phrase_come_from_its_rarest_token(spark):
     assert got == {
         ("rare", "the longestword rare", 20, 2, 2), ("rare", "are", 3, 0, 0), ("fare", "are", 3, 0, 0),
     }
+
+
+def test_sparse_chunks_look_ahead_over_one_another(spark, monkeypatch):
+    """Chunks of 64 numbers with a word or two each: a run goes through many of them."""
+    monkeypatch.setattr(search, "CHUNK_BITS", 6)
+    rng = random.Random(3)
+    at, rows = -1, []
+    for _ in range(150):
+        at += rng.choice([1, 40, 90, 200])
+        rows.append((0, 0, at, rng.choice(VOCAB[:9]), *[float(rng.randint(0, 99)) for _ in range(4)], 10.0, "Arial"))
+    words = spark.createDataFrame(rows, WORDS)
+    got = [tuple(r) for r in search.phrase_search(words, [*enumerate(QUERIES)]).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected([rows])
+
+
+def test_words_with_gaps_are_shuffled_once(spark):
+    words = spark.range(100).selectExpr(
+        "id % 7 as doc_id", "0 as page_idx", "cast(id as int) as word_idx", "'x' as text",
+        "0D as left_pt", "0D as bottom_pt", "0D as right_pt", "0D as top_pt",
+    )
+    text = search.phrase_search(words, [(0, "x x"), (1, "y")])._jdf.queryExecution().executedPlan().toString()
+    # Own words by chunk; numbers of words per chunk, per page; the few words that another chunk looks ahead to.
+    shuffles = [line for line in text.split("\n") if "Exchange hashpartitioning" in line]
+    assert len([line for line in shuffles if "chunk" in line]) <= 4 and "__block" not in text
