@@ -34,6 +34,8 @@ BLOCK = 256
 TILE_BITS = 16
 #: Levels of composition between two lineage cuts.
 LEVELS = 4
+#: Blocks that are Python objects at a time; an Arrow batch may hold ten thousand.
+AT_ONCE = 32
 OPS = ("delete", "up", "down", "reorder", "append")
 
 _EDIT = ("seq", "op", "at", "to", "start", "size")
@@ -113,18 +115,25 @@ def _batch(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of the batches, ``AT_ONCE`` at a time: an edit takes some ten times as much room in Python as in Arrow."""
     for batch in batches:
-        rows = [(r["doc_id"], r["block"], *_steps(r["edits"])) for r in batch.to_pylist()]
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE).to_pylist()
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for few in _few(batches):
+        rows = [(r["doc_id"], r["block"], *_steps(r["edits"])) for r in few]
         yield _batch(["doc_id", "block", "shift", "steps"], [pa.int64()] * 3 + [pa.list_(pa.int64())], rows)
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Page counts before blocks, which come sorted by document and block."""
     doc, n = None, 0
-    for batch in batches:
+    for few in _few(batches):
         rows = []
-        for r in batch.to_pylist():
+        for r in few:
             if r["doc_id"] != doc:
                 doc, n = r["doc_id"], r["n0"]
             rows.append((doc, r["block"], n))
@@ -134,9 +143,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "block", "blocks", "out", "len", "src", "own"]
-    for batch in batches:
+    for few in _few(batches):
         rows = []
-        for r in batch.to_pylist():
+        for r in few:
             out = 0
             for src, length, own in _replay(r["edits"], r["n"]):
                 rows.append((r["doc_id"], r["block"], r["blocks"], out, length, src, own))

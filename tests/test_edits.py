@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quirelake.operators.edits import OPS, edit_pages
+from quirelake.operators.edits import OPS, _chain, _replayed, _summaries, edit_pages
 from quirelake.operators.pages import apply_page_map
 from quirelake.schemas import PAGES
 
@@ -110,3 +112,20 @@ def test_words_go_where_their_pages_go(spark):
     moved = edit_pages(pages, spark.createDataFrame(log, EDITS))
     got = sorted((r.doc_id, r.page_idx, r.text) for r in apply_page_map(words, moved).collect())
     assert got == [(1, 0, "2/0"), (1, 1, "2/1"), (1, 2, "2/0"), (1, 3, "2/1"), (2, 0, "2/0")]
+
+
+def test_a_batch_of_many_blocks_is_never_python_objects_as_a_whole():
+    """A batch that the three steps in Python are given holds up to ten thousand blocks of 256 edits."""
+    edits = [{"seq": s, "op": "reorder" if s % 2 else "delete", "at": s % 7, "to": 3, "start": 0, "size": 0} for s in range(100)]
+    n = 1000
+    batch = pa.record_batch({
+        "doc_id": pa.array(range(n)), "block": pa.array([0] * n), "blocks": pa.array([1] * n), "n": pa.array([200] * n),
+        "n0": pa.array([200] * n), "shift": pa.array([0] * n), "steps": pa.array([list(range(200))] * n), "edits": pa.array([edits] * n),
+    })
+    for step, rows in ((_summaries, n), (_chain, n), (_replayed, None)):
+        tracemalloc.start()
+        made = sum(b.num_rows for b in step(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert made == rows or rows is None and made % n == 0 and made > n
+        assert peak < 5e6
