@@ -17,6 +17,9 @@ QUERIES = [(0, "the"), (1, "er"), (2, "of the"), (3, "hat th"), (4, "a"), (5, "
 #: Those worth running as they are typed; the gate, as a query of its own, is held against the same rule.
 LIVE = [(i, q) for i, q in QUERIES if len(q) > 1 and q.strip()]
 
+#: Characters of text whose words one task sorts.
+TASK_CHARS = 4_000_000
+
 
 @dataclass(frozen=True)
 class Inputs:
@@ -30,6 +33,39 @@ class Inputs:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    @cached_property
+    def placed_documents(self) -> DataFrame:
+        """The documents dealt out by ``doc_id``, ``TASK_CHARS`` of text to a task.
+
+        What is laid out from them stays where it is: groups and joins by document, page or finer need no shuffle of
+        words, and a task has no more words than it can sort in memory.
+        """
+        chars = self.documents.agg(F.sum(F.length("text"))).first()[0] or 0
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+        # Both sides of a join on (document, page, ...) may lie by document alone.
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        return self.documents.select("doc_id", "text").repartition(tasks, "doc_id")
+
+    @cached_property
+    def placed_words(self) -> DataFrame:
+        return layout.layout_words(self.placed_documents)
+
+    @cached_property
+    def placed_pages(self) -> DataFrame:
+        return layout.layout_pages(self.placed_documents)
+
+    @cached_property
+    def placed_dims(self) -> DataFrame:
+        return layout.layout_dims(self.placed_pages)
+
+    @cached_property
+    def placed_scaled_pages(self) -> DataFrame:
+        return self._scaled(self.placed_pages)
+
+    @cached_property
+    def placed_scaled_dims(self) -> DataFrame:
+        return self._rendered(self.placed_scaled_pages)
+
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events").select("event_id", "user_id", "event_type")
@@ -53,16 +89,24 @@ class Inputs:
     @cached_property
     def scaled_pages(self) -> DataFrame:
         """The pages at other sizes, which differ by document and page."""
-        return self.pages.select(
+        return self._scaled(self.pages)
+
+    @staticmethod
+    def _scaled(pages: DataFrame) -> DataFrame:
+        return pages.select(
             *K, (612.0 * (1 + F.col("doc_id") % 2)).alias("width_pt"), (792.0 * (1 + F.col("page_idx") % 2)).alias("height_pt")
         )
 
     @cached_property
     def scaled_dims(self) -> DataFrame:
         """Rendered sizes with different powers of two across and down; one page in five is not rendered."""
+        return self._rendered(self.scaled_pages)
+
+    @staticmethod
+    def _rendered(scaled_pages: DataFrame) -> DataFrame:
         wide = F.pow(F.lit(2.0), F.col("doc_id") % 3)
         high = F.pow(F.lit(2.0), (F.col("doc_id") + F.col("page_idx")) % 2 + 1)
-        return self.scaled_pages.where((F.col("doc_id") + F.col("page_idx")) % 5 != 0).select(
+        return scaled_pages.where((F.col("doc_id") + F.col("page_idx")) % 5 != 0).select(
             *K, (F.col("width_pt") * wide).cast("int").alias("render_w"), (F.col("height_pt") * high).cast("int").alias("render_h")
         )
 

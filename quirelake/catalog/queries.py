@@ -317,12 +317,12 @@ def visible_words(t: Inputs) -> DataFrame:
 
 @query
 def group_lines(t: Inputs) -> DataFrame:
-    return lines.group_lines(t.words).select(*K, "word_idx", "line_no")
+    return lines.group_lines(t.placed_words).select(*K, "word_idx", "line_no")
 
 
 @query
 def line_bounds(t: Inputs) -> DataFrame:
-    return lines.line_bounds(lines.group_lines(t.words))
+    return lines.line_bounds(lines.group_lines(t.placed_words))
 
 
 @query
@@ -332,17 +332,17 @@ def region_text(t: Inputs) -> DataFrame:
 
 @query
 def page_text(t: Inputs) -> DataFrame:
-    return lines.page_text(t.words)
+    return lines.page_text(t.placed_words)
 
 
 @query
 def reading_order(t: Inputs) -> DataFrame:
-    return lines.reading_order(t.words).select(*K, "word_idx", "read_pos")
+    return lines.reading_order(t.placed_words).select(*K, "word_idx", "read_pos")
 
 
 @query
 def left_to_right(t: Inputs) -> DataFrame:
-    lined = lines.group_lines(t.words)
+    lined = lines.group_lines(t.placed_words)
     return lines.left_to_right(lined, [*K, "line_no"]).select(*K, "word_idx", "line_no", "line_pos")
 
 
@@ -386,8 +386,8 @@ def phrase_search_gaps(t: Inputs) -> DataFrame:
 
 @query
 def search_boxes(t: Inputs) -> DataFrame:
-    hits = search.phrase_search(t.words, LIVE, dense=True)
-    return search.search_boxes(hits, t.pages, t.dims)
+    hits = search.phrase_search(t.placed_words, LIVE, dense=True)
+    return search.search_boxes(hits, t.placed_pages, t.placed_dims)
 
 
 # --- page algebra ----------------------------------------------------------------------------
@@ -572,8 +572,8 @@ def scaled_line_at_point(t: Inputs) -> DataFrame:
 
 @query
 def scaled_search_boxes_all(t: Inputs) -> DataFrame:
-    hits = search.phrase_search(t.words, LIVE, dense=True)
-    return search.search_boxes(hits, t.scaled_pages, t.scaled_dims)
+    hits = search.phrase_search(t.placed_words, LIVE, dense=True)
+    return search.search_boxes(hits, t.placed_scaled_pages, t.placed_scaled_dims)
 
 
 @query
