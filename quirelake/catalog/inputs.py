@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelake.plans.blocks import dense_position
 from quirelake.schemas import RGBA, K
-from quirelake.sources import layout
+from quirelake.sources import corpus, layout
 
 #: Queries of the search examples: one too short to search as typed, one blank, one without hits.
 QUERIES = [(0, "the"), (1, "er"), (2, "of the"), (3, "hat th"), (4, "a"), (5, "   "), (6, "zzqx")]
@@ -40,11 +40,14 @@ class Inputs:
         What is laid out from them stays where it is: groups and joins by document, page or finer need no shuffle of
         words, and a task has no more words than it can sort in memory.
         """
-        chars = self.documents.agg(F.sum(F.length("text"))).first()[0] or 0
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
         # Both sides of a join on (document, page, ...) may lie by document alone.
         self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        return self.documents.select("doc_id", "text").repartition(tasks, "doc_id")
+        return self.documents.select("doc_id", "text").repartition(self._tasks, "doc_id")
+
+    @cached_property
+    def _tasks(self) -> int:
+        chars = self.documents.agg(F.sum(F.length("text"))).first()[0] or 0
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
 
     @cached_property
     def placed_words(self) -> DataFrame:
@@ -58,6 +61,23 @@ class Inputs:
     def placed_dims(self) -> DataFrame:
         return layout.layout_dims(self.placed_pages)
 
+    @cached_property
+    def bucketed_documents(self) -> DataFrame:
+        """The documents dealt out by the bucket that a corpus keeps them in, and by parts of it where it is large."""
+        return corpus.by_bucket(self.documents.select("doc_id", "text"), self._tasks)
+
+    @cached_property
+    def bucketed_words(self) -> DataFrame:
+        return layout.layout_words(self.bucketed_documents)
+
+    @cached_property
+    def bucketed_pages(self) -> DataFrame:
+        return layout.layout_pages(self.bucketed_documents)
+
+    @cached_property
+    def whole_pages(self) -> DataFrame:
+        return layout.layout_whole_pages(self.documents)
+
     @cached_property
     def placed_scaled_pages(self) -> DataFrame:
         return self._scaled(self.placed_pages)

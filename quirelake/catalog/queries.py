@@ -16,7 +16,7 @@ from quirelake.operators import edits
 from quirelake.operators import filters as flt
 from quirelake.operators import lines, pages, search, spatial
 from quirelake.plans.lineage import new_path
-from quirelake.schemas import ANNOT_EVENTS, PAGES, K, WORDS
+from quirelake.schemas import ANNOT_EVENTS, PAGES, K
 from quirelake.sources import corpus as src
 from quirelake.sources.signatures import as_json, read_signatures, write_signatures
 from quirelake.streaming import annotation_state as ann_stream
@@ -61,11 +61,15 @@ def layout_text(t: Inputs) -> DataFrame:
     return t.words
 
 
+def _save(t: Inputs, path: str, burned: bool = False) -> None:
+    corpus = src.Corpus(t.bucketed_pages, t.bucketed_words, t.annotations, t.dims)
+    src.write_corpus(corpus, path, burned=burned, gathered=True)
+
+
 @query
 def corpus_roundtrip(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "corpus")
-    corpus = src.Corpus(t.pages, t.words, t.annotations, t.dims)
-    src.write_corpus(corpus, path)
+    _save(t, path)
     saved = src.read_corpus(t.spark, path)
     return saved.words.join(saved.pages, K).select(*K, "word_idx", "text", "left_pt", "top_pt", "height_pt")
 
@@ -73,7 +77,7 @@ def corpus_roundtrip(t: Inputs) -> DataFrame:
 @query
 def burned_corpus(t: Inputs) -> DataFrame:
     path = new_path(t.spark, "burned")
-    src.write_corpus(src.Corpus(t.pages, t.words, t.annotations, t.dims), path, burned=True)
+    _save(t, path, burned=True)
     return _flat(src.read_draws(t.spark, path))
 
 
@@ -81,7 +85,7 @@ def burned_corpus(t: Inputs) -> DataFrame:
 def resaved_corpus(t: Inputs) -> DataFrame:
     """A third of the pages deleted, and the corpus saved over the one it was read from."""
     path = new_path(t.spark, "corpus")
-    src.write_corpus(src.Corpus(t.pages, t.words, t.annotations, t.dims), path)
+    _save(t, path)
     saved = src.read_corpus(t.spark, path)
     left = pages.delete_pages(saved.pages, saved.pages.where("page_idx % 3 = 1"))
     edited = src.Corpus(left.select(*PAGES.names), pages.apply_page_map(saved.words, left), saved.annotations, saved.render_dims)
@@ -94,7 +98,7 @@ def resaved_corpus(t: Inputs) -> DataFrame:
 def read_documents(t: Inputs) -> DataFrame:
     """Some documents of a written corpus, read from the folders that hold them."""
     path = new_path(t.spark, "corpus")
-    src.write_corpus(src.Corpus(t.pages, t.words, t.annotations, t.dims), path)
+    _save(t, path)
     wanted = t.documents.where("doc_id % 97 = 5").select("doc_id")
     return src.read_corpus(t.spark, path, wanted).words.select(*K, "word_idx", "text")
 
@@ -620,12 +624,7 @@ def annotation_state_stream(t: Inputs) -> DataFrame:
 def search_stream(t: Inputs) -> DataFrame:
     """Laid-out pages, of 400 words at most, arriving as rows and searched as they come."""
     root = new_path(t.spark, "search-stream")
-    fields = [f.name for f in WORDS.fields if f.name not in (*K, "word_idx")]
-    arrived = t.words.groupBy(*K).agg(
-        F.sort_array(F.collect_list(F.struct("word_idx", *fields))).alias("ws")
-    )
-    words = F.transform("ws", lambda w: F.struct(*[w[f].alias(f) for f in fields]))
-    arrived.select(*K, words.alias("words")).write.parquet(f"{root}/pages")
+    t.whole_pages.write.parquet(f"{root}/pages")
     stream = t.spark.readStream.schema(page_stream.ARRIVING_PAGES).parquet(f"{root}/pages")
     run = page_stream.search_stream(
         stream, LIVE, f"{root}/hits", f"{root}/state", availableNow=True

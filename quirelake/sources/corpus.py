@@ -66,31 +66,43 @@ def read_corpus(
     )
 
 
-def _write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
+def by_bucket(rows: DataFrame, tasks: int, buckets: int = DOC_BUCKETS) -> DataFrame:
+    """``rows(doc_id, ...)`` dealt out to ``tasks`` by bucket, large buckets in parts; a document stays whole.
+
+    Texts dealt out like this give words that ``write_corpus`` need not shuffle (``gathered``).
+    """
+    part = F.pmod(F.hash("doc_id"), F.lit(-(-tasks // buckets)))
+    return rows.repartition(tasks, _bucket(buckets), part)
+
+
+def _write_bucketed(df: DataFrame, path: str, buckets: int, gathered: bool = False) -> None:
     """One folder per bucket of documents, rows of a file in order.
 
     The rebalance hint gathers a bucket into few files and splits a bucket that is too large
-    for one task, as it is when a single document holds much of the data.
+    for one task, as it is when a single document holds much of the data. Rows that are ``gathered`` stay where they are.
     """
-    rows = df.withColumn("doc_bucket", _bucket(buckets)).hint("rebalance", "doc_bucket")
+    rows = df.withColumn("doc_bucket", _bucket(buckets))
+    if not gathered:
+        rows = rows.hint("rebalance", "doc_bucket")
     order = [c for c in ("doc_bucket", "doc_id", "page_idx", "word_idx", "seq", "prim_idx") if c in rows.columns]
     rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
 
 
 def write_corpus(
-    corpus: Corpus, path: str, burned: bool = False, buckets: int = DOC_BUCKETS, base: int | None = None
+    corpus: Corpus, path: str, burned: bool = False, buckets: int = DOC_BUCKETS, base: int | None = None, gathered: bool = False
 ) -> int:
     """Save pages and words as a new version; ``burned`` saves what the annotations draw as well.
 
     All tables become visible at once, and a writer that is lost changes nothing. The corpus may be one that was
     read from ``path``. The number of the version is returned; given as ``base``, a save fails (``Conflict``) if someone
     else has saved since. ``vacuum_corpus`` deletes older versions. The corpus itself is not changed by a
-    burned save: its annotations stay pending.
+    burned save: its annotations stay pending. ``gathered`` says that the tasks of pages and words hold few buckets each, and not more
+    than they can sort, as after ``by_bucket``: they are not shuffled then.
     """
     rows = {"pages": corpus.pages, "words": corpus.words}
     if burned:
         rows["draw_ops"] = flatten_annotations(corpus.annotations, corpus.pages, corpus.render_dims)
-    writers = {name: partial(_write_bucketed, df, buckets=buckets) for name, df in rows.items()}
+    writers = {name: partial(_write_bucketed, df, buckets=buckets, gathered=gathered and name != "draw_ops") for name, df in rows.items()}
     return commit(corpus.pages.sparkSession, path, writers, {"buckets": buckets}, base)
 
 

@@ -22,27 +22,49 @@ def _tokens(text: Column) -> Column:
     return F.when(trimmed != "", F.split(trimmed, "[ \n]+"))
 
 
+def _placed(g: Column, text: Column) -> dict[str, Column]:
+    """What is laid out of the ``g``-th word of a document, beside its keys."""
+    left = 36 + (g % WORDS_PER_LINE) * 54
+    # The 0-4 pt jitter straddles the tolerance of line grouping on purpose.
+    top = 756 - F.floor(g % WORDS_PER_PAGE / WORDS_PER_LINE) * 18 - (g * 7) % 5
+    return {
+        "text": text,
+        "left_pt": left.cast("double"),
+        "bottom_pt": (top - 10).cast("double"),
+        "right_pt": (left + 5 * F.least(F.length(text), F.lit(10))).cast("double"),
+        "top_pt": top.cast("double"),
+        "font_size": (8 + g % 5).cast("double"),
+        "font_name": F.get(F.array(*[F.lit(f) for f in FONTS]), g % len(FONTS)),
+    }
+
+
 def layout_words(documents: DataFrame) -> DataFrame:
     """One row per word of ``documents(doc_id, text)``; a narrow plan, no shuffle."""
     g = F.col("g")
-    on_page = g % WORDS_PER_PAGE
-    left = 36 + (g % WORDS_PER_LINE) * 54
-    # The 0-4 pt jitter straddles the tolerance of line grouping on purpose.
-    top = 756 - F.floor(on_page / WORDS_PER_LINE) * 18 - (g * 7) % 5
     return documents.select("doc_id", F.posexplode(_tokens(F.col("text"))).alias("g", "text")).select(
         "doc_id",
         F.floor(g / WORDS_PER_PAGE).cast("int").alias("page_idx"),
-        on_page.cast("int").alias("word_idx"),
-        "text",
-        left.cast("double").alias("left_pt"),
-        (top - 10).cast("double").alias("bottom_pt"),
-        (left + 5 * F.least(F.length("text"), F.lit(10))).cast("double").alias("right_pt"),
-        top.cast("double").alias("top_pt"),
-        (8 + g % 5).cast("double").alias("font_size"),
-        F.get(F.array(*[F.lit(f) for f in FONTS]), g % len(FONTS)).alias("font_name"),
+        (g % WORDS_PER_PAGE).cast("int").alias("word_idx"),
+        *[c.alias(name) for name, c in _placed(g, F.col("text")).items()],
     )
 
 
+def layout_whole_pages(documents: DataFrame) -> DataFrame:
+    """The same words as one row per page, ``words`` being an array in content order; a narrow plan, too.
+
+    The words of a document are cut into pages before there are rows, so no row holds more than a page.
+    """
+    tokens = F.col("tokens")
+    last = F.floor((F.size(tokens) - 1) / WORDS_PER_PAGE).cast("int")
+
+    def page(p: Column) -> Column:
+        words = F.slice(tokens, p * WORDS_PER_PAGE + 1, WORDS_PER_PAGE)
+        return F.transform(words, lambda w, i: F.struct(*[c.alias(n) for n, c in _placed(p * WORDS_PER_PAGE + i, w).items()]))
+
+    split = documents.select("doc_id", _tokens(F.col("text")).alias("tokens")).where(F.size(tokens) > 0)
+    return split.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), page)).alias("page_idx", "words"))
+
+
 def documents_of(documents: DataFrame, rows: DataFrame, others: bool = False) -> DataFrame:
     """The documents that ``rows`` name by ``doc_id``, or all ``others``.
 

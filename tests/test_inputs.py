@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pytest
-
 from conftest import SMALL
+
 from quirelake.catalog import queries
+from quirelake.sources import corpus, layout
+from quirelake.streaming.search import ARRIVING_PAGES, arriving_words
 
 SHUFFLE = re.compile(r"Exchange (?:hash|range|single|rebalance)\w*.*")
 
@@ -21,3 +23,44 @@ def test_words_are_not_shuffled(spark, name):
     plan = queries.registered()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     shuffles = SHUFFLE.findall(plan)
     assert shuffles and all("REPARTITION_BY_NUM" in s for s in shuffles), shuffles
+
+
+def test_whole_pages_hold_the_same_words(spark):
+    """Pages arrive as rows without a shuffle; blank and null texts have none."""
+    texts = [(1, " ".join(f"w{n}" for n in range(1000))), (2, "a \n b"), (3, " \n"), (4, None), (5, " ".join("x" * 400)), (6, "")]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = layout.layout_whole_pages(documents)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    got = arriving_words(spark.createDataFrame(whole.rdd, ARRIVING_PAGES)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, layout.layout_words(documents).collect()), key=str)
+    assert len(got) == 1402
+
+
+@pytest.mark.parametrize("name", ["corpus_roundtrip", "read_documents", "resaved_corpus"])
+def test_laid_out_words_are_saved_without_a_shuffle(spark, name, monkeypatch):
+    """Only the second save of ``resaved_corpus``, of words that have been joined, deals words out."""
+    frame = type(spark.range(0))
+    hints, real = [], frame.hint
+    monkeypatch.setattr(frame, "hint", lambda df, *a: hints.append(a) or real(df, *a))
+    assert queries.registered()[name](spark, SMALL).count() > 0
+    assert len(hints) == (2 if name == "resaved_corpus" else 0)
+
+
+def test_gathered_documents_are_saved_like_others(spark, tmp_path):
+    documents = spark.range(300).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), cast(id * 7 % 900 as int)) as text")
+    texts = corpus.by_bucket(documents, tasks=20, buckets=8)
+    saved = {}
+    for name, rows in (("plain", documents), ("gathered", texts)):
+        words = layout.layout_words(rows)
+        made = corpus.Corpus(layout.layout_pages(rows), words, None, None)
+        corpus.write_corpus(made, f"{tmp_path}/{name}", buckets=8, gathered=name == "gathered")
+        read = corpus.read_corpus(spark, f"{tmp_path}/{name}")
+        saved[name] = [sorted(map(str, t.collect())) for t in (read.pages, read.words)]
+    assert saved["plain"] == saved["gathered"]
+    # A bucket of three parts has three files at most, each in order.
+    for folder in tmp_path.glob("gathered/words/version=*/doc_bucket=*"):
+        files = list(folder.glob("*.parquet"))
+        assert len(files) <= 3
+        for f in files:
+            keys = [tuple(r) for r in spark.read.parquet(str(f)).coalesce(1).select("doc_id", "page_idx", "word_idx").collect()]
+            assert keys == sorted(keys)
