@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quirelake.catalog.inputs import LIVE, Inputs
 from quirelake.functions import geometry as geo
@@ -610,9 +611,12 @@ def annotation_state_stream(t: Inputs) -> DataFrame:
     root = new_path(t.spark, "annot-stream")
     last = t.events.agg(F.max("event_id")).first()[0] or 0
     quarter = last // 4 + 1
+    # The log is derived once, not once per part.
+    parts = t.annot_events.withColumn("part", F.floor(F.col("seq") / quarter).cast("int"))
+    parts.write.partitionBy("part").parquet(f"{root}/parts")
+    staged = t.spark.read.schema(StructType([*ANNOT_EVENTS, StructField("part", IntegerType())])).parquet(f"{root}/parts")
     for n in range(4):
-        part = t.annot_events.where(F.col("seq").between(n * quarter, (n + 1) * quarter - 1))
-        part.write.mode("append").parquet(f"{root}/events")
+        staged.where(F.col("part") == n).drop("part").write.mode("append").parquet(f"{root}/events")
         run = ann_stream.annotation_state_stream(
             t.spark.readStream.schema(ANNOT_EVENTS).parquet(f"{root}/events"), f"{root}/out", f"{root}/state", availableNow=True
         )

@@ -4,7 +4,8 @@ A group (a page, a document) may hold a large share of all rows, so a plain wind
 it would run in a single task. Every function here cuts a group into blocks of consecutive
 positions first: block totals are pre-aggregated map-side, chained in a small window over the
 *blocks*, and joined back to a window that only ever sees one block. ``order`` is an integer
-column that is unique within a group, so a block holds at most ``2 ** bits`` rows.
+column that is unique within a group, so a block holds at most ``2 ** bits`` rows. Callers that know their groups to be
+small pass ``bits=None``: a plain window, without a shuffle of its own where whole groups lie together already.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, bits: int = BLOCK_BITS
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, bits: int | None = BLOCK_BITS
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order`` within each group."""
+    if bits is None:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value.cast("long")).over(whole))
     df = df.withColumn(_VALUE, value.cast("long")).withColumn(_BLOCK, _block(order, bits))
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -52,7 +56,7 @@ def running_sum(
 
 
 def dense_position(
-    df: DataFrame, keys: list[str], order: str, out: str, bits: int = BLOCK_BITS
+    df: DataFrame, keys: list[str], order: str, out: str, bits: int | None = BLOCK_BITS
 ) -> DataFrame:
     """0-based rank of each row in ``order`` within its group."""
     ranked = running_sum(df, keys, order, F.lit(1), "__rank", bits)
@@ -60,9 +64,12 @@ def dense_position(
 
 
 def next_marked(
-    df: DataFrame, keys: list[str], order: str, mark: Column, out: str, bits: int = BLOCK_BITS
+    df: DataFrame, keys: list[str], order: str, mark: Column, out: str, bits: int | None = BLOCK_BITS
 ) -> DataFrame:
     """``order`` of the next marked row at or after each row of its group; null if there is none."""
+    if bits is None:
+        whole = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(F.when(mark, F.col(order).cast("long")), ignorenulls=True).over(whole))
     df = df.withColumn(_VALUE, F.when(mark, F.col(order).cast("long"))).withColumn(_BLOCK, _block(order, bits))
     later = Window.partitionBy(*keys).orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = (

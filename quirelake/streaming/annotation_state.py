@@ -1,7 +1,7 @@
 """The annotation stack as a stream: event log in, the live annotations and what changed out.
 
 Every micro-batch is worked on by the batch operator: what is alive counts as additions before the new events, so no
-event is folded by hand, nothing runs in Python, and the work splits by page as it does in a batch.
+event is folded by hand, nothing runs in Python, and the work splits by document, or where one is large by page, as in a batch.
 
 The state is a log by buckets of documents. A batch reads the buckets that its documents lie in and appends to them what
 it changed; a bucket that has gathered ``COMPACT`` such parts is rewritten whole as part of the next batch that touches it.
@@ -27,6 +27,7 @@ BUCKETS = 64
 COMPACT = 8
 
 ROW = ("doc_id", "page_idx", "seq", "annot_id")
+COLUMNS = ("doc_id", "seq", "page_idx", "op", "annot_id")
 LIVE = "doc_id long, page_idx int, seq long, annot_id long"
 SCHEMAS = {"live": LIVE, "changes": f"{LIVE}, change string", "last": "doc_id long, last_seq long", "seen": "doc_id long, last_seq long"}
 
@@ -47,7 +48,11 @@ def _state_before(spark: SparkSession, root: str, batch_id: int | None = None) -
 
 def _read(spark: SparkSession, root: str, state: dict, table: str, buckets: Iterable[str]) -> DataFrame:
     parts = [f"{root.rstrip('/')}/{p}" for b in buckets for p in state["parts"].get(b, {}).get(table, ())]
-    return spark.read.schema(SCHEMAS[table]).parquet(*parts) if parts else spark.createDataFrame([], SCHEMAS[table])
+    if parts:
+        return spark.read.schema(SCHEMAS[table]).parquet(*parts)
+    # Known to be empty when it is planned, so that what joins it goes away.
+    nulls = [f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in SCHEMAS[table].split(", "))]
+    return spark.sql(f"SELECT {', '.join(nulls)} WHERE false")
 
 
 def _merged(spark: SparkSession, root: str, state: dict, buckets: Iterable[str]) -> tuple[DataFrame, DataFrame]:
@@ -78,26 +83,29 @@ def _apply(batch: DataFrame, batch_id: int, root: str, buckets: int = BUCKETS, c
         return
     state = _state_before(spark, root, batch_id)
     buckets = state["buckets"] or buckets
-    events = cut_lineage(batch.select("doc_id", "seq", "page_idx", "op", "annot_id"))
+    events = cut_lineage(batch.select(*COLUMNS))
     # At most ``buckets`` numbers.
     touched_buckets = [str(r[0]) for r in events.select(_bucket(buckets)).distinct().collect()]
     live, last = _merged(spark, root, state, touched_buckets)
 
-    placed = events.join(last, "doc_id", "left")
+    # What is alive before the batch, and its events, worked out once.
     in_time = F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))
-    fresh = placed.where(in_time).drop("last_seq")
-    late = placed.where(~in_time)
-    touched = fresh.select("doc_id").distinct()
-
-    before = live.join(touched, "doc_id", "left_semi")
-    log = before.withColumn("op", F.lit("add")).unionByName(fresh.select("doc_id", "seq", "page_idx", "op", "annot_id"))
-    after = cut_lineage(annotation_state(log))
+    placed = events.join(last, "doc_id", "left").select(*COLUMNS, F.when(in_time, "fresh").otherwise("late").alias("state"))
+    touched = placed.where("state = 'fresh'").select("doc_id").distinct()
+    before = live.join(touched, "doc_id", "left_semi").withColumns({"op": F.lit("add"), "state": F.lit("before")})
+    log = cut_lineage(before.select(*COLUMNS, "state").unionByName(placed))
+
+    before = log.where("state = 'before'").select(*ROW, F.lit(-1).alias("step"))
+    after = annotation_state(log.where("state <> 'late'").select(*COLUMNS)).select(*ROW, F.lit(1).alias("step"))
+    moved = before.unionByName(after).groupBy("doc_id", "seq").agg(
+        F.sum("step").alias("step"), *[F.first(c).alias(c) for c in ROW if c not in ("doc_id", "seq")]
+    )
+    change = F.when(F.col("step") > 0, "added").otherwise("removed").alias("change")
     changes = (
-        after.join(before, ["doc_id", "seq"], "left_anti").select(*ROW, F.lit("added").alias("change"))
-        .unionByName(before.join(after, ["doc_id", "seq"], "left_anti").select(*ROW, F.lit("removed").alias("change")))
-        .unionByName(late.select(*ROW, F.lit("late").alias("change")))
+        moved.where("step <> 0").select(*ROW, change)
+        .unionByName(log.where("state = 'late'").select(*ROW, F.lit("late").alias("change")))
     )
-    seen = fresh.groupBy("doc_id").agg(F.max("seq").alias("last_seq"))
+    seen = log.where("state = 'fresh'").groupBy("doc_id").agg(F.max("seq").alias("last_seq"))
     parts = {b: {t: list(ps) for t, ps in tables.items()} for b, tables in state["parts"].items()}
     for table, rows in (("changes", changes), ("seen", seen)):
         for b, part in _write(rows, root, table, batch_id, buckets).items():

@@ -10,6 +10,7 @@ import pytest
 from quirelake.operators.annotations import annotation_state, has_annotations, ink_bounds, undo_last, z_order
 from quirelake.schemas import ANNOT_EVENTS, ANNOTATIONS
 from quirelake.plans import snapshots
+from quirelake.plans.lineage import cut_lineage
 from quirelake.streaming.annotation_state import _apply, annotation_state_stream, live_annotations
 
 
@@ -61,6 +62,33 @@ def test_state_equals_fold(spark):
     assert set(got) == set().union(*map(fold, logs))
 
 
+def test_whole_and_crowded_documents_give_the_same(spark):
+    """No, some and all documents over the limit; as many rounds as a nest of undone deletions asks for."""
+    logs = make_logs(5, 60)
+    deep = [(900, n + 1, 0, "add", n) for n in range(12)]
+    deep += [(900, 20 + 2 * n + k, 0, op, 11 - n if k else None) for n in range(12) for k, op in enumerate(("undo", "delete"))]
+    logs.append(deep)
+    df = spark.createDataFrame([e for log in logs for e in log], ANNOT_EVENTS)
+    want = set().union(*map(fold, logs))
+    for whole in (1000, 20, 0):
+        got = [tuple(r) for r in annotation_state(df, whole=whole).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_a_batch_of_small_documents_takes_few_jobs(spark, tmp_path):
+    """18 jobs here, where rounds of joins and blocks took 71."""
+    logs = make_logs(6, 40)
+    tracker, group = spark.sparkContext.statusTracker(), "annotation batch"
+    frame = cut_lineage(spark.createDataFrame([e for log in logs for e in log], ANNOT_EVENTS))
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        _apply(frame, 0, str(tmp_path), 4)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) <= 35
+    assert {tuple(r) for r in live_annotations(spark, str(tmp_path)).collect()} == set().union(*map(fold, logs))
+
+
 def test_stream_ends_in_the_state_of_the_batch(spark, tmp_path):
     logs = make_logs(4, 40)
     events = [e for log in logs for e in log]
