@@ -2,8 +2,8 @@
 
 Each text is tokenised whole by both vocabularies. Where a token of either ends at the same byte and the next
 token of either begins with a space, the text is cut: such an anchor is verified by byte offsets, not by the
-marks alone. Between anchors lies a window, mostly a word; its tuple of ids on either side decides its groups (cut
-wherever tokens of both end together) and its linked id pairs, so windows are remembered by their id tuples.
+marks alone. Between anchors lies a window, mostly a word; its groups (cut wherever tokens of both end together) and linked
+id pairs follow from its ids alone, so the windows of a stretch, which ends at an anchor, are worked on side by side in arrays.
 
 Pair statistics: a task adds up the documents per id pair before anything is shuffled, and a count per pair is left
 for the whole corpus. That table is bounded by the vocabularies, not by the corpus. Up to ``HELD`` pairs it is
@@ -11,8 +11,8 @@ broadcast, beyond that the links of the documents join it; both give the same. T
 second look needs of a document (its distinct pairs) is written to the shared folder, compressed.
 
 Cases: null and empty texts, and texts that either vocabulary does not give back byte by byte, have no tokens:
-zeros and an empty ``groups_sha256``. Strings of special tokens are plain text. Very long texts are worked on whole;
-windows over ``MEMO_TOKENS`` tokens are not remembered, and in a group of any size equal pairs are counted, not listed.
+zeros and an empty ``groups_sha256``. Strings of special tokens are plain text. Very long texts are worked on whole, stretch
+by stretch; in a group of more than ``LISTED`` links equal pairs are counted, not listed, and small such groups are remembered.
 Ties for the highest count all count as best. Repeated rows and rows of equal or null id are documents of their own.
 An empty table gives no rows. Extra columns are dropped.
 """
@@ -24,8 +24,6 @@ import hashlib
 import json
 import os
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import islice
 from pathlib import Path
@@ -45,8 +43,8 @@ from quirelake.llm.common import lean
 from quirelake.plans.lineage import cut_lineage, new_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Texts tokenised at once, windows remembered, tokens of a window that is remembered, links of a group that are listed.
-BATCH, MEMO, MEMO_TOKENS, LISTED = 64, 400_000, 64, 256
+#: Texts tokenised at once, tokens of a stretch, links of a group that are listed; groups beyond that which are remembered, and their tokens.
+BATCH, STRETCH, LISTED, MEMO, MEMO_TOKENS = 64, 1 << 16, 256, 10_000, 64
 #: Pairs a task adds up before it hands them on, and pairs of the whole corpus that may be broadcast.
 GATHERED, HELD = 1 << 20, 4_000_000
 
@@ -107,38 +105,9 @@ def pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, Vocabulary]
     return model, Vocabulary([entry(k) for k in range(model.get_piece_size())])
 
 
-class Window:
-    """Groups of a window as text and its linked pairs as little-endian longs, one per link; pairs of groups with many
-    links are counted in ``many`` instead."""
-
-    __slots__ = ("right", "groups", "pairs", "many")
-
-    def __init__(self, a: tuple[int, ...], b: tuple[int, ...], a_ends: list[int], b_ends: list[int]):
-        listed, pairs, self.many, self.right = [], [], None, b
-        i = j = m = n = 0
-        last = len(a)
-        while m < last:
-            gap = a_ends[m] - b_ends[n]
-            m += gap <= 0
-            n += gap >= 0
-            if gap:
-                continue
-            if m - i == 1 == n - j:
-                listed.append(f"{a[i]}|{b[j]}")
-                pairs.append(a[i] << 32 | b[j])
-            else:
-                x, y = a[i:m], b[j:n]
-                listed.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-                if len(x) * len(y) <= LISTED:
-                    pairs += [p << 32 | q for p in x for q in y]
-                else:
-                    self.many = self.many or Counter()
-                    right = Counter(y).items()
-                    for p, s in Counter(x).items():
-                        for q, t in right:
-                            self.many[p << 32 | q] += s * t
-            i, j = m, n
-        self.groups, self.pairs = ";".join(listed), array("q", pairs).tobytes()
+def written(ids: int, marks: str) -> np.ndarray:
+    """Decimal ids below ``ids``, each followed by a mark, as eight bytes filled up with zeros; one run of ids per mark."""
+    return np.array([f"{k}{mark}" for mark in marks for k in range(ids)], "S8").view(np.uint64)
 
 
 class Aligned:
@@ -146,14 +115,14 @@ class Aligned:
 
     __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")
 
-    def __init__(self, n_a: int = 0, n_b: int = 0, n_groups: int = 0, windows: Sequence[Window] = ()):
-        self.n_a, self.n_b, self.n_groups = n_a, n_b, n_groups
-        self.groups = ";".join([w.groups for w in windows])
-        self.pairs, self.times = np.unique(np.frombuffer(b"".join([w.pairs for w in windows]), np.int64), return_counts=True)
-        many = [w.many for w in windows if w.many]
-        if many:
-            keys = np.concatenate([self.pairs, *(np.fromiter(c, np.int64, len(c)) for c in many)])
-            times = np.concatenate([self.times, *(np.fromiter(c.values(), np.int64, len(c)) for c in many)])
+    def __init__(
+        self, n_a: int = 0, n_b: int = 0, n_groups: int = 0, groups: str = "", pairs: Sequence[np.ndarray] = (),
+        counted: Sequence[tuple[np.ndarray, np.ndarray]] = (),
+    ):
+        self.n_a, self.n_b, self.n_groups, self.groups = n_a, n_b, n_groups, groups
+        self.pairs, self.times = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]), return_counts=True)
+        if counted:
+            keys, times = (np.concatenate(x) for x in zip((self.pairs, self.times), *counted, strict=True))
             self.pairs, at = np.unique(keys, return_inverse=True)
             self.times = np.zeros(len(self.pairs), np.int64)
             np.add.at(self.times, at, times)
@@ -165,7 +134,10 @@ class Aligner:
         self.a, self.of_a = byte_level(a_path)
         self.b, self.of_b = pieces(b_path)
         self.quick = ranked(a_path, self.of_a)
-        self.memo: dict[tuple[int, ...], Window] = {}  # by the ids of A; those of B lie in the window
+        self.memo: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}  # pairs of groups with many links
+        n_a, n_b = len(self.of_a.bytes), len(self.of_b.bytes)
+        self.written = np.concatenate([written(n_a, ",|"), written(n_b, ",;")])
+        self.last_a, self.first_b, self.last_b = n_a, 2 * n_a, n_b  # how far apart its runs of ids lie
 
     def __call__(self, texts: list[str | None]) -> list[Aligned]:
         out = [Aligned()] * len(texts)
@@ -199,26 +171,52 @@ class Aligner:
         anchor = shared == 2
         anchor[:-1] &= self.of_a.spaced[a_ids[1:]]
         anchor[-1] = True
-        a_cuts = np.flatnonzero(anchor)
-        b_cuts = np.searchsorted(b_ends, a_ends[a_cuts])
-        windows = self._windows(tuple(a), tuple(b), a_ends, b_ends, (a_cuts + 1).tolist(), (b_cuts + 1).tolist())
-        return Aligned(len(a), len(b), int(np.count_nonzero(shared)), windows)
-
-    def _windows(self, a, b, a_ends, b_ends, a_cuts: list[int], b_cuts: list[int]) -> list[Window]:
-        out, memo, i, j = [], self.memo, 0, 0
-        for m, n in zip(a_cuts, b_cuts, strict=True):
-            left, right = a[i:m], b[j:n]
-            window = memo.get(left)
-            if window is None or window.right != right:  # ids of A give the text, and the text nearly always those of B
-                # Only equality of ends matters, so they may count from the start of the text.
-                window = Window(left, right, a_ends[i:m].tolist(), b_ends[j:n].tolist())
-                if m - i + n - j <= MEMO_TOKENS:
-                    if len(memo) >= MEMO:
-                        self.memo = memo = dict(islice(memo.items(), MEMO // 2))  # the first met are the frequent ones
-                    memo[left] = window
-            out.append(window)
+        a_cuts = np.flatnonzero(anchor) + 1
+        b_cuts = np.searchsorted(b_ends, a_ends[a_cuts - 1]) + 1
+        # The last anchor of each stretch: windows are whole, so one of many tokens makes a longer stretch.
+        stops = np.flatnonzero(np.diff(a_cuts // STRETCH, append=-1))
+        groups, pairs, counted, i, j = [], [], [], 0, 0
+        for m, n in zip(a_cuts[stops].tolist(), b_cuts[stops].tolist(), strict=True):
+            groups.append(self._windows(a_ids[i:m], b_ids[j:n], a_ends[i:m], b_ends[j:n], shared[i:m], pairs, counted))
             i, j = m, n
-        return out
+        return Aligned(len(a), len(b), int(np.count_nonzero(shared)), b"".join(groups)[:-1].decode(), pairs, counted)
+
+    def _windows(self, a, b, a_ends, b_ends, shared, pairs: list, counted: list) -> bytes:
+        """Groups of a stretch as text, each with a mark behind it; its linked pairs (A id in the upper half) are added to
+        ``pairs``, one per link, or where a group has many links to ``counted``."""
+        a_stop = np.flatnonzero(shared) + 1
+        b_stop = np.searchsorted(b_ends, a_ends[a_stop - 1]) + 1
+        n_a, n_b = np.diff(a_stop, prepend=0), np.diff(b_stop, prepend=0)
+        b_start = np.repeat(b_stop - n_b, n_a)  # of the group of each token of A
+
+        entry = np.empty(len(a) + len(b), np.int64)
+        x, y = a.copy(), b + self.first_b
+        x[a_stop - 1] += self.last_a
+        y[b_stop - 1] += self.last_b
+        entry[np.arange(len(a)) + b_start] = x
+        entry[np.arange(len(b)) + np.repeat(a_stop, n_b)] = y
+        text = self.written[entry].tobytes().translate(None, b"\0")
+
+        listed = n_a * n_b <= LISTED
+        links = np.repeat(np.where(listed, n_b, 0), n_a)  # of each token of A
+        at = np.arange(int(links.sum())) + np.repeat(b_start - (np.cumsum(links) - links), links)
+        pairs.append(np.repeat(a << 32, links) | b[at])
+        for g in np.flatnonzero(~listed).tolist():
+            counted.append(self._counted(a[a_stop[g] - n_a[g] : a_stop[g]], b[b_stop[g] - n_b[g] : b_stop[g]]))
+        return text
+
+    def _counted(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of a group and their links."""
+        key = a.tobytes(), b.tobytes()
+        found = self.memo.get(key)
+        if found is None:
+            (x, s), (y, t) = (np.unique(ids, return_counts=True) for ids in (a, b))
+            found = (x[:, None] << 32 | y).ravel(), (s[:, None] * t).ravel()
+            if len(a) + len(b) <= MEMO_TOKENS:
+                if len(self.memo) >= MEMO:
+                    self.memo = dict(islice(self.memo.items(), MEMO // 2))  # the first met are the frequent ones
+                self.memo[key] = found
+        return found
 
 
 @functools.lru_cache(maxsize=2)

@@ -135,6 +135,29 @@ def test_windows_are_remembered_and_pairs_survive_packing(aligner):
         assert (p == x).all() and (t == y).all()
 
 
+def test_ordinary_windows_leave_nothing_in_memory(plain):
+    """Windows that do not come again used to make an object each, and cost most of the time."""
+    aligner, text = al.Aligner(A, B), " ".join(f"word{k}" for k in range(500))
+    want = plain(text)
+    assert aligner([text])[0].groups == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in want)
+    assert not aligner.memo
+
+
+@pytest.mark.parametrize(("stretch", "listed", "memo"), [(1, 256, 10), (3, 1, 1), (50, 0, 2)])
+def test_stretches_and_counted_groups_change_nothing(plain, monkeypatch, stretch, listed, memo):
+    monkeypatch.setattr(al, "STRETCH", stretch)
+    monkeypatch.setattr(al, "LISTED", listed)
+    monkeypatch.setattr(al, "MEMO", memo)
+    aligner = al.Aligner(A, B)
+    for _ in range(2):
+        for text, found in zip(ODD, aligner(ODD), strict=True):
+            want = plain(text) or []
+            links = sorted(x << 32 | y for a, b in want for x in a for y in b)
+            assert found.groups == ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in want)
+            assert np.repeat(found.pairs, found.times).tolist() == links
+    assert len(aligner.memo) <= memo
+
+
 @settings(max_examples=300, deadline=None)
 @given(text=st.text(st.characters(max_codepoint=0x2040), max_size=60))
 def test_both_libraries_agree(aligner, text):
