@@ -16,7 +16,7 @@ from quirelake.operators import drawing as draw
 from quirelake.operators import edits
 from quirelake.operators import filters as flt
 from quirelake.operators import lines, pages, search, spatial
-from quirelake.plans.lineage import new_path
+from quirelake.plans.lineage import cut_lineage, new_path
 from quirelake.schemas import ANNOT_EVENTS, PAGES, K
 from quirelake.sources import corpus as src
 from quirelake.sources.signatures import as_json, read_signatures, write_signatures
@@ -505,7 +505,8 @@ def has_annotations(t: Inputs) -> DataFrame:
 
 @query
 def annotation_state(t: Inputs) -> DataFrame:
-    return ann.annotation_state(t.annot_events)
+    # The log is looked at more than once.
+    return ann.annotation_state(cut_lineage(t.annot_events))
 
 
 # --- drawing ---------------------------------------------------------------------------------
