@@ -64,7 +64,12 @@ class Inputs:
     @cached_property
     def bucketed_documents(self) -> DataFrame:
         """The documents dealt out by the bucket that a corpus keeps them in, and by parts of it where it is large."""
-        return corpus.by_bucket(self.documents.select("doc_id", "text"), self._tasks)
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        return corpus.by_bucket(self.documents.select("doc_id", "text"), self.parts)
+
+    @cached_property
+    def parts(self) -> int:
+        return corpus.parts_of(self._tasks)
 
     @cached_property
     def bucketed_words(self) -> DataFrame:

@@ -64,7 +64,7 @@ def layout_text(t: Inputs) -> DataFrame:
 
 def _save(t: Inputs, path: str, burned: bool = False) -> None:
     corpus = src.Corpus(t.bucketed_pages, t.bucketed_words, t.annotations, t.dims)
-    src.write_corpus(corpus, path, burned=burned, gathered=True)
+    src.write_corpus(corpus, path, burned=burned, gathered=True, parts=t.parts)
 
 
 @query
@@ -89,8 +89,9 @@ def resaved_corpus(t: Inputs) -> DataFrame:
     _save(t, path)
     saved = src.read_corpus(t.spark, path)
     left = pages.delete_pages(saved.pages, saved.pages.where("page_idx % 3 = 1"))
-    edited = src.Corpus(left.select(*PAGES.names), pages.apply_page_map(saved.words, left), saved.annotations, saved.render_dims)
-    src.write_corpus(edited, path)
+    # Words are saved where they were read: they meet the page map there, unsorted.
+    words = pages.apply_page_map(saved.words, left.hint("shuffle_hash"))
+    src.write_corpus(src.Corpus(left.select(*PAGES.names), words, saved.annotations, saved.render_dims), path, parts=t.parts)
     again = src.read_corpus(t.spark, path)
     return again.words.join(again.pages, K).select(*K, "word_idx", "text", "top_pt", "height_pt")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from quirelake.catalog import queries
+from quirelake.schemas import WORDS
 from quirelake.sources import corpus, layout
 from quirelake.streaming.search import ARRIVING_PAGES, arriving_words
 
@@ -64,3 +67,68 @@ def test_gathered_documents_are_saved_like_others(spark, tmp_path):
         for f in files:
             keys = [tuple(r) for r in spark.read.parquet(str(f)).coalesce(1).select("doc_id", "page_idx", "word_idx").collect()]
             assert keys == sorted(keys)
+
+
+def test_saved_words_are_read_and_saved_again_without_a_shuffle(spark, monkeypatch):
+    """Both joins of ``resaved_corpus`` leave words where they lie; only pages are dealt out."""
+    frame = type(spark.range(0))
+    hints, real = [], frame.hint
+    monkeypatch.setattr(frame, "hint", lambda df, *a: hints.append(a) or real(df, *a))
+    mapped, real_map = [], queries.pages.apply_page_map
+    monkeypatch.setattr(queries.pages, "apply_page_map", lambda *a: mapped.append(real_map(*a)) or mapped[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        final = queries.registered()["resaved_corpus"](spark, SMALL)
+        for df in (mapped[0], final):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert SHUFFLE.findall(plan) and "Bucketed: true" in plan and "Exchange" not in above_scan_of(plan, "text#")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(hints) == [("rebalance", "doc_bucket"), ("shuffle_hash",)]
+
+
+def above_scan_of(plan: str, column: str) -> str:
+    """What lies on one side of a join, down to the scan that reads ``column``."""
+    lines = plan.split("\n")
+    at = next(n for n, line in enumerate(lines) if "FileScan" in line and column in line)
+    join = max(n for n in range(at) if "Join" in lines[n])
+    return "\n".join(lines[join + 1 : at])
+
+
+@pytest.mark.parametrize("laid", ["by part", "anywhere", "as int"])
+def test_words_saved_by_parts_are_all_found(spark, tmp_path, laid):
+    """Also those that lie elsewhere, and ids of another width; some documents are read from their folders."""
+    documents = spark.range(300).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), cast(id * 7 % 900 as int)) as text")
+    documents = documents.withColumn("doc_id", F.col("doc_id").cast("int" if laid == "as int" else "long"))
+    texts = documents.repartition(3) if laid == "anywhere" else corpus.by_bucket(documents, tasks=20, buckets=8)
+    words, pages = layout.layout_words(texts), layout.layout_pages(texts)
+    corpus.write_corpus(corpus.Corpus(pages, words, None, None), f"{tmp_path}/it's", buckets=8, gathered=True, parts=corpus.parts_of(20, 8))
+    read = corpus.read_corpus(spark, f"{tmp_path}/it's")
+    assert read.words.schema == WORDS and not [t for t in spark.catalog.listTables() if t.name.startswith("corpus_")]
+    names = ["doc_id", "page_idx", "word_idx", "text", "top_pt"]
+    want = sorted(map(tuple, words.select(names).collect()))
+    assert sorted(map(tuple, read.words.select(names).collect())) == want
+    joined = read.words.join(read.pages, ["doc_id", "page_idx"])
+    assert sorted(map(tuple, joined.select(names).collect())) == want
+    some = corpus.read_corpus(spark, f"{tmp_path}/it's", spark.createDataFrame([(7,), (8,)], "doc_id long")).words
+    assert sorted(map(tuple, some.select(names).collect())) == [w for w in want if w[0] in (7, 8)]
+
+
+def test_folders_of_older_corpora_are_found(spark, tmp_path):
+    """Manifests without ``hashed`` name folders by XXH64."""
+    documents = spark.range(40).selectExpr("id as doc_id", "concat('a b ', id) as text")
+    made = corpus.Corpus(layout.layout_pages(documents), layout.layout_words(documents), None, None)
+    corpus._bucket, now = (lambda buckets, hashed="xxhash64": now(buckets, hashed)), corpus._bucket
+    try:
+        corpus.write_corpus(made, str(tmp_path), buckets=8)
+    finally:
+        corpus._bucket = now
+    manifest = next((tmp_path / "_manifests").glob("0*.json"))
+    facts = json.loads(manifest.read_text())
+    del facts["hashed"], facts["parts"]
+    manifest.write_text(json.dumps(facts))
+    for crc in (tmp_path / "_manifests").glob(".*.crc"):
+        crc.write_bytes(b"")
+    wanted = spark.createDataFrame([(3,), (5,)], "doc_id long")
+    assert corpus.read_corpus(spark, str(tmp_path), wanted).words.count() == 6
+    assert corpus.read_corpus(spark, str(tmp_path)).words.count() == 120
