@@ -374,7 +374,7 @@ def phrase_search_joined(t: Inputs) -> DataFrame:
 @query
 def phrase_search_all(t: Inputs) -> DataFrame:
     """The phrases of all benchmark texts."""
-    return search.phrase_search(t.words, t.all_queries, dense=True)
+    return search.phrase_search(t.placed_words, t.all_queries, dense=True)
 
 
 @query

@@ -132,3 +132,11 @@ def test_folders_of_older_corpora_are_found(spark, tmp_path):
     wanted = spark.createDataFrame([(3,), (5,)], "doc_id long")
     assert corpus.read_corpus(spark, str(tmp_path), wanted).words.count() == 6
     assert corpus.read_corpus(spark, str(tmp_path)).words.count() == 120
+
+
+@pytest.mark.parametrize("name", ["phrase_search_all"])
+def test_words_stay_where_many_phrases_are_looked_for(spark, name):
+    """Texts are dealt out once for all looks at words; candidates, matches and runs of words stay with them."""
+    plan = queries.registered()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    shuffles = SHUFFLE.findall(plan)
+    assert shuffles and all("REPARTITION_BY_NUM" in s for s in shuffles), shuffles
