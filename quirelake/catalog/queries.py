@@ -379,7 +379,7 @@ def phrase_search_all(t: Inputs) -> DataFrame:
 
 @query
 def search_counts_all(t: Inputs) -> DataFrame:
-    return search.search_counts(t.words, t.all_queries, dense=True)
+    return search.search_counts(t.placed_words, t.all_queries, dense=True)
 
 
 @query

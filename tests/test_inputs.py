@@ -134,7 +134,7 @@ def test_folders_of_older_corpora_are_found(spark, tmp_path):
     assert corpus.read_corpus(spark, str(tmp_path)).words.count() == 120
 
 
-@pytest.mark.parametrize("name", ["phrase_search_all"])
+@pytest.mark.parametrize("name", ["phrase_search_all", "search_counts_all"])
 def test_words_stay_where_many_phrases_are_looked_for(spark, name):
     """Texts are dealt out once for all looks at words; candidates, matches and runs of words stay with them."""
     plan = queries.registered()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
