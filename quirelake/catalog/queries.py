@@ -386,8 +386,8 @@ def search_counts_all(t: Inputs) -> DataFrame:
 def phrase_search_gaps(t: Inputs) -> DataFrame:
     """Words that edits have whited out do not count."""
     edits = t.annotations.where("kind = 'text_edit'")
-    shown = _shown(t, edits)
-    return search.phrase_search(shown, LIVE).select("query_id", *K, "i", "j")
+    shown = spatial.visible_words(t.placed_words, edits, t.pages, t.dims)
+    return search.phrase_search(shown, LIVE, placed=True).select("query_id", *K, "i", "j")
 
 
 @query

@@ -142,6 +142,12 @@ def _dense(words: DataFrame, dense: bool) -> DataFrame:
     return dense_position(words, K, "word_idx", "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """Words with consecutive ``word_idx``, by one window over a page."""
+    ranked = dense_position(words, K, "word_idx", "__pos", bits=None)
+    return ranked.withColumn("word_idx", F.col("__pos").cast("int")).drop("__pos")
+
+
 def _begins(tokens: list[str], word: Column, after) -> Column:
     """Whether a match of the tokens begins at ``word``; ``after(m)`` is the m-th word behind it."""
     if len(tokens) == 1:
@@ -210,12 +216,15 @@ def _edge(side: str, values: list[Column]) -> Column:
     return F.least(*values) if side in ("left_pt", "bottom_pt") else F.greatest(*values)
 
 
-def phrase_search(words: DataFrame, queries: Queries, dense: bool = False) -> DataFrame:
+def phrase_search(words: DataFrame, queries: Queries, dense: bool = False, placed: bool = False) -> DataFrame:
     """Hits ``query_id, doc_id, page_idx, i, j`` with the bounds of words ``i`` to ``j``.
 
     Queries are taken as they come; gate them with ``search_gate`` first. ``dense=True`` says that ``word_idx`` has
-    no gaps; otherwise words are numbered anew, and ``i`` and ``j`` are those numbers.
+    no gaps; otherwise words are numbered anew, and ``i`` and ``j`` are those numbers. ``placed=True`` says that the words
+    of a page lie in one task, which numbers them by one sort; elsewhere they are shuffled by chunks of a page.
     """
+    if placed and not dense:
+        words, dense = _numbered(words), True
     if isinstance(queries, DataFrame):
         rows = _term_rows(queries)
         terms = _few_terms(rows)

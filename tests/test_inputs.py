@@ -140,3 +140,12 @@ def test_words_stay_where_many_phrases_are_looked_for(spark, name):
     plan = queries.registered()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     shuffles = SHUFFLE.findall(plan)
     assert shuffles and all("REPARTITION_BY_NUM" in s for s in shuffles), shuffles
+
+
+def test_words_with_gaps_stay_where_they_are_searched(spark):
+    """The join with the edits leaves words where texts were dealt to; they are numbered and searched there."""
+    plan = queries.registered()["phrase_search_gaps"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in re.split(r"REPARTITION_BY_NUM", plan)[0].split("Join")[0]
+    shuffles = [s for s in SHUFFLE.findall(plan) if "REPARTITION_BY_NUM" not in s]
+    # Beside texts only boxes of edits are dealt out.
+    assert len(shuffles) <= 1 and "Union" not in plan, shuffles

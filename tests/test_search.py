@@ -232,3 +232,20 @@ def test_words_with_gaps_are_shuffled_once(spark):
     # Own words by chunk; numbers of words per chunk, per page; the few words that another chunk looks ahead to.
     shuffles = [line for line in text.split("\n") if "Exchange hashpartitioning" in line]
     assert len([line for line in shuffles if "chunk" in line]) <= 4 and "__block" not in text
+
+
+@pytest.mark.parametrize("table", [False, True])
+def test_placed_words_with_gaps_have_the_same_hits(spark, table):
+    """Words of a page in one task: numbered there, whatever gaps they have, with the hits of words in any order."""
+    rng = random.Random(11)
+    rows = []
+    for doc in range(5):
+        at = -1
+        for _ in range(rng.choice([1, 3, 60])):
+            at += rng.choice([1, 1, 2, 5000])
+            rows.append((doc, doc % 2, at, rng.choice(VOCAB[:9]), *[float(rng.randint(0, 99)) for _ in range(4)], 10.0, "Arial"))
+    words = spark.createDataFrame(rows, WORDS)
+    queries = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, q string") if table else [*enumerate(QUERIES)]
+    want = sorted(map(tuple, search.phrase_search(words, queries).collect()))
+    got = search.phrase_search(words.repartition(4, "doc_id"), queries, placed=True)
+    assert sorted(map(tuple, got.collect())) == want and want
